@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters that a task works on at a time; a longer text is one chunk of its own.
 CHUNK_CHARS = 1 << 19
@@ -77,3 +78,8 @@ def map_texts(df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch, list[s
 
 def with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     return batch.set_column(batch.schema.get_field_index(name), pa.field(name, values.type), values)
+
+
+def wider(schema: T.StructType, **more: str) -> T.StructType:
+    """A copy of the schema with further nullable columns, given as name and type."""
+    return T.StructType([*schema.fields, *[T.StructField(k, T._parse_datatype_string(v)) for k, v in more.items()]])
