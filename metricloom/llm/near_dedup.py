@@ -3,18 +3,19 @@
 1. Shingles are five successive words (letters and digits, lower case).  Their
    document frequencies are counted over all documents in a hashed array of
    fixed size; what other shingles add to a slot on average is taken off.  The
-   inverse document frequency times the count in the text is a shingle's
-   weight.
+   (clipped) inverse document frequency times the count in the text is a
+   shingle's weight.
 2. Improved consistent weighted sampling draws for each text samples that
    agree between two texts with a probability equal to their weighted Jaccard
    similarity.  Bands of three samples put texts into buckets.
-3. Equal texts are one class from the start.  In small buckets all texts are
-   compared; in larger ones each text is compared to the bucket's leader, the
-   text whose shingles are the most frequent on average (the origin of a group
-   of copies has more of them than any copy).  What is not alike to the leader
-   forms the next round's bucket with a leader of its own, until none is left.
-4. Each candidate pair is verified by the exact weighted Jaccard similarity of
-   the two whole texts, and connected pairs become classes.
+3. Equal texts are one class from the start.  In each bucket every text is
+   compared to the bucket's leader, the text whose shingles are the most
+   frequent on average (the origin of a group of copies has more of them than
+   any copy).  Where some are not alike to the leader, those are compared to
+   all texts of the bucket, in blocks of bounded size; a block passes on only
+   links between texts that it has not connected yet.
+4. Similarity is the exact weighted Jaccard similarity of the two whole texts.
+   Connected texts become classes.
 
 No step emits all pairs of a large group, and only the array of frequencies,
 of fixed size, is sent to the tasks.
@@ -37,7 +38,7 @@ WORDS = 5
 SLOTS = 20  # bits of the array of document frequencies
 BLOCK = 14  # bits of a part of it that travels as one row
 BANDS, ROWS = 10, 3
-ALL_PAIRS = 6
+BLOCK_TEXTS = 128
 #: Candidate ids up to this number are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -72,7 +73,7 @@ def slot(shingle: np.ndarray) -> np.ndarray:
 
 
 def frequencies(docs: DataFrame, text: str) -> np.ndarray:
-    """The idf of each slot.  One row for each part of the array comes to the driver, whatever the input."""
+    """The idf weight and the document frequency of each slot.  One row for each part of the array comes to the driver, whatever the input."""
     parts = 1 << (SLOTS - BLOCK)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +108,9 @@ def frequencies(docs: DataFrame, text: str) -> np.ndarray:
     for r in rows:
         counts[r["part"] << BLOCK : (r["part"] + 1) << BLOCK] = np.frombuffer(r["counts"], "<i8")
     df = np.maximum(counts - seen / (1 << SLOTS), 1)
-    return np.log((1 + n) / df).clip(0.05).astype(np.float32)
+    # Shingles in fewer than a hundredth of the documents weigh 1: the rarity of an edit's shingles must not outweigh
+    # the text that copies share.  Common ones weigh less, but not so little that a large group of copies falls apart.
+    return np.stack([(np.log((1 + n) / df) / np.log(100)).clip(0.6, 1), df]).astype(np.float32)
 
 
 def _draws() -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +120,7 @@ def _draws() -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(texts: list[str], idf: np.ndarray, draws: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(texts x bands) hashes, the mean log frequency of each text's shingles, and whether it has any."""
+    """(texts x bands) hashes, the mean frequency of each text's shingles, and whether it has any."""
     row, s, count = shingles(texts)
     sizes = np.bincount(row, minlength=len(texts))
     full = sizes > 0
@@ -126,8 +129,8 @@ def signatures(texts: list[str], idf: np.ndarray, draws: tuple[np.ndarray, np.nd
     if not len(s):
         return out, centre, full
     at = slot(s)
-    log_weight = np.log(count * idf[at]).astype(np.float32)
-    centre = (np.bincount(row, -idf[at], len(texts)) / np.maximum(sizes, 1)).astype(np.float32)
+    log_weight = np.log(count * idf[0][at]).astype(np.float32)
+    centre = (np.bincount(row, idf[1][at], len(texts)) / np.maximum(sizes, 1)).astype(np.float32)
     begin = (np.cumsum(sizes) - sizes)[full]
     lengths = sizes[full]
     gamma, log_gamma = draws
@@ -156,7 +159,7 @@ class Weights:
 
     def sets(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         row, s, count = shingles(texts)
-        w = count * self.idf[slot(s)].astype(np.float64)
+        w = count * self.idf[0][slot(s)].astype(np.float64)
         cut = np.searchsorted(row, np.arange(len(texts) + 1))
         return [(s[a:b], w[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
@@ -170,20 +173,81 @@ class Weights:
         return float(least / (a[1].sum() + b[1].sum() - least))
 
 
-def _pairs(members: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of buckets (band, value, rep, centre), with the bucket where b leads a large one.
+def _led(members: DataFrame) -> DataFrame:
+    """Buckets of two texts or more: a row (a, b, band, value, n) for each member a, with the leader b."""
+    size = members.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.max("centre").alias("top")).where("n > 1")
+    held = members.join(size, ["band", "value"])
+    leader = held.where("centre = top").groupBy("band", "value").agg(F.min("rep").alias("b"))
+    return held.join(leader, ["band", "value"]).select(F.col("rep").alias("a"), "b", "band", "value", "n")
+
+
+class _Block:
+    """Some texts' weighted shingles, as one inverted index."""
+
+    def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]]):
+        self.n = len(sets)
+        s = np.concatenate([x[0] for x in sets])
+        order = np.argsort(s, kind="stable")
+        self.s, self.w = s[order], np.concatenate([x[1] for x in sets])[order]
+        self.d = np.repeat(np.arange(self.n), [len(x[0]) for x in sets])[order]
+        self.total = np.array([x[1].sum() for x in sets])
 
-    In buckets of up to ALL_PAIRS texts each pair once; in others each text
-    with the leader.
+    def similarities(self, x: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        lo, hi = np.searchsorted(self.s, x[0]), np.searchsorted(self.s, x[0], side="right")
+        n = hi - lo
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        least = np.bincount(self.d[at], np.minimum(self.w[at], np.repeat(x[1], n)), self.n)
+        return least / (x[1].sum() + self.total - least)
+
+
+def _within(rest: DataFrame, led: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """Links (a, b) between rest, members not alike to their leader, and all members of their buckets.
+
+    Both sides of a bucket are dealt into blocks; each pair of blocks is one
+    group with at most about twice BLOCK_TEXTS texts.
     """
-    size = members.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("centre", "rep")).alias("top"), F.min("rep").alias("low"))
-    size = size.where("n > 1").select("band", "value", "n", F.col("top.rep").alias("b"))
-    held = members.join(size, ["band", "value"])
-    small = held.where(F.col("n") <= ALL_PAIRS).groupBy("band", "value").agg(F.sort_array(F.collect_list("rep")).alias("reps"))
-    small = small.select(F.explode("reps").alias("a"), "reps").select("a", F.explode("reps").alias("b")).where("a < b")
-    small = small.select("a", "b", F.lit(None).cast("int").alias("band"), F.lit(None).cast("long").alias("value"), F.lit(None).cast("float").alias("centre"))
-    large = held.where((F.col("n") > ALL_PAIRS) & (F.col("rep") != F.col("b"))).select(F.col("rep").alias("a"), "b", "band", "value", "centre")
-    return small.unionByName(large)
+    size = rest.groupBy("band", "value").agg(F.count(F.lit(1)).alias("m"))
+    sizes = led.join(size, ["band", "value"]).where("n > 2")
+
+    def blocks(n: str):
+        return F.ceil(F.col(n) / BLOCK_TEXTS).cast("int")
+
+    def own(n: str):
+        return F.pmod(F.xxhash64("rep", F.lit(n)), blocks(n)).cast("int")
+
+    def every(n: str):
+        return F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+
+    members = sizes.select(F.col("a").alias("rep"), "band", "value", "n", "m")
+    left = members.join(rest.select(F.col("a").alias("rep"), "band", "value"), ["rep", "band", "value"])
+    left = left.select("rep", "band", "value", own("m").alias("i"), every("n").alias("j"), F.lit(True).alias("left"))
+    right = members.select("rep", "band", "value", every("m").alias("i"), own("n").alias("j"), F.lit(False).alias("left"))
+    dealt = left.unionByName(right).join(texts, "rep")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        weights = Weights(idf.value)
+        x, y = rows[rows["left"]], rows[~rows["left"]]
+        out: list[tuple[int, int]] = []
+        if len(x) and len(y):
+            root: dict[int, int] = {}
+
+            def find(v: int) -> int:
+                while root.get(v, v) != v:
+                    root[v] = root.get(root[v], root[v])
+                    v = root[v]
+                return v
+
+            names = y["rep"].tolist()
+            block = _Block([z for i in range(0, len(y), 32) for z in weights.sets(y["text"].iloc[i : i + 32].tolist())])
+            for a, text in zip(x["rep"].tolist(), x["text"], strict=True):
+                for k in np.flatnonzero(block.similarities(weights.sets([text])[0]) >= threshold).tolist():
+                    u, v = find(a), find(names[k])
+                    if u != v:
+                        root[max(u, v)] = min(u, v)
+                        out.append((a, names[k]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("band", "value", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, idf, threshold: float) -> DataFrame:
@@ -261,34 +325,18 @@ def classes(docs: DataFrame, threshold: float = 0.8, text: str = "text", key: st
     reps = checkpointed(grouped.withColumn("rep", F.coalesce("rep", -1 - F.abs(F.col("h1") % (1 << 62)))))
     bands = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.col(v).alias("value")) for i, v in enumerate(names)]))
     members = reps.where("full").select("rep", "centre", bands.alias("x")).select("rep", "centre", "x.band", "x.value")
-    links, round_pairs, texts = [], checkpointed(_pairs(members)), None
-    seen = None
-    while True:
-        fresh = round_pairs.select("a", "b").distinct()
-        if seen is not None:
-            fresh = fresh.join(seen.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = checkpointed(fresh)
-        n = fresh.count()
-        if n:
-            wanted = fresh.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-            wanted = reps.select("rep", "h1", "h2").join(F.broadcast(wanted) if 2 * n <= BROADCAST_IDS else wanted, "rep")
-            found = body.select(F.col("id"), "text", "h1", "h2").join(F.broadcast(wanted) if 2 * n <= BROADCAST_IDS else wanted, ["h1", "h2"])
-            # one row of each text: the one that gave the class its name
-            texts = found.where(F.col("id").eqNullSafe(F.col("rep")) | (F.col("rep") < 0)).select("rep", "text").dropDuplicates(["rep"])
-            done = checkpointed(_verified(texts, fresh, idf, threshold).distinct())
-            links.append(done.where("alike").select("a", "b"))
-            seen = done if seen is None else seen.unionByName(done)
-        if seen is None:
-            break
-        rest = round_pairs.where("band IS NOT NULL").join(seen, ["a", "b"]).where("NOT alike")
-        rest = checkpointed(rest.select(F.col("a").alias("rep"), "centre", "band", "value"))
-        if rest.isEmpty():
-            break
-        round_pairs = checkpointed(_pairs(rest))
-    if links:
-        edges = links[0]
-        for x in links[1:]:
-            edges = edges.unionByName(x)
+    led = checkpointed(_led(members))
+    pairs = checkpointed(led.where("a <> b").select("a", "b").distinct())
+    n = 2 * pairs.count()
+    if n:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        wanted = reps.select("rep", "h1", "h2").join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, "rep")
+        found = body.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, ["h1", "h2"])
+        # one row of each text: the one that gave the class its name
+        texts = found.where(F.col("id").eqNullSafe(F.col("rep")) | (F.col("rep") < 0)).select("rep", "text").dropDuplicates(["rep"])
+        verified = checkpointed(_verified(texts, pairs, idf, threshold))
+        rest = checkpointed(led.join(verified.where("NOT alike"), ["a", "b"]).select("a", "band", "value"))
+        edges = verified.where("alike").select("a", "b").unionByName(_within(rest, led, texts, idf, threshold))
         roots = components(edges)
         named = reps.select("h1", "h2", "rep", "copies").join(roots, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("root", "rep").alias("class_id"), "copies")
     else:
