@@ -21,44 +21,42 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.llm.codes import alnum, encode, mix
+from metricloom.llm.codes import alnum, encode
 from metricloom.llm.common import map_texts
 
 Q = 8
 SLOTS = 20
 
 
-def normal(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Letters and digits of all texts with Q zeros behind each; where each text starts and ends; the source places."""
+def normal(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+    """Letters and digits of all texts with Q zeros behind each; where each text starts and ends; what tells source places."""
     codes, starts, ends = encode(texts)
     keep = alnum(codes)
     for k in range(Q):
         keep[ends + k] = True  # encode leaves at least Q zeros behind a text
-    if len(starts):
-        place = np.flatnonzero(keep)
-        a, b = np.searchsorted(place, starts), np.searchsorted(place, ends)
-        return codes[keep], a, b, place - np.repeat(starts, np.diff(np.append(a, len(place))))
-    return codes, starts, ends, starts
+    if not len(starts):
+        return codes, starts, ends, (keep, starts, ends)
+    stops = np.cumsum(np.add.reduceat(keep, starts, dtype=np.int64))
+    return codes[keep], np.concatenate(([0], stops[:-1])), stops - Q, (keep, starts, ends)
 
 
 def grams(codes: np.ndarray) -> np.ndarray:
-    """The hash of the Q characters from each place on; 0 where a text ends within them."""
+    """The Q = 8 characters from each place on, folded to a byte each, as one number; 0 where a text ends within them."""
     n = len(codes)
-    h = np.zeros(n, np.uint64)
-    wide = codes.astype(np.uint64) + np.uint64(1)
+    h = np.where(codes == 0, 0, np.maximum((codes ^ (codes >> np.uint32(8))) & np.uint32(255), 1)).astype(np.uint64)
     bad = codes == 0
-    cut = np.zeros(n, bool)
-    for k in range(Q):
-        moved = np.zeros(n, np.uint64)
-        moved[: n - k] = wide[k:]
-        h = (h + moved) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-        cut[: n - k] |= bad[k:]
-    h = mix(h) | np.uint64(1)
-    h[cut] = 0
+    for k in (1, 2, 4):  # windows of 1, 2, 4 characters double
+        h[: n - k] |= h[k:] << np.uint64(8 * k)
+        bad[: n - k] |= bad[k:]
+        bad[n - k :] = True
+    h[bad] = 0
     return h
 
 
+def slot(h: np.ndarray) -> np.ndarray:
+    return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+
 class Benchmark:
     """The q-grams of some items, and the search of texts for them."""
 
@@ -70,19 +68,20 @@ class Benchmark:
         self.budget = np.maximum(np.minimum((m * edits).astype(np.int64), (m - Q) // Q), 0)
         self.bound = m - Q + 1 - self.budget * Q
         h = grams(codes)
-        at = np.flatnonzero(h)
+        at = np.flatnonzero(h != 0)
         item = np.searchsorted(ends, at, side="right")
         order = np.argsort(h[at], kind="stable")
         self.hash = h[at][order]
         self.item = item[order]
         self.offset = (at - starts[item])[order] if len(at) else at
         self.maybe = np.zeros(1 << SLOTS, bool)
-        self.maybe[(self.hash >> np.uint64(64 - SLOTS)).astype(np.int64)] = True
+        self.maybe[slot(self.hash)] = True
 
     def regions(self, codes: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(text, item, lowest diagonal, highest) of the bands with enough shared q-grams; a diagonal is the text's place (in codes) less the item's."""
         h = grams(codes)
-        at = np.flatnonzero(self.maybe[(h >> np.uint64(64 - SLOTS)).astype(np.int64)] & (h != 0))
+        at = np.flatnonzero(self.maybe[slot(h)])
+        at = at[h[at] != 0]
         lo, hi = np.searchsorted(self.hash, h[at]), np.searchsorted(self.hash, h[at], side="right")
         n = hi - lo
         at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
@@ -96,17 +95,27 @@ class Benchmark:
         step = 2 * self.budget[item] + 1
         band = diagonal // step
         out = []
-        key = np.stack([np.concatenate([text, text]), np.concatenate([item, item]), np.concatenate([band, band - 1])])
-        unique, count = np.unique(key, axis=1, return_counts=True)
-        good = count >= self.bound[unique[1]]
-        for t, i, b in unique[:, good].T.tolist():
+        # text and item in the high bits, band in the low ones; band b counts what falls to b and to b + 1
+        cell = (text * len(self.items) + item) << 34
+        shift = 1 << 33
+        own, n = np.unique(cell + (band + shift), return_counts=True)
+        here = np.zeros(len(own), np.int64)
+        here[:-1] = np.where(own[1:] == own[:-1] + 1, n[1:], 0)
+        after = np.ones(len(own), bool)
+        after[1:] = own[1:] != own[:-1] + 1
+        keys, count = np.concatenate([own, own[after] - 1]), np.concatenate([n + here, n[after]])
+        which = (keys >> 34) % len(self.items)
+        good = count >= self.bound[which]
+        unique = np.stack([keys[good] >> 34, (keys[good] & ((1 << 34) - 1)) - shift])
+        for c, b in unique[:, np.argsort(keys[good])].T.tolist():
+            t, i = divmod(c, len(self.items))
             s = 2 * int(self.budget[i]) + 1
             out.append((t, i, b * s, (b + 2) * s - 1))
         return out
 
     def search(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
         """For each text its matches (item id, start, end, edits), in source characters; the best of each item."""
-        codes, starts, ends, place = normal(texts)
+        codes, starts, ends, (keep, first, last) = normal(texts)
         best: list[dict[int, tuple]] = [{} for _ in texts]
         for t, i, low, high in self.regions(codes, ends):
             item, k = self.items[i], int(self.budget[i])
@@ -118,7 +127,9 @@ class Benchmark:
             found = nearest(item, codes[a:b], k)
             if found and (old is None or found[0] < old[0]):
                 d, s, e = found
-                best[t][i] = (d, int(place[a + s]), int(place[a + e - 1]) + 1 if e > s else int(place[a + s]))
+                place = np.flatnonzero(keep[first[t] : last[t]])
+                s, e = a - int(starts[t]) + s, a - int(starts[t]) + e
+                best[t][i] = (d, int(place[s]), int(place[e - 1]) + 1)
         return [[(self.ids[i], s, e, d) for i, (d, s, e) in sorted(x.items())] for x in best]
 
 
