@@ -91,3 +91,10 @@ def with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Record
 def wider(schema: T.StructType, **more: str) -> T.StructType:
     """A copy of the schema with further nullable columns, given as name and type."""
     return T.StructType([*schema.fields, *[T.StructField(k, T._parse_datatype_string(v)) for k, v in more.items()]])
+
+
+def fresh(df: DataFrame, prefix: str) -> str:
+    """The prefix, lengthened until no column of df starts with it."""
+    while any(c.lower().startswith(prefix.lower()) for c in df.columns):
+        prefix += "_"
+    return prefix

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metricloom.llm.codes import mix
-from metricloom.llm.common import checkpointed, map_texts, slices, wider, with_column
+from metricloom.llm.common import checkpointed, fresh, map_texts, slices, wider, with_column
 
 BLANK = " \t\n\x0b\x0c\r"
 SHARD_KEYS = 1 << 15
@@ -279,7 +279,7 @@ def digests(docs: DataFrame, **how: int) -> DataFrame:
 
 def stage(docs: DataFrame, **how: int) -> DataFrame:
     """docs with the common lines gone; n_chars, where there is one, follows the text."""
-    out = drop_lines(docs, **how)
+    out = drop_lines(docs, prefix=fresh(docs, "l_"), **how)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

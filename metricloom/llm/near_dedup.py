@@ -353,14 +353,16 @@ def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     found = checkpointed(classes(docs, threshold))
     kept = found.where(F.col("doc_id") == F.col("class_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_"))
     kept = checkpointed(kept)
-    out = docs.join(kept.select(F.col("doc_id").alias("id_"), "n_"), F.col("doc_id") == F.col("id_"))
+    def rows_of(ids: DataFrame) -> DataFrame:
+        ids = ids.select(F.col("doc_id").alias("kept_id"))
+        return docs.join(ids, docs["doc_id"] == ids["kept_id"], "left_semi")
+
+    out = rows_of(kept.where("n_ = 1"))
     if not kept.where("n_ > 1").isEmpty():
-        once = out.where("n_ = 1").select(*docs.columns)
-        out = once.unionByName(out.where("n_ > 1").select(*docs.columns).dropDuplicates(["doc_id"]))
-    out = out.select(*docs.columns)
+        out = out.unionByName(rows_of(kept.where("n_ > 1")).dropDuplicates(["doc_id"]))
     if not docs.where("doc_id IS NULL").isEmpty():
-        name = (-1 - F.abs(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) % (1 << 62))).alias("id_")
-        lone = docs.where("doc_id IS NULL").select("*", name).dropDuplicates(["id_"])
         alone = found.where("doc_id IS NULL AND class_id < 0").select("class_id").distinct()
-        out = out.unionByName(lone.join(alone, F.col("id_") == F.col("class_id")).select(*docs.columns))
+        name = -1 - F.abs(F.xxhash64(F.coalesce(docs["text"], F.lit(""))) % (1 << 62))
+        lone = docs.where("doc_id IS NULL")
+        out = out.unionByName(lone.join(alone, name == alone["class_id"], "left_semi").dropDuplicates(["text"]))
     return out

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.llm.common import fold, thinned
+from metricloom.llm.common import fold, fresh, thinned
 
 SPACE = r"\x20\x09-\x0D"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -205,4 +205,5 @@ def judge(docs: DataFrame, rules: list[list[Condition]]) -> DataFrame:
 
 def keep_good(docs: DataFrame, rules: list[list[Condition]]) -> DataFrame:
     """The rows of docs, with its columns, that the base and the rules keep."""
-    return statistics(docs).where(~base_failed() & verdict(rules)).select(*docs.columns)
+    p = fresh(docs, "q_")
+    return statistics(docs, prefix=p).where(~base_failed(p) & verdict(rules, p)).select(*docs.columns)
