@@ -6,21 +6,26 @@ partitions and any engine can repeat them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from metricloom.operators.ordering import dense_id, sum_before
+
 
 def shuffled(seed: Column, key: Column) -> Column:
     return F.md5(F.concat_ws("|", seed.cast("string"), key.cast("string")))
 
 
 def random_split(df: DataFrame, key: str, seeds: list[int], test: float = 0.2, val: float = 0.1) -> DataFrame:
-    """(seed, key, pos, split_role): floor(test n) rows, then floor(val n), then the training pool; pos counts within the pool."""
+    """(seed, key, pos, split_role): floor(test n) rows, then floor(val n), then the training pool; pos counts within the pool.
+
+    Seeds are numbered together, as one sorted order; each has n rows of it.
+    """
     n = df.count()
     n_test, n_val = int(n * test), int(n * val)
-    rows = df.select(key).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-    w = Window.partitionBy("seed").orderBy(shuffled(F.col("seed"), F.col(key)), key)
-    rows = rows.withColumn("rn", F.row_number().over(w))
+    rows = df.select(key).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in sorted(set(seeds))])))
+    rows = dense_id(rows.withColumn("h_", shuffled(F.col("seed"), F.col(key))), "seed", "h_", key, name="id_")
+    rows = rows.withColumn("rn", F.col("id_") % max(n, 1) + 1)
     role = F.when(F.col("rn") <= n_test, "test").when(F.col("rn") <= n_test + n_val, "val").otherwise("train")
     return rows.select("seed", key, (F.col("rn") - n_test - n_val).cast("long").alias("pos"), role.alias("split_role"))
 
@@ -32,21 +37,26 @@ def nested_prefixes(pool: DataFrame, sizes: list[int]) -> DataFrame:
 
 
 def groups(df: DataFrame, key: str, member: str) -> DataFrame:
-    """Groups with their size and sorted members."""
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("size"), F.sort_array(F.collect_list(member)).alias("members"))
+    """Groups with their size, first and last member; a group may hold most rows, so members are not gathered in a list."""
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("size"), F.min(member).alias("first_id"), F.max(member).alias("last_id"))
+
+
+def group_members(df: DataFrame, key: str, member: str) -> DataFrame:
+    """(key, member, size): the groups' members, a row each."""
+    rows = df.where(F.col(key).isNotNull()).select(key, member)
+    return rows.join(rows.groupBy(key).agg(F.count(F.lit(1)).alias("size")), key)
 
 
 def group_split(sizes: DataFrame, key: str, seed: int, cap: int) -> DataFrame:
     """Whole groups to train while fewer than ``cap`` rows are there, then to val up to a third of the rest, then to test.
 
     The greedy fill equals a running sum before each group.  sizes holds one
-    row (key, size) for each group; the two orders are windows over groups,
-    not over rows.
+    row (key, size) for each group.
     """
-    total = sizes.agg(F.sum("size")).first()[0] or 0
-    before = F.coalesce(F.sum("size").over(Window.orderBy(F.desc("size"), shuffled(F.lit(seed), F.col(key)), key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = sizes.select(key, "size", (before < cap).alias("train"))
-    used = out.where("train").agg(F.sum("size")).first()[0] or 0
-    target = round((total - used) / 3)
-    seen = F.coalesce(F.sum("size").over(Window.partitionBy("train").orderBy(shuffled(F.lit(seed + 1), F.col(key)), key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return out.select(key, "size", F.when(F.col("train"), "train").when(seen < target, "val").otherwise("test").alias("split_role"))
+    rows = sizes.select(key, "size", shuffled(F.lit(seed), F.col(key)).alias("h_"), shuffled(F.lit(seed + 1), F.col(key)).alias("g_"))
+    filled = sum_before(rows, "size", F.desc("size"), "h_", key, name="before_")
+    train = filled.where(F.col("before_") < cap).select(key, "size", F.lit("train").alias("split_role"))
+    rest = filled.where(F.col("before_") >= cap)
+    target = round((rest.agg(F.sum("size")).first()[0] or 0) / 3)
+    rest = sum_before(rest.select(key, "size", "g_"), "size", "g_", key, name="seen_")
+    return train.unionByName(rest.select(key, "size", F.when(F.col("seen_") < target, "val").otherwise("test").alias("split_role")))

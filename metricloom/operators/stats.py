@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,14 +33,9 @@ def paired_test(d: str) -> list[Column]:
     return [m.alias("mean_diff"), p.alias("p"), (F.bool_and(F.col(d) > 0) | F.bool_and(F.col(d) < 0)).alias("agree")]
 
 
-def hash_draws(df: DataFrame, order: str, draws: int) -> DataFrame:
+def hash_draws(df: DataFrame, draws: int) -> DataFrame:
     """(draw, slot, pick): for each draw as many picks of a row number as df has rows, with replacement, by md5."""
     n = df.count()
-    grid = df.sparkSession.range(draws).withColumnRenamed("id", "draw").select("draw", F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))).alias("slot"))
+    grid = df.sparkSession.range(draws * n).select(F.expr(f"id div {max(n, 1)}").alias("draw"), (F.col("id") % max(n, 1)).alias("slot"))
     pick = F.conv(F.substring(F.md5(F.concat_ws("|", "draw", "slot")), 1, 8), 16, 10).cast("long") % max(n, 1)
     return grid.withColumn("pick", pick)
-
-
-def numbered(df: DataFrame, order: str) -> DataFrame:
-    """Row numbers from 0; for relations of a few rows, such as seeds or matched pairs."""
-    return df.withColumn("row", F.row_number().over(Window.orderBy(order)) - 1)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from metricloom.functions.text import key_parts, list_length, normaliser, sentinel, target_key
 from metricloom.operators import clean, curves, ranking, splits, stats
+from metricloom.operators.ordering import dense_id
 from metricloom.sources.tables import constants, geomspace, optional_column, pairs, runs, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,7 +131,7 @@ def dedup_conflict_drop(spark, d):
 @query("SELECT row_number() OVER (ORDER BY md5(text), doc_id) - 1 AS mol_id, doc_id FROM documents")
 def dense_surrogate_id(spark, d):
     rows = table(spark, d, "documents").select(F.md5("text").alias("h"), "doc_id")
-    return clean.dense_id(rows, "h", "doc_id", name="mol_id").select("mol_id", "doc_id")
+    return dense_id(rows, "h", "doc_id", name="mol_id").select("mol_id", "doc_id")
 
 
 @query("SELECT doc_id, md5(lower(trim(source))) AS key FROM documents")
@@ -169,10 +170,14 @@ def format_labels(spark, d):
 # --- groups and splits ---
 
 
-@query("SELECT p_name, count(*) AS size, min(p_partkey) AS first_id, max(p_partkey) AS last_id, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS members FROM part GROUP BY 1")
+@query("SELECT p_name, count(*) AS size, min(p_partkey) AS first_id, max(p_partkey) AS last_id FROM part GROUP BY 1")
 def scaffold_groups(spark, d):
-    g = splits.groups(table(spark, d, "part"), "p_name", "p_partkey")
-    return g.select("p_name", "size", F.array_min("members").alias("first_id"), F.array_max("members").alias("last_id"), F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
+    return splits.groups(table(spark, d, "part"), "p_name", "p_partkey")
+
+
+@query("SELECT p_name, p_partkey, count(*) OVER (PARTITION BY p_name) AS size FROM part")
+def scaffold_members(spark, d):
+    return splits.group_members(table(spark, d, "part"), "p_name", "p_partkey")
 
 
 @query("SELECT p_name, count(*) AS size FROM part GROUP BY 1 ORDER BY size DESC, p_name LIMIT 30")
@@ -302,8 +307,8 @@ DRAWS = f"""{PAIRS}, num AS (SELECT row_number() OVER (ORDER BY k) - 1 AS r, abs
 
 
 def _boot(spark, d):
-    num = stats.numbered(pairs(spark, d).select("k", F.abs(F.col("y") - F.col("x")).alias("e")), "k")
-    return stats.hash_draws(num, "k", 500).join(F.broadcast(num), F.col("pick") == F.col("row")).groupBy("draw").agg(F.avg("e").alias("m"))
+    num = dense_id(pairs(spark, d).select("k", F.abs(F.col("y") - F.col("x")).alias("e")), "k", name="row")
+    return stats.hash_draws(num, 500).join(num, F.col("pick") == F.col("row")).groupBy("draw").agg(F.avg("e").alias("m"))
 
 
 @query(f"WITH {DRAWS} SELECT draw, round(m, 4) AS m FROM means")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from metricloom.functions.text import key_parts, list_length, normaliser
 from metricloom.operators import clean, curves, ranking, splits, stats
+from metricloom.operators.ordering import dense_id, sum_before
 from metricloom.sources import sinks
 from metricloom.sources.tables import constants, optional_column, require_columns, scan_csv, scan_json
 from metricloom.streaming.events import windowed_counts
@@ -25,7 +26,7 @@ def test_conflicts_drop_and_first_row_stays(spark):
 
 def test_dense_id_counts_from_zero_in_order(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x")).repartition(7)
-    out = sorted((r.id, r.x) for r in clean.dense_id(df, "x").collect())
+    out = sorted((r.id, r.x) for r in dense_id(df, "x").collect())
     assert out == [(i, i) for i in range(1000)]
 
 
@@ -54,6 +55,23 @@ def test_random_split_partitions_ids_and_prefixes_nest(spark):
     assert len(five) == 10 and five < fifty and len(fifty) == 100
 
 
+def test_running_sums_in_order_with_ties_and_nulls(spark):
+    rows = [(i, (i * 37) % 5, None if i % 50 == 0 else i % 7) for i in range(400)]
+    df = spark.createDataFrame(rows, "i int, k int, v long").repartition(6)
+    got = {r.i: r.b for r in sum_before(df, "v", F.desc("k"), "i", name="b").collect()}
+    total = 0
+    for i, _, v in sorted(rows, key=lambda r: (-r[1], r[0])):
+        assert got[i] == total
+        total += v or 0
+    assert sum_before(df.limit(0), "v", "i", name="b").count() == 0 and dense_id(df.limit(0), "i").count() == 0
+
+
+def test_hot_values_spread_over_partitions(spark):
+    df = spark.range(5000).select(F.lit("same").alias("h"), F.col("id").alias("x")).repartition(9)
+    out = dense_id(df, "h", "x", name="n").where("n <> x")
+    assert out.count() == 0
+
+
 def test_group_split_fills_greedily(spark):
     rng = np.random.default_rng(1)
     sizes = [(f"g{i}", int(n)) for i, n in enumerate(rng.integers(1, 9, 60))]
