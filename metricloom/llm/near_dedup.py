@@ -39,6 +39,8 @@ SLOTS = 20  # bits of the array of document frequencies
 BLOCK = 14  # bits of a part of it that travels as one row
 BANDS, ROWS = 10, 3
 BLOCK_TEXTS = 128
+#: About so many members of a bucket meet one copy of their leader's text.
+LED_ROWS = 64
 #: Candidate ids up to this number are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -251,7 +253,11 @@ def _within(rest: DataFrame, led: DataFrame, texts: DataFrame, idf, threshold: f
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, idf, threshold: float) -> DataFrame:
-    """(a, b, alike) for distinct pairs of ids; texts holds (rep, text)."""
+    """(a, b, alike) for distinct pairs (a, leader b, n members of their bucket); texts holds (rep, text).
+
+    A leader's text is repeated for every LED_ROWS members, which are dealt
+    out among its copies: no task gathers all of a large group.
+    """
 
     def work():
         weights = Weights(idf.value)
@@ -266,8 +272,11 @@ def _verified(texts: DataFrame, pairs: DataFrame, idf, threshold: float) -> Data
         return each
 
     a = texts.select(F.col("rep").alias("a"), "text")
-    b = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(a, "a").join(b, "b").select("a", "b", "text", "text_b")
+    parts = F.ceil(F.col("n") / LED_ROWS).cast("int")
+    leaders = pairs.groupBy("b").agg(F.max("n").alias("n")).select("b", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    b = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")).join(leaders, "b")
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), parts).cast("int").alias("part"))
+    joined = dealt.join(a, "a").join(b, ["b", "part"]).select("a", "b", "text", "text_b")
     return map_texts(joined, work, "a long, b long, alike boolean")
 
 
@@ -326,7 +335,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, text: str = "text", key: st
     bands = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.col(v).alias("value")) for i, v in enumerate(names)]))
     members = reps.where("full").select("rep", "centre", bands.alias("x")).select("rep", "centre", "x.band", "x.value")
     led = checkpointed(_led(members))
-    pairs = checkpointed(led.where("a <> b").select("a", "b").distinct())
+    pairs = checkpointed(led.where("a <> b").groupBy("a", "b").agg(F.max("n").alias("n")))
     n = 2 * pairs.count()
     if n:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
