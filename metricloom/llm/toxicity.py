@@ -7,10 +7,10 @@ lower orders, built from continuation counts over both classes, so rare
 expressions weigh the same on both sides and cancel out.  A document's
 statistic is the difference of the two log-likelihoods divided by its length;
 a logistic curve, fitted on labelled rows whose counts were left out, turns it
-into a score.
+into a score.  The models that score have the counts of those rows as well.
 
-Counts come from every labelled row outside the held-out fold, by one shuffle
-of 4-gram counts that grows with the labelled text.  Only the evaluated
+Counts come from every labelled row outside the held-out fold, by shuffles
+of 4-gram counts that grow with the labelled text.  Only the evaluated
 differences travel to the tasks, in two hashed arrays of fixed size.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from metricloom.llm.codes import alnum, encode, mix
-from metricloom.llm.common import checkpointed, fold, map_texts, slices, thinned
+from metricloom.llm.common import checkpointed, fold, map_texts, slices
 
 ORDER = 4
 CHAR = 12  # bits of a folded character
@@ -165,13 +165,33 @@ def _inputs(x: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(x)), x, np.minimum(x, 0), np.log1p(n) - 7, x * (np.log1p(n) - 7)])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
-    w = np.zeros(x.shape[1])
+def logistic(rows: DataFrame, ridge: float = 1.0, steps: int = 50) -> np.ndarray | None:
+    """The curve's weights from all rows of (x, n, label), by Newton steps; None without both labels.
+
+    Each step is one pass in which a task sends a gradient and a curvature.
+    """
+    seen = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("toxic")).first()
+    if not seen["n"] or not 0 < seen["toxic"] < seen["n"]:
+        return None
+    size = 5
+    w = np.zeros(size)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        w -= np.linalg.solve(h, x.T @ (p - y) + ridge * w)
-    return w
+
+        def sums(batches: Iterator[pa.RecordBatch], w: np.ndarray = w) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(size * (size + 1))
+            for b in batches:
+                d, n, y = (b.column(k).to_numpy(zero_copy_only=False) for k in ("x", "n", "label"))
+                x = _inputs(d, n)
+                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                total += np.concatenate([x.T @ (p - y), ((x * (p * (1 - p))[:, None]).T @ x).ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["sums"])
+
+        total = np.sum([r["sums"] for r in rows.mapInArrow(sums, "sums array<double>").collect()], axis=0)
+        step = np.linalg.solve(total[size:].reshape(size, size) + ridge * np.eye(size), total[:size] + ridge * w)
+        w = w - step
+        if np.abs(step).max() < 1e-10:
+            break
+    return np.round(w, 9)  # tasks add in different orders
 
 
 def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -181,14 +201,14 @@ def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(known) if small else known, "doc_id")
 
 
-def train(docs: DataFrame, labels: DataFrame, max_calibration: int = 20_000) -> dict:
-    """Counts from four fifths of the labelled rows; the curve from at most ``max_calibration`` of the others."""
-    rows = with_labels(docs, labels)
-    counts = checkpointed(count_ngrams(rows.where(~F.col("calibrates"))))
+def arrays(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     seen, contexts = differences(counts)
-    tables = hashed(seen, SLOTS), hashed(contexts, SLOTS - 1)
-    n = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).count()
-    sent = docs.sparkSession.sparkContext.broadcast(tables)
+    return hashed(seen, SLOTS), hashed(contexts, SLOTS - 1)
+
+
+def calibration(rows: DataFrame, tables: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(x, n, label): statistic and length of each row of (text, label)."""
+    sent = rows.sparkSession.sparkContext.broadcast(tables)
 
     def work():
         known = sent.value
@@ -199,10 +219,16 @@ def train(docs: DataFrame, labels: DataFrame, max_calibration: int = 20_000) ->
 
         return each
 
-    some = thinned(rows.where("calibrates"), n, max_calibration, "doc_id", "label")
-    got = np.array([(r["x"], r["n"], r["label"]) for r in map_texts(some.select("text", F.col("label").cast("int").alias("label")), work, "x double, n long, label int").orderBy("x", "n", "label").collect()], float).reshape(-1, 3)
-    weights = logistic(_inputs(got[:, 0], got[:, 1]), got[:, 2]) if len(got) and 0 < got[:, 2].mean() < 1 else np.array([-3.0, 1.0, 0, 0, 0])
-    return {"tables": tables, "weights": weights}
+    return map_texts(rows.select("text", F.col("label").cast("int").alias("label")), work, "x double, n long, label int")
+
+
+def train(docs: DataFrame, labels: DataFrame) -> dict:
+    """The curve from a fifth of the labelled rows, with counts of the others; then the counts of all of them."""
+    rows = with_labels(docs, labels)
+    others = checkpointed(count_ngrams(rows.where(~F.col("calibrates"))))
+    weights = logistic(checkpointed(calibration(rows.where("calibrates"), arrays(others))))
+    counts = others.unionByName(count_ngrams(rows.where("calibrates"))).groupBy("key").agg(F.sum("ct").alias("ct"), F.sum("co").alias("co"))
+    return {"tables": arrays(checkpointed(counts)), "weights": np.array([-3.0, 1.0, 0, 0, 0]) if weights is None else weights}
 
 
 def score(model: dict, texts: list[str]) -> np.ndarray:

@@ -66,6 +66,26 @@ def test_toxicity_separates_and_counts_are_exact(spark, odd):
     assert sum(a for a, _ in got.values()) == 3 and sum(b for _, b in got.values()) == 3 + 2
 
 
+def test_toxicity_counts_and_curve_use_all_labelled_rows(spark):
+    ids = spark.range(900).withColumnRenamed("id", "doc_id")
+    fifth = {r.doc_id for r in ids.where("pmod(xxhash64(doc_id), 5) = 0").collect()}
+    rows = [(i, made(i, 50) + (" vile scoundrel" * 4 if i % 3 == 0 else "") + (" qzjx" if i % 3 == 0 and i in fifth else "")) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    key, _ = toxicity.ngrams(["qzjx"])
+    assert (model["tables"][0][toxicity.slot(key[3:4], toxicity.SLOTS)] > 0.5).all()
+
+    known = toxicity.with_labels(docs, labels)
+    points = toxicity.calibration(known.where("calibrates"), toxicity.arrays(toxicity.count_ngrams(known.where("NOT calibrates")))).toPandas()
+    assert len(points) == sum(i in fifth and zlib.crc32(str(i).encode()) % 3 != 1 for i, _ in rows)
+    x, y, w = toxicity._inputs(points.x.values, points.n.values), points.label.values, np.zeros(5)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(5), x.T @ (p - y) + w)
+    assert model["weights"] == pytest.approx(w, abs=1e-6)
+
+
 def test_packing_is_exact_and_gapless(spark, odd):
     docs = odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     out = packing.pack(docs, tokenizer_path(), capacity=128).toPandas()
