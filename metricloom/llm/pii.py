@@ -3,10 +3,10 @@
 Emails, IP addresses, card and phone numbers are found by patterns and checks.
 A text with signs of disguise also passes a chain of transducers: look-alike
 letters and digits of other scripts become plain ones, zero-width characters
-go, spelled digits become digits, and ``at`` and ``dot`` in brackets or
-between the words of an address become their characters.  Each rewritten piece
-remembers its place, so that what the same patterns find in the normal form
-maps back to source characters.
+go, spelled digits become digits, also with ``dot`` between them, and ``at``
+and ``dot`` in brackets or between the words of an address become their
+characters.  Each rewritten piece remembers its place, so that what the same
+patterns find in the normal form maps back to source characters.
 """
 
 from __future__ import annotations
@@ -48,10 +48,19 @@ _ODD = re.compile("[" + re.escape("".join(LOOKALIKES)) + HIDDEN + "]")
 _WORD = "(?:" + "|".join(DIGITS) + ")"
 _NUMBER = re.compile(rf"(?i)(?:\bplus[\s-]+|\+\s*)?\b{_WORD}(?:[\s,-]+(?:{_WORD}|[0-9]+)){{{SPELLED - 1},}}\b")
 _TOKEN = re.compile(rf"(?i)\bplus\b|{_WORD}|[0-9]+|\+")
+#: The same with ``dot`` between the digits.
+_DOTTED = re.compile(rf"(?i)(?:\bplus[\s-]+|\+\s*)?\b{_WORD}(?:[\s,-]+(?:dot[\s,-]+)?(?:{_WORD}|[0-9]+)){{{SPELLED - 1},}}\b")
+_DOTTED_TOKEN = re.compile(rf"(?i)\bplus\b|{_WORD}|[0-9]+|\+|dot")
+#: Four numbers, in digits or up to three digit words, with dots of any form between them.
+_PART = rf"(?:(?<![0-9])[0-9]+|\b{_WORD}(?:[\s,-]+{_WORD}){{0,2}}\b)"
+_QUAD = re.compile(rf"(?i){_PART}(?:(?:\s+dot\s+|\.){_PART}){{3}}")
+_QUAD_TOKEN = re.compile(rf"(?i)({_WORD})[\s,-]+(?={_WORD})|({_WORD})|\s+dot\s+")
 _BRACKET = {"at": re.compile(r"(?i)\s*[\[({<]\s*at\s*[\])}>]\s*"), "dot": re.compile(r"(?i)\s*[\[({<]\s*dot\s*[\])}>]\s*")}
 #: Bare words count only as name at name dot name, with more dots behind.
 _BARE = re.compile(r"(?i)(?<=[a-z0-9_])(\s+at\s+|@)[a-z0-9-]+((?:\s+dot\s+[a-z0-9-]+)+)\b")
 _BARE_DOT = re.compile(r"(?i)\s+dot\s+")
+#: In lower case: what could be a dot or a number in disguise without any ``at``.
+_HINT = re.compile(rf"[\[({{<]\s*dot\s*[\])}}>]|\.{_WORD}|{_WORD}\.[0-9a-z]")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -122,12 +131,12 @@ def lookalikes(n: Normal) -> None:
     n.rewrite([(m.start(), m.end(), LOOKALIKES.get(m[0], "")) for m in _ODD.finditer(n.text)])
 
 
-def spelled(n: Normal) -> None:
+def spelled(n: Normal, dotted: bool = False) -> None:
     edits = []
-    for m in _NUMBER.finditer(n.text):
-        for t in _TOKEN.finditer(n.text, *m.span()):
+    for m in (_DOTTED if dotted else _NUMBER).finditer(n.text):
+        for t in (_DOTTED_TOKEN if dotted else _TOKEN).finditer(n.text, *m.span()):
             word = t[0].lower()
-            new = "+" if word in ("plus", "+") else DIGITS.get(word, word)
+            new = "+" if word in ("plus", "+") else "." if word == "dot" else DIGITS.get(word, word)
             to = t.end()
             while to < m.end() and (n.text[to].isspace() or n.text[to] in ",-"):
                 to += 1  # what stands between the digits goes with them
@@ -145,33 +154,39 @@ def signs(n: Normal) -> None:
             edits.append((m.start(1), m.end(1), "@"))
         edits += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(n.text, m.start(2), m.end(2))]
     n.rewrite(edits)
+    edits = []
+    for m in _QUAD.finditer(n.text):
+        edits += [(t.start(), t.end(), DIGITS.get((t[1] or t[2]).lower(), t[0]) if t[1] or t[2] else ".") for t in _QUAD_TOKEN.finditer(n.text, *m.span())]
+    n.rewrite(edits)
 
 
 def disguised_spans(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans that only the normal form shows, in source characters, clear of the plain ones of their kind."""
+    """Spans that only a normal form shows, in source characters; none lies within a plain one of its kind."""
     low = text.lower()
     odd = _ODD.search(text) is not None
     words = sum(map(low.count, DIGITS)) >= SPELLED if any(d in low for d in DIGITS) else False
-    if not (odd or words or ("dot" in low and "at" in low) or "at" in low and re.search(r"[\[({<]\s*at\s*[\])}>]", low)):
-        return []
-    n = Normal(text)
-    if odd:
-        lookalikes(n)
-    spelled(n)
-    signs(n)
-    if not n.changed:
+    dots = low.count("dot")
+    if not (odd or words or dots >= 3 or (dots and ("at" in low or "@" in low)) or "at" in low and re.search(r"[\[({<]\s*at\s*[\])}>]", low) or _HINT.search(low)):
         return []
+    found: set[tuple[str, int, int]] = set()
+    for dotted in (False, True) if odd or (words and dots) else (False,):
+        n = Normal(text)
+        if odd:
+            lookalikes(n)
+        spelled(n, dotted)
+        signs(n)
+        if n.changed:
+            # a deleted character leaves no mark of its own, but source and normal form differ in length
+            found |= {(kind, n.starts[a], n.ends[b - 1]) for kind, a, b in plain_spans(n.text) if any(n.touched[a:b]) or n.ends[b - 1] - n.starts[a] != b - a}
     taken: dict[str, list[tuple[int, int]]] = {}
     for kind, a, b in plain:
         taken.setdefault(kind, []).append((a, b))
     out = []
-    for kind, a, b in plain_spans(n.text):
-        if any(n.touched[a:b]):
-            s, e = n.starts[a], n.ends[b - 1]
-            old = taken.get(kind, [])
-            i = bisect_right(old, (s, e))
-            if not (i and old[i - 1][1] > s) and not (i < len(old) and old[i][0] < e):
-                out.append((kind, s, e))
+    for kind, a, b in sorted(found):
+        old = taken.get(kind, [])
+        i = bisect_right(old, a, key=lambda x: x[0])
+        if not (i and old[i - 1][1] >= b):
+            out.append((kind, a, b))
     return out
 
 
@@ -189,8 +204,9 @@ def detect(docs: DataFrame) -> DataFrame:
     """(doc_id, spans) for each row of docs; spans in code points, end exclusive.
 
     Null and empty texts hold none.  Rows that repeat and null ids give a row
-    each; an empty table gives none.  Other columns are not read.  Spans of
-    one kind do not overlap; of two that would, the plain one stays.
+    each; an empty table gives none.  Other columns are not read.  A disguised
+    span that lies within a plain one of its kind is not told again; one that
+    reaches further stands beside it, so spans may overlap.
     """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("plain", pa.bool_())]))
 

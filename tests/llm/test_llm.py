@@ -248,6 +248,34 @@ def test_personal_data_against_the_patterns(spark, odd):
     assert pii.redact(spark.createDataFrame([(1, "to a@b.co!")], "doc_id long, text string")).first().text == "to <EMAIL>!"
 
 
+@pytest.mark.parametrize(
+    "text, kind, part",
+    [
+        ("ip 192.168.\u200b1.10 ok", "ip", "192.168.\u200b1.10"),
+        ("to john\u200b@example.com now", "email", "john\u200b@example.com"),
+        ("card 4111 1111\u2060 1111 1111 ok", "card", "4111 1111\u2060 1111 1111"),
+        ("joe@corp[dot]com", "email", "joe@corp[dot]com"),
+        ("see 10[dot]0[dot]0[dot]1 ok", "ip", "10[dot]0[dot]0[dot]1"),
+        ("see 10 dot 0 dot 0 dot 1 ok", "ip", "10 dot 0 dot 0 dot 1"),
+        ("on one nine two dot one six eight dot one dot one ok", "ip", "one nine two dot one six eight dot one dot one"),
+        ("on 192 dot 168 dot one dot one ok", "ip", "192 dot 168 dot one dot one"),
+        ("on 192.168.one.one ok", "ip", "192.168.one.one"),
+        ("call plus one dot two zero two dot five five five dot zero one two three ok", "phone", "plus one dot two zero two dot five five five dot zero one two three"),
+        ("call plus one two zero two five five five zero one two three dot one two three four five six", "phone", "plus one two zero two five five five zero one two three"),
+        ("jоhn.smith@example.com", "email", "jоhn.smith@example.com"),
+    ],
+)
+def test_personal_data_in_disguise(text, kind, part):
+    assert (kind, part, False) in [(k, text[a:b], p) for k, a, b, p in pii.spans(text)]
+
+
+def test_disguise_reports_the_wider_span_beside_the_plain_one():
+    text = "jоhn.smith@example.com"
+    assert [(text[a:b], p) for _, a, b, p in pii.spans(text)] == [(text, False), ("hn.smith@example.com", True)]
+    for text in ["\u200bjohn@example.com\u200b", "one two three dot four", "the anecdote, a dotted line, dot dot dot", "no one.We had two.Then", "10 dots 0"]:
+        assert [x for x in pii.spans(text) if not x[3]] == [], text
+
+
 def test_lines_against_loops_both_ways(spark, odd):
     rng = random.Random(11)
     texts = ["\n".join(rng.choice([" The Line ", "the line", "x", "", "  ", "É", "é", f"own {rng.randrange(50)}"]) for _ in range(rng.randrange(7))) for _ in range(120)]
