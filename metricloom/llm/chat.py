@@ -182,7 +182,10 @@ def digests(events: DataFrame) -> DataFrame:
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """One event for each row of (conv_id, turn, role, text); rows of one turn are messages of their own."""
+    """One event for each row of (conv_id, turn, role, text); rows of one turn are messages of their own.
+
+    Null turns are one turn before all others.
+    """
     repeated = conversations.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     base = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long").alias("message"), F.lit(0).cast("long").alias("seq"), F.lit("message").alias("kind"), "role", "text")
     return base if repeated.isEmpty() else _spread(base)
@@ -190,6 +193,7 @@ def as_events(conversations: DataFrame) -> DataFrame:
 
 def _spread(events: DataFrame) -> DataFrame:
     """Gives rows that share a turn numbers of their own: turns are counted in steps that leave room for them."""
-    n = events.groupBy("conv_id", "message").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    n, first = events.groupBy("conv_id", "message").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.min("message")).first()
     w = Window.partitionBy("conv_id", "message").orderBy("role", "text")
-    return events.withColumn("message", F.col("message") * int(n) + F.row_number().over(w) - 1)
+    turn = F.coalesce("message", F.lit(0 if first is None else first - 1).cast("long"))
+    return events.withColumn("message", turn * int(n) + F.row_number().over(w) - 1)

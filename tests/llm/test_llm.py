@@ -222,6 +222,21 @@ def test_chat_folds_and_round_trips(spark):
     assert chat.digests(spark.createDataFrame([], chat.EVENTS)).count() == 0
 
 
+def test_chat_rows_of_one_turn_and_null_turns_are_all_kept(spark):
+    rows = [(1, 0, "user", "c"), (1, None, "user", "b"), (1, None, "system", "a"), (1, 1, "user", "e"), (1, 1, "assistant", "d"), (2, None, "user", "x"), (2, None, "user", "y"), (3, -5, "user", "z"), (None, None, "user", "p"), (None, None, "user", "q")]
+    schema = "conv_id long, turn int, role string, text string"
+
+    def said(rows):
+        return {r.conv_id: (r.n_turns, r.turns_sha256) for r in chat.digests(chat.as_events(spark.createDataFrame(rows, schema).repartition(3))).collect()}
+
+    def want(*turns):
+        return len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+
+    two = want(("user", "x"), ("user", "y"))
+    assert said(rows) == {1: want(("system", "a"), ("user", "b"), ("user", "c"), ("assistant", "d"), ("user", "e")), 2: two, 3: want(("user", "z")), None: want(("user", "p"), ("user", "q"))}
+    assert said(rows[5:7]) == {2: two}
+
+
 def plain_reference(t):
     def luhn(d):
         return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
