@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from metricloom.operators.ordering import checkpointed
+
 
 def predict(n, a, b, c):
     return a * F.pow(n, -b) + c
@@ -39,8 +41,28 @@ def refine(fit: DataFrame, points: DataFrame, *keys: str, rounds: int = 6) -> Da
 
 def crossover(curves: DataFrame, *keys: str, low: float = 500, high: float = 10_000, points: int = 4000) -> DataFrame:
     """(keys, crossover): the last grid point before the first change of sign of curve 1 less curve 2; null without one or with null parameters."""
-    grid = curves.sparkSession.range(points).select(F.col("id").alias("i"), (low * F.pow(F.lit(high / low), F.col("id") / (points - 1))).alias("x"))
-    d = predict(F.col("x"), F.col("a1"), F.col("b1"), F.col("c1")) - predict(F.col("x"), F.col("a2"), F.col("b2"), F.col("c2"))
-    s = curves.crossJoin(F.broadcast(grid)).select(*keys, "i", "x", F.signum(d).alias("s"))  # the grid has a fixed size
-    s = s.withColumn("next", F.lead("s").over(Window.partitionBy(*keys).orderBy("i")))
-    return s.groupBy(*keys).agg(F.min(F.when(F.col("s") != F.col("next"), F.col("x"))).alias("crossover"))
+    x = lambda i: low * F.pow(F.lit(high / low), i / (points - 1))
+    grid = curves.sparkSession.range(points - 1).select(x(F.col("id")).alias("x"), x(F.col("id") + 1).alias("next"))
+
+    def sign(at: str):
+        return F.signum(predict(F.col(at), F.col("a1"), F.col("b1"), F.col("c1")) - predict(F.col(at), F.col("a2"), F.col("b2"), F.col("c2")))
+
+    s = curves.crossJoin(F.broadcast(grid))  # the grid has a fixed size
+    return s.groupBy(*keys).agg(F.min(F.when(sign("x") != sign("next"), F.col("x"))).alias("crossover"))
+
+
+def bootstrap_crossovers(points: DataFrame, base: str, low: float, high: float, parts: int = 64) -> DataFrame:
+    """(split, method_id, found, lo, hi): share of draws where a method's curve crosses the base's, and the middle 95 %.
+
+    points has (split, method_id, draw, n, y).  The interval is null unless
+    more than 20 draws cross.  Curves are dealt into ``parts``, so that grids
+    and fits of a curve stay in one task.
+    """
+    keys = ("split", "method_id", "draw")
+    points = checkpointed(points.repartition(parts, *keys))
+    fits = checkpointed(refine(fit_grid(points, *keys), points, *keys))
+    one = fits.where(F.col("method_id") == base).select("split", "draw", F.col("a").alias("a1"), F.col("b").alias("b1"), F.col("c").alias("c1"))
+    two = fits.where(F.col("method_id") != base).select("split", "draw", "method_id", F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("c").alias("c2"))
+    x = crossover(one.join(two, ["split", "draw"]).repartition(parts, *keys), *keys, low=low, high=high)
+    x = x.groupBy("split", "method_id").agg(F.avg(F.col("crossover").isNotNull().cast("double")).alias("found"), F.count("crossover").alias("n"), F.percentile("crossover", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    return x.select("split", "method_id", "found", *[F.when(F.col("n") > 20, F.col("q")[i]).alias(k) for i, k in enumerate(("lo", "hi"))])

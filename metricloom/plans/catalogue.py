@@ -510,11 +510,7 @@ def bootstrap_curve(spark, d):
 
 @query()
 def crossover_bootstrap(spark, d):
-    fits = curves.fit_grid(_boot_curves(spark, d), "split", "method_id", "draw", steps=60)
-    one = fits.where("method_id = 'AUTOMOBILE'").select("split", "draw", F.col("a").alias("a1"), F.col("b").alias("b1"), F.col("c").alias("c1"))
-    two = fits.where("method_id <> 'AUTOMOBILE'").select("split", "draw", "method_id", F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("c").alias("c2"))
-    x = curves.crossover(one.join(two, ["split", "draw"]), "split", "method_id", "draw", low=1, high=7, points=200)
-    return x.groupBy("split", "method_id").agg(F.avg(F.col("crossover").isNotNull().cast("double")).alias("found"), F.percentile("crossover", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select("split", "method_id", "found", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    return curves.bootstrap_crossovers(_boot_curves(spark, d, draws=2000), "AUTOMOBILE", low=1, high=7)
 
 
 @query(f"WITH {BOOT}, mx AS (SELECT *, max(y) OVER (PARTITION BY split, method_id, draw) AS m FROM boot) SELECT split, method_id, round(avg(CASE WHEN abs(y - m) <= 1e-8 + 1e-5 * abs(m) THEN 1.0 ELSE 0.0 END), 6) AS share FROM mx GROUP BY 1, 2")

@@ -130,6 +130,45 @@ def test_crossover_point_of_published_fits(spark):
     assert got["none"] is None and got["null"] is None
 
 
+def test_bootstrap_crossovers_against_a_loop(spark):
+    rng = np.random.default_rng(3)
+    n = np.arange(1.0, 8.0)
+    rows = []
+    for split, crossing in (("often", 25), ("seldom", 15)):
+        for draw in range(30):
+            a2, b2 = (1.2, 0.8) if draw < crossing else (2.0, 0.3)
+            for m, y in (("base", 1.0 * n**-0.4 + 0.05), ("m", a2 * n**-b2 + 0.05)):
+                rows += [(split, m, draw, x, v) for x, v in zip(n.tolist(), (y + rng.normal(0, 1e-3, 7)).tolist(), strict=True)]
+    got = {r.split: r for r in curves.bootstrap_crossovers(spark.createDataFrame(rows, "split string, method_id string, draw int, n double, y double"), "base", 1, 7, parts=4).collect()}
+
+    def fit(y):
+        low, high = 0.01, 2.0
+        for _ in range(6):
+            b = np.linspace(low, high, 400)
+            z = n ** -b[:, None]
+            d = z - z.mean(1, keepdims=True)
+            c = np.clip(y.mean() - (d * (y - y.mean())).sum(1) / (d * d).sum(1) * z.mean(1), 0, y.min())
+            a = np.maximum(((y - c[:, None]) * z).sum(1) / (z * z).sum(1), 0)
+            i = ((y - a[:, None] * z - c[:, None]) ** 2).sum(1).argmin()
+            best, step = (a[i], b[i], c[i]), (high - low) / 399
+            low, high = max(b[i] - step, 0.01), min(b[i] + step, 2.0)
+        return best
+
+    ys = {}
+    for split, m, draw, _, y in rows:
+        ys.setdefault((split, m, draw), []).append(y)
+    grid = np.geomspace(1, 7, 4000)
+    for split in ("often", "seldom"):
+        at = []
+        for draw in range(30):
+            one, two = ((lambda a, b, c: a * grid**-b + c)(*fit(np.array(ys[split, m, draw]))) for m in ("base", "m"))
+            at += list(grid[np.flatnonzero(np.diff(np.sign(one - two)))[:1]])
+        assert got[split].found == pytest.approx(len(at) / 30)
+        want = np.quantile(at, [0.025, 0.975]) if len(at) > 20 else [None, None]
+        assert [got[split].lo, got[split].hi] == (want if len(at) <= 20 else pytest.approx(want, rel=2e-3))
+    assert got["often"].lo is not None and got["seldom"].lo is None
+
+
 #: Mean errors published for one cell; the order is known.
 def test_ranks_of_a_published_cell(spark):
     cell = {"rdkit_rf": 0.1463508287, "rdkit_xgb": 0.1417843655, "rdkit_mlp": 0.1334915265, "morgan_rf": 0.1951530973, "morgan_xgb": 0.1951533407, "morgan_mlp": 0.2124003440, "gine": 0.1324619591}
