@@ -59,7 +59,7 @@ def bootstrap_crossovers(points: DataFrame, base: str, low: float, high: float,
     and fits of a curve stay in one task.
     """
     keys = ("split", "method_id", "draw")
-    points = checkpointed(points.repartition(parts, *keys))
+    points = checkpointed(points).repartition(parts, *keys)
     fits = checkpointed(refine(fit_grid(points, *keys), points, *keys))
     one = fits.where(F.col("method_id") == base).select("split", "draw", F.col("a").alias("a1"), F.col("b").alias("b1"), F.col("c").alias("c1"))
     two = fits.where(F.col("method_id") != base).select("split", "draw", "method_id", F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("c").alias("c2"))
