@@ -21,9 +21,13 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def encode(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of all texts with GAP zeros behind each, and where each text starts and ends."""
+    """Code points of all texts with GAP zeros behind each, and where each text starts and ends.
+
+    Lower case keeps the places of characters: the one letter whose lower
+    case is two code points (dotted capital I) becomes a plain i.
+    """
     if lower:
-        texts = [x.lower() for x in texts]
+        texts = [x.replace("\u0130", "i").lower() for x in texts]
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     gap = "\0" * GAP
     codes = np.frombuffer((gap.join(texts) + gap).encode("utf-32-le", "surrogatepass"), np.uint32)
