@@ -2,23 +2,25 @@
 
 1. Shingles are five successive words (letters and digits, lower case).  Their
    document frequencies are counted over all documents in a hashed array of
-   fixed size; what other shingles add to a slot on average is taken off.  The
-   (clipped) inverse document frequency times the count in the text is a
-   shingle's weight.
+   fixed size; what other shingles add to a slot on average is taken off.  A
+   shingle weighs its count in the text times its damped inverse document
+   frequency, (1 + log((1 + n) / (1 + df))) ** DAMPING.
 2. Improved consistent weighted sampling draws for each text samples that
    agree between two texts with a probability equal to their weighted Jaccard
    similarity.  Bands of three samples put texts into buckets.
-3. Equal texts are one class from the start.  In each bucket every text is
-   compared to the bucket's leader, the text whose shingles are the most
-   frequent on average (the origin of a group of copies has more of them than
-   any copy).  Where some are not alike to the leader, those are compared to
-   all texts of the bucket, in blocks of bounded size; a block passes on only
-   links between texts that it has not connected yet.
-4. Similarity is the exact weighted Jaccard similarity of the two whole texts.
+3. Equal texts are one from the start.  In each bucket every text is compared
+   to the bucket's leader, the text whose shingles are the most frequent on
+   average (the origin of a group of copies has more of them than any copy).
+4. Texts connected so far are components.  A bucket whose texts are all of one
+   component is done; in the others, texts outside the leader's component are
+   compared to those of other components and of a total weight within the
+   threshold of their own, in blocks of bounded size.
+5. Similarity is the exact weighted Jaccard similarity of the two whole texts.
    Connected texts become classes.
 
 No step emits all pairs of a large group, and only the array of frequencies,
-of fixed size, is sent to the tasks.
+of fixed size, is sent to the tasks.  Rows of a hot bucket or class are dealt
+over SALTS tasks for each join.
 """
 
 from __future__ import annotations
@@ -38,7 +40,10 @@ WORDS = 5
 SLOTS = 20  # bits of the array of document frequencies
 BLOCK = 14  # bits of a part of it that travels as one row
 BANDS, ROWS = 10, 3
+#: Undamped weights let a few edited words outweigh all that the copies of a large group share.
+DAMPING = 0.25
 BLOCK_TEXTS = 128
+SALTS = 8
 #: About so many members of a bucket meet one copy of their leader's text.
 LED_ROWS = 64
 #: Candidate ids up to this number are broadcast to pick their texts; more are joined by a shuffle.
@@ -110,9 +115,7 @@ def frequencies(docs: DataFrame, text: str) -> np.ndarray:
     for r in rows:
         counts[r["part"] << BLOCK : (r["part"] + 1) << BLOCK] = np.frombuffer(r["counts"], "<i8")
     df = np.maximum(counts - seen / (1 << SLOTS), 1)
-    # Shingles in fewer than a hundredth of the documents weigh 1: the rarity of an edit's shingles must not outweigh
-    # the text that copies share.  Common ones weigh less, but not so little that a large group of copies falls apart.
-    return np.stack([(np.log((1 + n) / df) / np.log(100)).clip(0.6, 1), df]).astype(np.float32)
+    return np.stack([(1 + np.log((1 + n) / (1 + df))).clip(0.1) ** DAMPING, df]).astype(np.float32)
 
 
 def _draws() -> tuple[np.ndarray, np.ndarray]:
@@ -122,16 +125,18 @@ def _draws() -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(texts: list[str], idf: np.ndarray, draws: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(texts x bands) hashes, the mean frequency of each text's shingles, and whether it has any."""
+    """(texts x bands) hashes, the mean frequency of each text's shingles, and their total weight (0 without any)."""
     row, s, count = shingles(texts)
     sizes = np.bincount(row, minlength=len(texts))
     full = sizes > 0
     out = np.zeros((len(texts), BANDS), np.int64)
     centre = np.zeros(len(texts), np.float32)
     if not len(s):
-        return out, centre, full
+        return out, centre, np.zeros(len(texts))
     at = slot(s)
-    log_weight = np.log(count * idf[0][at]).astype(np.float32)
+    weight = count * idf[0][at].astype(np.float64)
+    total = np.bincount(row, weight, len(texts))
+    log_weight = np.log(weight).astype(np.float32)
     centre = (np.bincount(row, idf[1][at], len(texts)) / np.maximum(sizes, 1)).astype(np.float32)
     begin = (np.cumsum(sizes) - sizes)[full]
     lengths = sizes[full]
@@ -150,7 +155,7 @@ def signatures(texts: list[str], idf: np.ndarray, draws: tuple[np.ndarray, np.nd
             which = hit[np.searchsorted(hit, begin)]  # the first of equal ones
             h = mix(h * np.uint64(31) + s[index[which]] + (t[which].astype(np.int64).astype(np.uint64) << np.uint64(45)))
         out[full, band] = h.view(np.int64)
-    return out, centre, full
+    return out, centre, total
 
 
 class Weights:
@@ -175,12 +180,17 @@ class Weights:
         return float(least / (a[1].sum() + b[1].sum() - least))
 
 
+def _dealt_join(rows: DataFrame, few: DataFrame, keys: list[str], deal: str, how: str = "inner") -> DataFrame:
+    """rows joined to few, which has one row for each key: few is repeated SALTS times, and a hot key's rows are dealt over that many tasks."""
+    few = few.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt_", F.pmod(F.xxhash64(deal, F.lit(7)), F.lit(SALTS)).cast("int"))
+    return rows.join(few, [*keys, "salt_"], how).drop("salt_")
+
+
 def _led(members: DataFrame) -> DataFrame:
-    """Buckets of two texts or more: a row (a, b, band, value, n) for each member a, with the leader b."""
-    size = members.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.max("centre").alias("top")).where("n > 1")
-    held = members.join(size, ["band", "value"])
-    leader = held.where("centre = top").groupBy("band", "value").agg(F.min("rep").alias("b"))
-    return held.join(leader, ["band", "value"]).select(F.col("rep").alias("a"), "b", "band", "value", "n")
+    """Buckets of two texts or more: a row (a, b, total, band, value, n) for each member a, with the leader b."""
+    lead = members.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.max_by("t", "centre").alias("b")).where("n > 1")
+    return _dealt_join(members, lead, ["band", "value"], "t").select(F.col("t").alias("a"), "b", "total", "band", "value", "n")
 
 
 class _Block:
@@ -202,29 +212,41 @@ class _Block:
         return least / (x[1].sum() + self.total - least)
 
 
-def _within(rest: DataFrame, led: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """Links (a, b) between rest, members not alike to their leader, and all members of their buckets.
+def _within(led: DataFrame, roots: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """Links (a, b) between components that meet in a bucket; roots holds (node, root) for what is connected so far.
 
-    Both sides of a bucket are dealt into blocks; each pair of blocks is one
-    group with at most about twice BLOCK_TEXTS texts.
+    Texts outside the leader's component are the left side, all texts of the
+    bucket the right.  Alike texts have totals within the threshold of each
+    other, so sides meet by classes of totals, own or next.  Both are dealt
+    into blocks; a pair of blocks is one group of about twice BLOCK_TEXTS
+    texts at most.
     """
-    size = rest.groupBy("band", "value").agg(F.count(F.lit(1)).alias("m"))
-    sizes = led.join(size, ["band", "value"]).where("n > 2")
-
-    def blocks(n: str):
-        return F.ceil(F.col(n) / BLOCK_TEXTS).cast("int")
-
-    def own(n: str):
-        return F.pmod(F.xxhash64("rep", F.lit(n)), blocks(n)).cast("int")
-
-    def every(n: str):
-        return F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-
-    members = sizes.select(F.col("a").alias("rep"), "band", "value", "n", "m")
-    left = members.join(rest.select(F.col("a").alias("rep"), "band", "value"), ["rep", "band", "value"])
-    left = left.select("rep", "band", "value", own("m").alias("i"), every("n").alias("j"), F.lit(True).alias("left"))
-    right = members.select("rep", "band", "value", every("m").alias("i"), own("n").alias("j"), F.lit(False).alias("left"))
-    dealt = left.unionByName(right).join(texts, "rep")
+    bucket = ["band", "value"]
+    known = led.join(roots, F.col("a") == F.col("node"), "left").select("a", "total", *bucket, F.coalesce("root", "a").alias("own"), (F.col("a") == F.col("b")).alias("leads"))
+    mixed = known.groupBy(*bucket).agg(F.min("own").alias("low"), F.max("own").alias("high"), F.max(F.when(F.col("leads"), F.col("own"))).alias("first")).where("low <> high").select(*bucket, "first")
+    rows = checkpointed(_dealt_join(known, mixed, bucket, "a").withColumn("size", F.floor(F.log("total") / (1e-3 - np.log(threshold))).cast("int")))
+    if rows.isEmpty():
+        return rows.select("a", F.col("own").alias("b")).limit(0)
+    left = rows.where("own <> first")
+    right = rows.withColumn("size", F.explode(F.array(*[F.col("size") + i for i in (-1, 0, 1)])))
+    m = left.groupBy(*bucket, "size").agg(F.count(F.lit(1)).alias("m"))
+    right = _dealt_join(right, m, [*bucket, "size"], "a")
+    n = right.groupBy(*bucket, "size").agg(F.count(F.lit(1)).alias("n"))
+    left = _dealt_join(_dealt_join(left, m, [*bucket, "size"], "a"), n, [*bucket, "size"], "a")
+    right = _dealt_join(right, n, [*bucket, "size"], "a")
+
+    def blocks(c: str):
+        return F.ceil(F.col(c) / BLOCK_TEXTS).cast("int")
+
+    def one(c: str):
+        return F.pmod(F.xxhash64("a", F.lit(c)), blocks(c)).cast("int")
+
+    def every(c: str):
+        return F.explode(F.sequence(F.lit(0), blocks(c) - 1))
+
+    cell = [F.col("a").alias("t"), *bucket, "size", "own"]
+    dealt = left.select(*cell, one("m").alias("i"), every("n").alias("j"), F.lit(True).alias("left"))
+    dealt = dealt.unionByName(right.select(*cell, every("m").alias("i"), one("n").alias("j"), F.lit(False).alias("left"))).join(texts, "t")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         weights = Weights(idf.value)
@@ -239,21 +261,21 @@ def _within(rest: DataFrame, led: DataFrame, texts: DataFrame, idf, threshold: f
                     v = root[v]
                 return v
 
-            names = y["rep"].tolist()
+            names = y["own"].to_numpy()
             block = _Block([z for i in range(0, len(y), 32) for z in weights.sets(y["text"].iloc[i : i + 32].tolist())])
-            for a, text in zip(x["rep"].tolist(), x["text"], strict=True):
-                for k in np.flatnonzero(block.similarities(weights.sets([text])[0]) >= threshold).tolist():
-                    u, v = find(a), find(names[k])
+            for a, text in zip(x["own"].tolist(), x["text"], strict=True):
+                for k in np.flatnonzero((names != a) & (block.similarities(weights.sets([text])[0]) >= threshold)).tolist():
+                    u, v = find(a), find(int(names[k]))
                     if u != v:
                         root[max(u, v)] = min(u, v)
-                        out.append((a, names[k]))
+                        out.append((a, int(names[k])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("band", "value", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return dealt.groupBy(*bucket, "size", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, idf, threshold: float) -> DataFrame:
-    """(a, b, alike) for distinct pairs (a, leader b, n members of their bucket); texts holds (rep, text).
+    """(a, b, alike) for distinct pairs (a, leader b, n members of their bucket); texts holds (t, text).
 
     A leader's text is repeated for every LED_ROWS members, which are dealt
     out among its copies: no task gathers all of a large group.
@@ -271,10 +293,10 @@ def _verified(texts: DataFrame, pairs: DataFrame, idf, threshold: float) -> Data
 
         return each
 
-    a = texts.select(F.col("rep").alias("a"), "text")
+    a = texts.select(F.col("t").alias("a"), "text")
     parts = F.ceil(F.col("n") / LED_ROWS).cast("int")
     leaders = pairs.groupBy("b").agg(F.max("n").alias("n")).select("b", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    b = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")).join(leaders, "b")
+    b = texts.select(F.col("t").alias("b"), F.col("text").alias("text_b")).join(leaders, "b")
     dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), parts).cast("int").alias("part"))
     joined = dealt.join(a, "a").join(b, ["b", "part"]).select("a", "b", "text", "text_b")
     return map_texts(joined, work, "a long, b long, alike boolean")
@@ -304,6 +326,18 @@ def components(edges: DataFrame) -> DataFrame:
         last = now
 
 
+def _same_id(docs: DataFrame, body: DataFrame, reps: DataFrame, key: str) -> DataFrame | None:
+    """Links (a, b) between different texts that stand under one id; None where no id repeats."""
+    often = docs.groupBy(F.col(key).cast("long").alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND id IS NOT NULL").select("id")
+    often = checkpointed(often)
+    if often.isEmpty():
+        return None
+    rows = _dealt_join(body.select("id", "h1", "h2"), often, ["id"], "h1").distinct()
+    named = checkpointed(rows.join(reps.select("h1", "h2", "t"), ["h1", "h2"]).select("id", "t"))
+    least = named.groupBy("id").agg(F.min("t").alias("least"))
+    return _dealt_join(named, least, ["id"], "t").where("t <> least").select(F.col("t").alias("a"), F.col("least").alias("b"))
+
+
 def classes(docs: DataFrame, threshold: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, class_id, copies) for each row of docs.
 
@@ -312,7 +346,9 @@ def classes(docs: DataFrame, threshold: float = 0.8, text: str = "text", key: st
     row's own text stands, letter by letter.  A text without words is alike
     only to equal texts; null texts are classes of empty text.  Rows that
     repeat are copies.  doc_id names a document: rows that share one share a
-    class.  Texts whose ids are all null are named by a negative number.
+    class, whatever their texts.  Classes whose ids are all null are named by
+    a negative number.  An empty table gives no rows; other columns are not
+    read.  Whole texts count, however long: a text is one row of a task.
     """
     h = [F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h1"), F.xxhash64(F.lit("second"), F.coalesce(F.col(text), F.lit(""))).alias("h2")]
     body = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *h)
@@ -323,36 +359,50 @@ def classes(docs: DataFrame, threshold: float = 0.8, text: str = "text", key: st
         table, draws = idf.value, _draws()
 
         def each(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
-            bands, centre, full = signatures(texts, table, draws)
-            return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h1"), batch.column("h2"), pa.array(centre), pa.array(full), *[pa.array(np.ascontiguousarray(bands[:, i])) for i in range(BANDS)]], ["id", "h1", "h2", "centre", "full", *names])
+            bands, centre, total = signatures(texts, table, draws)
+            return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h1"), batch.column("h2"), pa.array(centre), pa.array(total), *[pa.array(np.ascontiguousarray(bands[:, i])) for i in range(BANDS)]], ["id", "h1", "h2", "centre", "total", *names])
 
         return each
 
-    signed = map_texts(body, work, "id long, h1 long, h2 long, centre float, full boolean, " + ", ".join(f"{v} long" for v in names))
-    firsts = [F.first(c).alias(c) for c in ("centre", "full", *names)]
-    grouped = signed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), *firsts)
-    reps = checkpointed(grouped.withColumn("rep", F.coalesce("rep", -1 - F.abs(F.col("h1") % (1 << 62)))))
+    signed = map_texts(body, work, "id long, h1 long, h2 long, centre float, total double, " + ", ".join(f"{v} long" for v in names))
+    firsts = [F.first(c).alias(c) for c in ("centre", "total", *names)]
+    grouped = signed.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), *firsts)
+    # t numbers the different texts; the checkpoint keeps the numbers as they are
+    reps = checkpointed(grouped.withColumn("t", F.monotonically_increasing_id()))
     bands = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.col(v).alias("value")) for i, v in enumerate(names)]))
-    members = reps.where("full").select("rep", "centre", bands.alias("x")).select("rep", "centre", "x.band", "x.value")
+    members = reps.where("total > 0").select("t", "centre", "total", bands.alias("x")).select("t", "centre", "total", "x.band", "x.value")
     led = checkpointed(_led(members))
     pairs = checkpointed(led.where("a <> b").groupBy("a", "b").agg(F.max("n").alias("n")))
     n = 2 * pairs.count()
+    edges = _same_id(docs, body, reps, key)
     if n:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        wanted = reps.select("rep", "h1", "h2").join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, "rep")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
+        wanted = reps.select("t", "h1", "h2", F.col("id").alias("first")).join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, "t")
         found = body.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, ["h1", "h2"])
-        # one row of each text: the one that gave the class its name
-        texts = found.where(F.col("id").eqNullSafe(F.col("rep")) | (F.col("rep") < 0)).select("rep", "text").dropDuplicates(["rep"])
-        verified = checkpointed(_verified(texts, pairs, idf, threshold))
-        rest = checkpointed(led.join(verified.where("NOT alike"), ["a", "b"]).select("a", "band", "value"))
-        edges = verified.where("alike").select("a", "b").unionByName(_within(rest, led, texts, idf, threshold))
+        # one row of each text, of those with its least id
+        texts = found.where(F.col("id").eqNullSafe(F.col("first"))).select("t", "text").dropDuplicates(["t"])
+        alike = _verified(texts, pairs, idf, threshold).where("alike").select("a", "b")
+        edges = alike if edges is None else alike.unionByName(edges)
+    named = reps.select("t", "h1", "h2", "id", "copies", F.col("t").alias("root"))
+    if edges is not None:
         roots = components(edges)
-        named = reps.select("h1", "h2", "rep", "copies").join(roots, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("root", "rep").alias("class_id"), "copies")
-    else:
-        named = reps.select("h1", "h2", F.col("rep").alias("class_id"), "copies")
+        named = _rooted(named, roots)
+        if n:
+            more = components(_within(led, roots, texts, idf, threshold))
+            named = _rooted(named, more)
+    # a class is named by its least id, or a negative number where it has none
+    own = F.coalesce("id", -1 - F.abs(F.col("h1") % (1 << 62)))
+    called = named.groupBy("root").agg(F.coalesce(F.min("id"), F.min(own)).alias("name"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "name")
+    named = _dealt_join(named, called, ["root"], "t", "left").select("h1", "h2", F.coalesce("name", own).alias("class_id"), "copies")
     return docs.select(F.col(key), *h).join(named, ["h1", "h2"]).select(key, "class_id", "copies")
 
 
+def _rooted(named: DataFrame, roots: DataFrame) -> DataFrame:
+    """named with each root replaced by the root that it got."""
+    roots = roots.select(F.col("node").alias("root"), F.col("root").alias("to_"))
+    return _dealt_join(named, roots, ["root"], "t", "left").withColumn("root", F.coalesce("to_", "root")).drop("to_")
+
+
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """docs without the rows whose text is alike to one of a smaller id: one document of each class stays.
 
