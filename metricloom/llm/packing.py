@@ -1,12 +1,20 @@
 """Best-fit packing of documents into sequences, as a tree of residual bins.
 
-Each task tokenises its documents.  A document longer than a sequence is cut
-into full sequences behind a shorter first piece; the remaining pieces are
-packed best-fit decreasing within the task.  Bins that are nearly full are
-emitted.  The emptiest of the others move up a tree: groups of partitions
+Tasks tokenise their documents.  A document longer than a sequence is cut into
+full sequences behind a shorter first piece; full pieces are sequences of their
+own.  The numbers of the other pieces (not their texts) are dealt by a hash
+into groups of about ``GROUP`` pieces, so a group holds short and long ones
+whatever the order of the table, and each group packs best-fit decreasing.
+Nearly full bins are emitted.  The others move up a tree: neighbouring groups
 pack their underfull bins, now items themselves, into each other, round by
-round, until one group is left.  At most ``carry`` bins leave a group for the
-next round, so no group grows with the data; the rest are emitted as they are.
+round, until one group is left.
+
+Best fit leaves at most one bin in a group that is half full or less, for two
+such bins would have become one.  So a node of the tree can place at most
+FAN_IN small bins, each into a bin that no other one needs, and the emptiest
+bins serve as well as any.  The FAN_IN emptiest bins for each level of the tree
+are therefore all that can still change; the rest is emitted at once.  That
+bounds what a node gathers without a loss of merges.
 """
 
 from __future__ import annotations
@@ -16,9 +24,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +32,13 @@ from metricloom.llm.common import checkpointed, slices
 
 END = 0  # the id that ends a document
 FAN_IN = 8
+GROUP = 1 << 17
 #: Characters whose classes both tokenizer libraries know alike; other texts take the slower library.
 _PLAIN = re.compile("[^\x00-ɏ‐-‧]")
 
-ITEM = "struct<doc_id: long, piece: int, start: long, length: long, ids_crc32: long>"
-BINS = f"part int, number long, fill int, open boolean, items array<{ITEM}>"
+PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
+#: Pieces at their place in a bin of a group.
+PLACED = f"{PIECES}, part int, bin long, at int, open boolean"
 
 
 def tokenizer(path: str):
@@ -87,74 +95,86 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _numbered(part: int, first: int, bins: list[tuple[int, list[dict]]], capacity: int, slack: int, carry: int) -> list[tuple]:
-    """Rows of BINS: nearly full bins are closed, of the others only the ``carry`` emptiest stay open."""
-    order = sorted(range(len(bins)), key=lambda i: bins[i][0])
-    opened = {i for i in order[:carry] if bins[i][0] < capacity - slack}
-    return [(part, first + i, fill, i in opened, items) for i, (fill, items) in enumerate(bins)]
+def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int) -> DataFrame:
+    """A row of PIECES for each piece of each row of docs."""
 
-
-def _arrow(rows: list[tuple]) -> pa.RecordBatch:
-    item = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-    kinds = [("part", pa.int32()), ("number", pa.int64()), ("fill", pa.int32()), ("open", pa.bool_()), ("items", pa.list_(item))]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
-
-
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, slack: int = 4, carry: int = 512) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for each piece.
-
-    A null or empty text is the end id alone: one piece of length 1.  Rows
-    that repeat, and rows with a null id, are packed each for itself.  Ties go
-    by the order of rows in a task.  An empty table gives no rows.  Columns
-    other than doc_id and text are not read.
-    """
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, part, number = None, TaskContext.get().partitionId(), 0
-        pieces: list[dict] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of = None
         for batch in batches:
             ids_of = ids_of or tokenizer(tokenizer_path)
             for rows, texts in slices(batch, "text"):
-                full = []
+                out = []
                 for doc_id, text in zip(rows.column("doc_id").to_pylist(), texts, strict=True):
                     ids = np.array([*ids_of(text), END], "<u4")
                     first = len(ids) % capacity or capacity
-                    for k, (a, b) in enumerate(zip([0, *range(first, len(ids), capacity)], range(first, len(ids) + 1, capacity), strict=True)):
-                        piece = {"doc_id": doc_id, "piece": k, "start": a, "length": b - a, "ids_crc32": zlib.crc32(ids[a:b].tobytes())}
-                        if b - a == capacity:
-                            full.append((capacity, [piece]))
-                        else:
-                            pieces.append(piece)
-                if full:
-                    yield _arrow(_numbered(part, number, full, capacity, slack, 0))
-                    number += len(full)
-        bins = best_fit([x["length"] for x in pieces], capacity)
-        rows = _numbered(part, number, [(sum(pieces[i]["length"] for i in b), [pieces[i] for i in b]) for b in bins], capacity, slack, carry)
-        for i in range(0, len(rows), 4096):
-            yield _arrow(rows[i : i + 4096])
-
-    def merge(width: int):
-        def run(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values(["part", "number"])
-            fills, lists = rows["fill"].tolist(), rows["items"].tolist()
-            bins = [(sum(fills[i] for i in b), [x for i in b for x in lists[i]]) for b in best_fit(fills, capacity)]
-            out = _numbered(int(rows["part"].iloc[0]) // width, 0, bins, capacity, slack, carry)
-            return pd.DataFrame(out, columns=["part", "number", "fill", "open", "items"])
-
-        return run
-
-    bins = checkpointed(docs.select("doc_id", "text").mapInArrow(local, BINS))
-    top = bins.agg(F.max("part")).first()[0]
-    level, done = 0, []
-    while top:
+                    for k, b in enumerate(range(first, len(ids) + 1, capacity)):
+                        a = max(b - capacity, 0)
+                        out.append((doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+
+
+def _packed(rows: pa.Table, item: np.ndarray, at: np.ndarray, part: int, capacity: int, slack: int, carry: int) -> pa.Table:
+    """rows of PIECES packed by item, given their places within their items; items are numbered from 0."""
+    sizes = np.bincount(item, rows["length"].to_numpy()).astype(np.int64)
+    bins = best_fit(sizes.tolist(), capacity)
+    bin_of, shift, fill = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), np.zeros(len(bins), np.int64)
+    for b, items in enumerate(bins):
+        bin_of[items] = b
+        shift[items] = np.cumsum([0, *sizes[items[:-1]]])
+        fill[b] = sizes[items].sum()
+    opened = np.zeros(len(bins), bool)
+    opened[np.argsort(fill, kind="stable")[:carry]] = True
+    opened &= fill < capacity - slack
+    b = bin_of[item]
+    out = [*(rows[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(np.full(len(b), part, np.int32)), pa.array(b), pa.array((at + shift[item]).astype(np.int32)), pa.array(opened[b])]
+    return pa.Table.from_arrays(out, ["doc_id", "piece", "start", "length", "ids_crc32", "part", "bin", "at", "open"])
+
+
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, slack: int = 4, group: int = GROUP) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for each piece.
+
+    A null or empty text is the end id alone: one piece of length 1.  Rows
+    that repeat, and rows with a null id, are packed each for itself.  Equal
+    sizes go by doc_id, piece and checksum.  A text is tokenised whole, one at
+    a time, however long.  An empty table gives no rows.  Columns other than
+    doc_id and text are not read.
+    """
+    pieces = checkpointed(pieces_of(docs, tokenizer_path, capacity))
+    full = pieces.where(F.col("length") == capacity)
+    rest = pieces.where(F.col("length") < capacity)
+    parts = max(1, -(-rest.count() // group))
+    levels, width = 1, parts
+    while width > 1:
+        levels, width = levels + 1, -(-width // FAN_IN)
+    carry = FAN_IN * levels
+
+    def local(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        return _packed(rows, np.arange(rows.num_rows), np.zeros(rows.num_rows, np.int64), rows["part"][0].as_py(), capacity, slack, carry if parts > 1 else 0)
+
+    def merge(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("part", "ascending"), ("bin", "ascending"), ("at", "ascending")])
+        part, b = rows["part"].to_numpy(), rows["bin"].to_numpy()
+        item = np.cumsum(np.concatenate(([False], (part[1:] != part[:-1]) | (b[1:] != b[:-1]))))
+        return _packed(rows, item, rows["at"].to_numpy(), int(part[0]) // FAN_IN, capacity, slack, carry)
+
+    # rows of one document that repeats are dealt apart by their numbers
+    dealt = rest.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id(), "doc_id", "piece"), F.lit(parts)).cast("int"))
+    bins = checkpointed(dealt.groupBy("part").applyInArrow(local, PLACED))
+    done, level = [], 0
+    while parts > 1:
         done.append(bins.where("NOT open").withColumn("level", F.lit(level)))
-        level, top = level + 1, top // FAN_IN
+        level, parts = level + 1, -(-parts // FAN_IN)
         grouped = bins.where("open").groupBy(F.expr(f"part div {FAN_IN}").alias("g"))
-        bins = checkpointed(grouped.applyInPandas(merge(FAN_IN), BINS))
+        bins = checkpointed(grouped.applyInArrow(merge, PLACED))
     out = bins.withColumn("level", F.lit(level))
     for x in done:
         out = out.unionByName(x)
-    number = F.shiftleft(F.col("level").cast("long"), 58) + F.shiftleft(F.col("part").cast("long"), 32) + F.col("number")
-    place = F.expr("transform(items, (x, i) -> struct(x AS item, aggregate(slice(items, 1, i), 0L, (a, y) -> a + y.length) AS at))")
-    rows = out.select(number.alias("sequence_id"), F.explode(place).alias("x"))
-    return rows.select("x.item.doc_id", "x.item.piece", "x.item.start", "x.item.length", "x.item.ids_crc32", "sequence_id", F.col("x.at").alias("offset"))
+    number = F.shiftleft(F.col("level").cast("long"), 58) + F.shiftleft(F.col("part").cast("long"), 32) + F.col("bin")
+    columns = ["doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32"]
+    packed = out.select(*columns, number.alias("sequence_id"), F.col("at").cast("long").alias("offset"))
+    alone = full.select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return packed.unionByName(alone)
