@@ -55,7 +55,8 @@ _DOTTED_TOKEN = re.compile(rf"(?i)\bplus\b|{_WORD}|[0-9]+|\+|dot")
 _PART = rf"(?:(?<![0-9])[0-9]+|\b{_WORD}(?:[\s,-]+{_WORD}){{0,2}}\b)"
 _QUAD = re.compile(rf"(?i){_PART}(?:(?:\s+dot\s+|\.){_PART}){{3}}")
 _QUAD_TOKEN = re.compile(rf"(?i)({_WORD})[\s,-]+(?={_WORD})|({_WORD})|\s+dot\s+")
-_BRACKET = {"at": re.compile(r"(?i)\s*[\[({<]\s*at\s*[\])}>]\s*"), "dot": re.compile(r"(?i)\s*[\[({<]\s*dot\s*[\])}>]\s*")}
+#: Looked for from the bracket on; blanks around it are added by hand, for a pattern that starts with them is tried at each one.
+_BRACKET = {"at": re.compile(r"(?i)[\[({<]\s*at\s*[\])}>]"), "dot": re.compile(r"(?i)[\[({<]\s*dot\s*[\])}>]")}
 #: Bare words count only as name at name dot name, with more dots behind.
 _BARE = re.compile(r"(?i)(?<=[a-z0-9_])(\s+at\s+|@)[a-z0-9-]+((?:\s+dot\s+[a-z0-9-]+)+)\b")
 _BARE_DOT = re.compile(r"(?i)\s+dot\s+")
@@ -99,32 +100,70 @@ def plain_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 class Normal:
-    """A text in normal form, and for each of its characters the source characters behind it."""
+    """A text in normal form, and for each of its characters the source characters behind it.
+
+    The map is kept as runs: what stands between two rewritten places is one
+    run of characters moved by the same distance, a rewritten one has its
+    source's start and end.  So a map is as long as the edits, not the text.
+    """
 
     def __init__(self, text: str):
         self.text = text
-        self.starts, self.ends = [], []  # None until something is rewritten
-        self.changed = False
-
-    def _maps(self) -> None:
-        if not self.changed:
-            self.starts, self.ends, self.changed = list(range(len(self.text))), list(range(1, len(self.text) + 1)), True
-            self.touched = [False] * len(self.text)
+        #: (start in the normal form, start in the source, end in the source, rewritten), in order
+        self.runs: list[tuple[int, int, int, bool]] = [(0, 0, len(text), False)]
+
+    @property
+    def changed(self) -> bool:
+        return len(self.runs) > 1 or self.runs[0][3]
+
+    def _run(self, place: int) -> tuple[int, int, int, bool]:
+        return self.runs[bisect_right(self.runs, place, key=lambda r: r[0]) - 1]
+
+    def start(self, place: int) -> int:
+        at, a, _, rewritten = self._run(place)
+        return a if rewritten else a + place - at
+
+    def end(self, place: int) -> int:
+        """Where the source of the character before ``place`` ends."""
+        at, a, b, rewritten = self._run(place - 1)
+        return b if rewritten else a + place - at
+
+    def touched(self, a: int, b: int) -> bool:
+        """Whether a rewritten character stands in the normal form from a to b, or a deleted one was there."""
+        k = bisect_right(self.runs, a, key=lambda r: r[0]) - 1
+        while k < len(self.runs) and self.runs[k][0] < b:
+            if self.runs[k][3]:
+                return True
+            k += 1
+        return self.end(b) - self.start(a) != b - a
+
+    def _between(self, a: int, b: int, to: int) -> list[tuple[int, int, int, bool]]:
+        """The runs of the normal form from a to b, moved to start at ``to``."""
+        out = []
+        for k in range(bisect_right(self.runs, a, key=lambda r: r[0]) - 1, len(self.runs)):
+            at, x, y, rewritten = self.runs[k]
+            if at >= b:
+                break
+            stop = self.runs[k + 1][0] if k + 1 < len(self.runs) else len(self.text)
+            low, high = max(at, a), min(stop, b)
+            if low < high:
+                out.append((to + low - a, x, y, True) if rewritten else (to + low - a, x + low - at, x + high - at, False))
+        return out
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace (start, end, new) parts; each new character stands for the whole part."""
         if not edits:
             return
-        self._maps()
-        parts, starts, ends, touched, at = [], [], [], [], 0
-        for a, b, new in edits:
+        parts, runs, at, size = [], [], 0, 0
+        for a, b, new in [*edits, (len(self.text), len(self.text), "")]:
+            runs += self._between(at, a, size)
             parts += [self.text[at:a], new]
-            starts += self.starts[at:a] + [self.starts[a]] * len(new)
-            ends += self.ends[at:a] + [self.ends[b - 1]] * len(new)
-            touched += self.touched[at:a] + [True] * len(new)
+            size += a - at
+            if new:
+                runs.append((size, self.start(a), self.end(b), True))
+            size += len(new)
             at = b
-        self.text = "".join([*parts, self.text[at:]])
-        self.starts, self.ends, self.touched = starts + self.starts[at:], ends + self.ends[at:], touched + self.touched[at:]
+        self.text, self.runs = "".join(parts), runs or [(0, 0, 0, True)]
 
 
 def lookalikes(n: Normal) -> None:
@@ -145,9 +184,24 @@ def spelled(n: Normal, dotted: bool = False) -> None:
     n.rewrite(edits)
 
 
+def _bracketed(text: str, name: str, sign: str) -> list[tuple[int, int, str]]:
+    """Edits for a bracketed word with the blanks around it, where it stands within the text."""
+    out, free = [], 0
+    for m in _BRACKET[name].finditer(text):
+        a, b = m.span()
+        while a > free and text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and text[b].isspace():
+            b += 1
+        if a and b < len(text):
+            out.append((a, b, sign))
+            free = b
+    return out
+
+
 def signs(n: Normal) -> None:
     for name, sign in (("at", "@"), ("dot", ".")):
-        n.rewrite([(m.start(), m.end(), sign) for m in _BRACKET[name].finditer(n.text) if m.start() and m.end() < len(n.text)])
+        n.rewrite(_bracketed(n.text, name, sign))
     edits = []
     for m in _BARE.finditer(n.text):
         if m[1] != "@":
@@ -176,8 +230,7 @@ def disguised_spans(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[
         spelled(n, dotted)
         signs(n)
         if n.changed:
-            # a deleted character leaves no mark of its own, but source and normal form differ in length
-            found |= {(kind, n.starts[a], n.ends[b - 1]) for kind, a, b in plain_spans(n.text) if any(n.touched[a:b]) or n.ends[b - 1] - n.starts[a] != b - a}
+            found |= {(kind, n.start(a), n.end(b)) for kind, a, b in plain_spans(n.text) if n.touched(a, b)}
     taken: dict[str, list[tuple[int, int]]] = {}
     for kind, a, b in plain:
         taken.setdefault(kind, []).append((a, b))
