@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,20 +17,39 @@ def line_fit(y: str, x: str) -> list[Column]:
 
 
 def leave_one_out(df: DataFrame, y: str, x: str) -> DataFrame:
-    """Adds loo: what the line through all other rows predicts, from residual and leverage in one aggregate."""
+    """Adds loo: what the line through all other rows predicts, from residual and leverage in one aggregate.
+
+    Null where the other rows give no line: fewer than two of them, or all of
+    one x.
+    """
     s = df.agg(F.count(F.lit(1)).alias("n_"), F.avg(x).alias("mx_"), F.regr_sxx(y, x).alias("sxx_"), *[c.alias(a) for c, a in zip(line_fit(y, x), ("b_", "a_"), strict=True)])
     out = df.crossJoin(F.broadcast(s))  # one row
     residual = F.col(y) - (F.col("a_") + F.col("b_") * F.col(x))
-    leverage = 1 / F.col("n_") + F.pow(F.col(x) - F.col("mx_"), 2) / F.col("sxx_")
-    return out.withColumn("loo", F.col(y) - residual / (1 - leverage)).drop("n_", "mx_", "sxx_", "a_", "b_")
+    left = 1 - F.try_divide(F.lit(1.0), "n_") - F.try_divide(F.pow(F.col(x) - F.col("mx_"), 2), F.col("sxx_"))
+    return out.withColumn("loo", F.when(left > 1e-12, F.col(y) - F.try_divide(residual, left))).drop("n_", "mx_", "sxx_", "a_", "b_")
+
+
+def two_sided_p(t: Column, df: Column) -> Column:
+    """Two-sided p of Student's t for whole degrees of freedom, by the finite series in the angle atan(t / sqrt(df))."""
+    angle = F.atan(F.abs(t) / F.sqrt(df))
+    sine, cosine, odd = F.sin(angle), F.cos(angle), df % 2
+    # terms from cos ** odd on; each is the one before times cos ** 2 and a ratio of neighbouring whole numbers
+    first = F.struct(F.when(odd == 1, cosine).otherwise(1.0).alias("term"), F.lit(0.0).alias("sum"))
+
+    def add(s: Column, k: Column) -> Column:
+        nxt = s["term"] * cosine * cosine * (2 * k - 1 + odd) / (2 * k + odd)
+        return F.struct(nxt.alias("term"), (s["sum"] + s["term"]).alias("sum"))
+
+    terms = F.floor((df - odd) / 2).cast("int")
+    series = sine * F.aggregate(F.slice(F.sequence(F.lit(0), terms), 2, terms), first, add)["sum"]
+    return F.when(df >= 1, F.greatest(1 - F.when(odd == 1, (angle + series) * 2 / np.pi).otherwise(series), F.lit(0.0)))
 
 
 def paired_test(d: str) -> list[Column]:
-    """Mean, all-same-sign and two-sided p of a paired t-test over five differences (four degrees of freedom)."""
-    m, sd = F.avg(d), F.stddev_samp(d)
-    t = F.try_divide(m, sd / F.sqrt(F.count(d)))
-    s = F.abs(t) / F.sqrt(4 + t * t)
-    p = F.when(sd == 0, F.when(m != 0, 0.0)).otherwise(1 - s * (1 + (1 - s * s) / 2))
+    """Mean, all-same-sign and two-sided p of a paired t-test over n differences (n - 1 degrees of freedom; null for one)."""
+    m, sd, n = F.avg(d), F.stddev_samp(d), F.count(d)
+    t = F.try_divide(m, sd / F.sqrt(n))
+    p = F.when(sd == 0, F.when(m != 0, 0.0)).otherwise(two_sided_p(t, n - 1))
     return [m.alias("mean_diff"), p.alias("p"), (F.bool_and(F.col(d) > 0) | F.bool_and(F.col(d) < 0)).alias("agree")]
 
 

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from metricloom.functions.text import key_parts, list_length, normaliser, sentinel, target_key
 from metricloom.operators import clean, curves, ranking, splits, stats
-from metricloom.operators.ordering import dense_id
+from metricloom.operators.ordering import checkpointed, dense_id
 from metricloom.sources.tables import constants, geomspace, optional_column, pairs, runs, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,19 +84,27 @@ def nested_field_access(spark, d):
     return table(spark, d, "events").select(F.from_json("props", "k long").alias("p")).groupBy((F.col("p.k") % 10).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 1 WHEN doc_id % 4 = 1 THEN 0 WHEN doc_id % 4 = 2 THEN 2 ELSE 1 END AS n FROM documents")
+@query("""WITH made AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'not a list' WHEN 1 THEN '[]' WHEN 2 THEN '[' || n_chars || '.5, 2.0]' END AS t FROM documents)
+ SELECT doc_id, CASE WHEN json_valid(t) AND json_type(t) = 'ARRAY' THEN CAST(json_array_length(t) AS INTEGER) ELSE 1 END AS n FROM made""")
 def json_array_len(spark, d):
     made = F.when(F.col("doc_id") % 4 == 0, "not a list").when(F.col("doc_id") % 4 == 1, "[]").when(F.col("doc_id") % 4 == 2, F.format_string("[%d.5, 2.0]", "n_chars"))
     return table(spark, d, "documents").select("doc_id", list_length(made).alias("n"))
 
 
-@query("SELECT CAST(i AS BIGINT) AS i, round(500 * pow(20.0, i / 399.0), 6) AS x, (SELECT count(*) FROM orders WHERE o_orderkey <= 500 * pow(20.0, i / 399.0)) AS n FROM range(400) r(i)")
+@query("""WITH ends AS (SELECT CAST(min(o_orderkey) + 1 AS DOUBLE) AS lo, CAST(max(o_orderkey) + 1 AS DOUBLE) AS hi FROM orders),
+ g AS (SELECT i, round(lo * pow(hi / lo, i / 399.0), 6) AS x FROM range(400) r(i), ends)
+ SELECT CAST(i AS BIGINT) AS i, x, (SELECT count(*) FROM orders WHERE o_orderkey + 1 <= x) AS n FROM g""")
 def geomspace_grid(spark, d):
-    g = geomspace(spark, 500, 10_000, 400)
-    keys = table(spark, d, "orders").where("o_orderkey <= 10000").select("o_orderkey")
+    """How many orders lie at or below each of 400 points of equal ratios from the least to the largest key, keys counted from 1."""
+    keys = table(spark, d, "orders").select((F.col("o_orderkey") + 1).cast("double").alias("v")).where("v IS NOT NULL")
+    low, high = keys.agg(F.min("v"), F.max("v")).first()
+    g = geomspace(spark, low, high, 400).select("i", F.round("x", 6).alias("x"))
     grid = g.agg(F.sort_array(F.collect_list("x")).alias("xs"))  # 400 numbers
-    first = keys.crossJoin(F.broadcast(grid)).select(F.size(F.filter("xs", lambda x: x < F.col("o_orderkey"))).alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("c"))
-    return g.join(first, "i", "left").select("i", F.round("x", 6).alias("x"), F.coalesce(F.sum("c").over(Window.orderBy("i")), F.lit(0)).alias("n"))
+    # the first point not below a key is at most one place off the logarithm's
+    at = F.floor(F.log(F.col("v") / low) / (np.log(high / low) / 399)).cast("int")
+    near = F.filter(F.sequence(F.greatest(at - 1, F.lit(0)), F.least(at + 2, F.lit(399))), lambda k: F.col("xs")[k] >= F.col("v"))
+    first = keys.crossJoin(F.broadcast(grid)).select(F.get(near, F.lit(0)).cast("long").alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("c"))
+    return g.join(F.broadcast(first), "i", "left").select("i", "x", F.coalesce(F.sum("c").over(Window.orderBy("i")), F.lit(0)).alias("n"))
 
 
 @query("SELECT o_orderkey, TRY_CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS first_number, TRY_CAST(o_orderpriority AS DOUBLE) AS whole FROM orders")
@@ -128,6 +137,20 @@ def dedup_conflict_drop(spark, d):
     return clean.drop_conflicts(table(spark, d, "documents").select("doc_id", "text", "source"), "text", "source", "doc_id").select("doc_id", "source")
 
 
+@query("""WITH raw AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS original_row_index, p_brand || '|' || p_name AS key,
+  CASE WHEN p_partkey % 11 = 0 THEN 'n/a' WHEN p_partkey % 13 = 0 THEN 'inf' WHEN p_partkey % 17 = 0 THEN '' ELSE (p_size % 2) || '.12345678901' END AS t FROM part),
+ num AS (SELECT original_row_index, key, round_even(TRY_CAST(t AS DOUBLE), 10) AS value FROM raw WHERE isfinite(TRY_CAST(t AS DOUBLE))),
+ one AS (SELECT key, min(value) AS value, min(original_row_index) AS original_row_index FROM num GROUP BY key HAVING count(DISTINCT value) = 1)
+ SELECT row_number() OVER (ORDER BY md5(key), key) - 1 AS mol_id, original_row_index, key, round(value, 10) AS value, key || '||' || printf('%.10f', value) AS molecular_target_key FROM one""")
+def clean_chain(spark, d):
+    """Raw rows with their index, text to finite numbers of ten decimals, keys that agree, first row of each, dense ids."""
+    t = F.when(F.col("p_partkey") % 11 == 0, "n/a").when(F.col("p_partkey") % 13 == 0, "inf").when(F.col("p_partkey") % 17 == 0, "").otherwise(F.concat((F.col("p_size") % 2).cast("string"), F.lit(".12345678901")))
+    raw = dense_id(table(spark, d, "part").select("p_partkey", F.concat_ws("|", "p_brand", "p_name").alias("key"), t.alias("value")), "p_partkey", name="original_row_index")
+    kept = clean.drop_conflicts(clean.coerce(raw, "value").select("original_row_index", "key", "value"), "key", "value", "original_row_index")
+    rows = dense_id(kept.withColumn("h", F.md5("key")), "h", "key", name="mol_id")
+    return rows.select("mol_id", "original_row_index", "key", "value", target_key(F.col("key"), F.col("value")).alias("molecular_target_key"))
+
+
 @query("SELECT row_number() OVER (ORDER BY md5(text), doc_id) - 1 AS mol_id, doc_id FROM documents")
 def dense_surrogate_id(spark, d):
     rows = table(spark, d, "documents").select(F.md5("text").alias("h"), "doc_id")
@@ -255,6 +278,20 @@ def match_levels(spark, d):
     return both.groupBy("level").agg(F.count(F.lit(1)).alias("matched"), F.count_if(F.col("n") > F.col("m")).alias("more_left"))
 
 
+@query("""WITH k AS (SELECT doc_id % 2 = 0 AS a, unnest(['exact', 'folded', 'prefix']) AS level, unnest([md5(text), md5(lower(text)), md5(left(lower(text), 40))]) AS key FROM documents WHERE text IS NOT NULL),
+ g AS (SELECT level, key, count(*) FILTER (WHERE a) AS n, count(*) FILTER (WHERE NOT a) AS m FROM k GROUP BY 1, 2)
+ SELECT level, count(*) FILTER (WHERE n > 0 AND m > 0) AS n_matched, count(*) FILTER (WHERE n > 1) AS collapsed, count(*) FILTER (WHERE n > 1 AND m > 0) AS matched_with_collapsed FROM g GROUP BY 1""")
+def match_three_keys(spark, d):
+    """Two sides matched at three key levels by one shuffle: how many keys match, and how many stand for several rows."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    keys = {"exact": F.col("text"), "folded": F.lower("text"), "prefix": F.substring(F.lower("text"), 1, 40)}
+    levels = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.md5(c).alias("key")) for k, c in keys.items()]))
+    rows = docs.select((F.col("doc_id") % 2 == 0).alias("a"), levels.alias("x")).select("a", "x.*")
+    per = rows.groupBy("level", "key").agg(F.count_if("a").alias("n"), F.count_if(~F.col("a")).alias("m"))
+    both, many = (F.col("n") > 0) & (F.col("m") > 0), F.col("n") > 1
+    return per.groupBy("level").agg(F.count_if(both).alias("n_matched"), F.count_if(many).alias("collapsed"), F.count_if(many & both).alias("matched_with_collapsed"))
+
+
 @query(f"WITH {PAIRS} SELECT k, round(x + (0.241 - 0.197), 6) AS shifted, round(y - (x + (0.241 - 0.197)), 6) AS diff FROM pairs")
 def label_fidelity_pairs(spark, d):
     return pairs(spark, d).withColumns({"shifted": F.col("x") + (0.241 - 0.197)}).select("k", *r6("shifted", diff=F.col("y") - F.col("shifted")))
@@ -286,9 +323,12 @@ def loo_recalibration(spark, d):
     return stats.leave_one_out(pairs(spark, d), "y", "x").select("k", F.round("loo", 4).alias("loo"))
 
 
-@query(f"WITH {PAIRS}, u AS (SELECT * FROM pairs WHERE n_y <= 4) " + LOO.format(t="u"))
+@query("WITH u AS (SELECT o_orderkey AS k, o_totalprice / 1000 AS x, max(l_quantity) AS y FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2 HAVING count(*) = 1) " + LOO.format(t="u"))
 def loo_uncollapsed(spark, d):
-    return stats.leave_one_out(pairs(spark, d).where("n_y <= 4"), "y", "x").select("k", F.round("loo", 4).alias("loo"))
+    """Leave-one-out over the pairs that no averaging has collapsed: orders of a single line."""
+    line = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.max("l_quantity").alias("y"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    u = line.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_totalprice") / 1000).alias("x")), "k")
+    return stats.leave_one_out(u, "y", "x").select("k", F.round("loo", 4).alias("loo"))
 
 
 @query("SELECT event_type, round(avg(value), 6) AS mean, round(median(value), 6) AS med, round(avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END), 6) AS over_half FROM events GROUP BY 1")
@@ -302,13 +342,13 @@ def conditional_counts(spark, d):
 
 
 DRAWS = f"""{PAIRS}, num AS (SELECT row_number() OVER (ORDER BY k) - 1 AS r, abs(y - x) AS e FROM pairs),
- draws AS (SELECT draw, slot, CAST(('0x' || substr(md5(draw || '|' || slot), 1, 8)) AS BIGINT) % (SELECT count(*) FROM num) AS pick FROM range(500) a(draw), (SELECT unnest(range(count(*))) AS slot FROM num)),
+ draws AS (SELECT draw, slot, CAST(('0x' || substr(md5(draw || '|' || slot), 1, 8)) AS BIGINT) % (SELECT count(*) FROM num) AS pick FROM range(20000) a(draw), (SELECT unnest(range(count(*))) AS slot FROM num)),
  means AS (SELECT draw, avg(e) AS m FROM draws JOIN num ON pick = r GROUP BY 1)"""
 
 
 def _boot(spark, d):
     num = dense_id(pairs(spark, d).select("k", F.abs(F.col("y") - F.col("x")).alias("e")), "k", name="row")
-    return stats.hash_draws(num, 500).join(num, F.col("pick") == F.col("row")).groupBy("draw").agg(F.avg("e").alias("m"))
+    return stats.hash_draws(num, 20_000).join(num, F.col("pick") == F.col("row")).groupBy("draw").agg(F.avg("e").alias("m"))
 
 
 @query(f"WITH {DRAWS} SELECT draw, round(m, 4) AS m FROM means")
@@ -473,8 +513,7 @@ def powerlaw_predict(spark, d):
  k AS (SELECT *, yy + a*a*zz + m*c*c - 2*a*zy - 2*c*sy + 2*a*c*sz AS ssr FROM h)
  SELECT split, method_id, round(min(ssr), 8) AS ssr FROM k GROUP BY 1, 2""")
 def powerlaw_fit_grid(spark, d):
-    pts = ranking.summary(runs(spark, d)).select("split", "method_id", (F.col("train_size") - 1994).alias("n"), F.col("mean_mae").alias("y"))
-    return curves.fit_grid(pts, "split", "method_id").select("split", "method_id", F.round("ssr", 8).alias("ssr"))
+    return curves.fit_grid(_points(spark, d), "split", "method_id").select("split", "method_id", F.round("ssr", 8).alias("ssr"))
 
 
 CROSS = """g AS (SELECT i, 500 * pow(20.0, i / 3999.0) AS x FROM range(4000) r(i)),
@@ -490,7 +529,7 @@ def crossover_grid(spark, d):
     return curves.crossover(cv.withColumns({k: F.lit(v) for k, v in lits.items()}), "k").select("k", F.round("crossover", 4).alias("crossover"))
 
 
-def _boot_curves(spark, d, draws: int = 50):
+def _boot_curves(spark, d, draws: int = 2000):
     """(split, method_id, draw, n, y): for each size five seeds drawn with replacement, by md5, and averaged."""
     seeds = runs(spark, d).groupBy("split", "method_id", "train_size").agg(F.transform(F.sort_array(F.collect_list(F.struct("seed", "mae"))), lambda x: x["mae"]).alias("v"))
     drawn = seeds.select("split", "method_id", "train_size", "v", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
@@ -499,7 +538,7 @@ def _boot_curves(spark, d, draws: int = 50):
 
 
 BOOT = f"""{RUNS}, num AS (SELECT *, row_number() OVER (PARTITION BY split, method_id, train_size ORDER BY seed) - 1 AS r, count(*) OVER (PARTITION BY split, method_id, train_size) AS c FROM runs),
- dr AS (SELECT split, method_id, train_size, draw, r AS i, CAST(('0x' || substr(md5(split || '|' || method_id || '|' || train_size || '|' || draw || '|' || r), 1, 8)) AS BIGINT) % c AS pick FROM num, range(50) q(draw)),
+ dr AS (SELECT split, method_id, train_size, draw, r AS i, CAST(('0x' || substr(md5(split || '|' || method_id || '|' || train_size || '|' || draw || '|' || r), 1, 8)) AS BIGINT) % c AS pick FROM num, range(2000) q(draw)),
  boot AS (SELECT dr.split, dr.method_id, dr.draw, dr.train_size, avg(num.mae) AS y FROM dr JOIN num ON num.split = dr.split AND num.method_id = dr.method_id AND num.train_size = dr.train_size AND num.r = dr.pick GROUP BY 1, 2, 3, 4)"""
 
 
@@ -508,15 +547,50 @@ def bootstrap_curve(spark, d):
     return _boot_curves(spark, d).select("split", "method_id", "draw", "n", *r6("y"))
 
 
+#: Pairs of methods whose curves are compared.
+CROSSING = [("AUTOMOBILE", "BUILDING"), ("AUTOMOBILE", "FURNITURE"), ("AUTOMOBILE", "HOUSEHOLD"), ("BUILDING", "MACHINERY")]
+
+
+def _points(spark, d):
+    return ranking.summary(runs(spark, d)).select("split", "method_id", (F.col("train_size") - 1994).alias("n"), F.col("mean_mae").alias("y"))
+
+
 @query()
 def crossover_bootstrap(spark, d):
-    return curves.bootstrap_crossovers(_boot_curves(spark, d, draws=2000), "AUTOMOBILE", low=1, high=7)
+    """For each pair: where its curves cross, in how many draws they do, the middle 95 % (null for 20 draws or fewer), mean differences and better seeds by size."""
+    draws = curves.fitted(_boot_curves(spark, d), "split", "method_id", "draw")
+    point = curves.crossover(curves.paired_fits(curves.fitted(_points(spark, d), "split", "method_id", parts=4), CROSSING, "split"), "split", "m1", "m2", low=1, high=7)
+    diffs = ranking.seed_pairs(runs(spark, d)).groupBy("split", "train_size", "m1", "m2").agg(F.avg("d").alias("mean"), F.count_if(F.col("d") < 0).alias("better"))
+    maps = [F.map_from_entries(F.sort_array(F.collect_list(F.struct("train_size", c)))).alias(k) for c, k in (("mean", "mean_diff_by_size"), ("better", "seeds_better_by_size"))]
+    seen = diffs.groupBy("split", "m1", "m2").agg(*maps)
+    keys = ["split", "m1", "m2"]
+    return point.join(curves.bootstrap_crossovers(draws, CROSSING, low=1, high=7), keys).join(seen, keys, "left")
+
+
+@query()
+def curve_fit_report(spark, d):
+    """Each curve's fit, the middle 95 % of b and c over the draws, the share of draws at the largest c, and fit against observation at the last size."""
+    points = _points(spark, d)
+    point = curves.fitted(points, "split", "method_id", parts=4)
+    draws = curves.fitted(_boot_curves(spark, d), "split", "method_id", "draw")
+    return curves.fit_report(point, draws, points, 7)
+
+
+GRID = """grid AS (SELECT 0.01 + i * (1.99 / 399) AS b FROM range(400) r(i)),
+ f AS (SELECT split, method_id, draw, b, regr_intercept(y, pow(n, -b)) AS c0, min(y) AS low, sum(pow(n, -b) * y) AS zy, sum(pow(n, -b)) AS sz, sum(pow(n, -b) * pow(n, -b)) AS zz, sum(y * y) AS yy, sum(y) AS sy, count(*) AS m FROM pts, grid GROUP BY 1, 2, 3, 4),
+ g AS (SELECT *, least(greatest(c0, 0.0), low) AS c FROM f), h AS (SELECT *, greatest((zy - c * sz) / zz, 0.0) AS a FROM g),
+ k AS (SELECT *, yy + a*a*zz + m*c*c - 2*a*zy - 2*c*sy + 2*a*c*sz AS ssr FROM h),
+ fits AS (SELECT split, method_id, draw, arg_min(c, (round(ssr, 12), b)) AS c FROM k GROUP BY 1, 2, 3)"""
 
 
-@query(f"WITH {BOOT}, mx AS (SELECT *, max(y) OVER (PARTITION BY split, method_id, draw) AS m FROM boot) SELECT split, method_id, round(avg(CASE WHEN abs(y - m) <= 1e-8 + 1e-5 * abs(m) THEN 1.0 ELSE 0.0 END), 6) AS share FROM mx GROUP BY 1, 2")
+@query(f"WITH {BOOT}, pts AS (SELECT split, method_id, draw, train_size - 1994 AS n, y FROM boot), {GRID}, mx AS (SELECT split, method_id, max(c) AS top FROM fits GROUP BY 1, 2) SELECT split, method_id, round(avg(CASE WHEN abs(c - top) <= 1e-8 + 1e-5 * abs(top) THEN 1.0 ELSE 0.0 END), 6) AS share FROM fits JOIN mx USING (split, method_id) GROUP BY 1, 2")
 def isclose_fraction(spark, d):
-    y = _boot_curves(spark, d).withColumn("m", F.max("y").over(Window.partitionBy("split", "method_id", "draw")))
-    return y.groupBy("split", "method_id").agg(F.round(F.avg((F.abs(F.col("y") - F.col("m")) <= 1e-8 + 1e-5 * F.abs("m")).cast("double")), 6).alias("share"))
+    """The share of draws whose fitted c is the largest of its curve."""
+    keys = ["split", "method_id"]
+    fits = checkpointed(curves.fit_grid(checkpointed(_boot_curves(spark, d)).repartition(64, *keys, "draw"), *keys, "draw"))
+    most = fits.groupBy(*keys).agg(F.max("c").alias("top"))
+    close = F.abs(F.col("c") - F.col("top")) <= 1e-8 + 1e-5 * F.abs("top")
+    return fits.join(F.broadcast(most), keys).groupBy(*keys).agg(F.round(F.avg(close.cast("double")), 6).alias("share"))
 
 
 @query("""WITH e AS (SELECT label % 10 AS rec, generate_subscripts(embedding, 1) AS dim, unnest(embedding) AS v FROM embeddings), s AS (SELECT dim, rec, avg(abs(v)) AS g FROM e GROUP BY 1, 2),
@@ -530,13 +604,22 @@ def importance_topk(spark, d):
     return top.withColumn("rnk", F.row_number().over(Window.orderBy(F.desc("mean_gain"), "dim"))).select("dim", F.round("mean_gain", 5).alias("mean_gain"), F.round("std_gain", 5).alias("std_gain"), "n_records", "rnk")
 
 
-@query()
+@query(f"""WITH {PAIRS}, loo AS ({LOO.format(t="pairs").replace("round(", "").replace(", 4)", "")}), l AS (SELECT pairs.*, loo.loo FROM pairs JOIN loo USING (k)), line AS (SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM pairs),
+ r AS (SELECT round(avg(abs(y - x)), 6) AS mae, round(sqrt(avg((y - x) ** 2)), 6) AS rmse, round(avg(y - x), 6) AS ms, count(y - x) AS n, round(avg(abs(loo - y)), 6) AS lmae, round(sqrt(avg((loo - y) ** 2)), 6) AS lrmse, round(avg(loo - y), 6) AS lms, count(loo - y) AS ln FROM l)
+ SELECT CAST(json_object('raw', json_object('n', n, 'mae', mae, 'rmse', rmse, 'mean_signed', ms), 'line', json_object('slope', round(slope, 6), 'intercept', round(intercept, 6), 'spread', NULL), 'loo', json_object('n', ln, 'mae', lmae, 'rmse', lrmse, 'mean_signed', lms), 'constants', json_object('shift', 0.044::DOUBLE)) AS VARCHAR) AS report FROM r, line""")
 def nested_report(spark, d):
     p = pairs(spark, d)
-    loo = stats.leave_one_out(p, "y", "x").agg(F.struct(*stats.error_metrics(F.col("x"), F.col("loo"))).alias("loo"))
+
+    loo = stats.leave_one_out(p, "y", "x").agg(F.struct(*stats.error_metrics(F.col("y"), F.col("loo"))).alias("loo"))
     base = p.agg(F.struct(*stats.error_metrics(F.col("x"), F.col("y"))).alias("raw"), F.struct(*stats.line_fit("y", "x")).alias("line"))
     spread = optional_column(p, "Range")
-    return base.crossJoin(loo).select(F.to_json(F.struct("raw", F.col("line").withField("spread", spread), F.col("loo"), F.struct(F.lit(0.044).alias("shift")).alias("constants"))).alias("report"))
+
+    def rounded(name: str, *fields: str):
+        return F.struct(*[F.col(f"{name}.n")][: name != "line"], *[F.round(f"{name}.{f}", 6).alias(f) for f in fields]).alias(name)
+
+    errors = ("mae", "rmse", "mean_signed")
+    parts = [rounded("raw", *errors), rounded("line", "slope", "intercept").withField("spread", spread).alias("line"), rounded("loo", *errors), F.struct(F.lit(0.044).alias("shift")).alias("constants")]
+    return base.crossJoin(loo).select(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}).alias("report"))
 
 
 # --- beyond the reference ---

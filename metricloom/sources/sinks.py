@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -16,12 +17,31 @@ def write_partitioned(df: DataFrame, path: str, *keys: str) -> None:
     df.repartition(*keys).write.mode("overwrite").partitionBy(*keys).csv(path, header=True, escape='"')
 
 
+def _rounded(c: Column, kind: T.DataType, decimals: int) -> Column:
+    """c with every double in it rounded, also within structs, arrays and maps."""
+    if isinstance(kind, T.DoubleType):
+        return F.round(c, decimals)
+    if isinstance(kind, T.StructType):
+        inner = F.struct(*[_rounded(c[f.name], f.dataType, decimals).alias(f.name) for f in kind.fields])
+        return F.when(c.isNotNull(), inner)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _rounded(x, kind.elementType, decimals))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, v: _rounded(v, kind.valueType, decimals))
+    return c
+
+
 def write_json(df: DataFrame, path: str, decimals: int | None = None) -> None:
-    """JSON lines; doubles rounded to the given decimals."""
+    """JSON lines; doubles at any depth rounded to the given decimals."""
     if decimals is not None:
-        df = df.withColumns({f.name: F.round(f.name, decimals) for f in df.schema.fields if f.dataType.typeName() == "double"})
+        df = df.select(*[_rounded(F.col(f"`{f.name}`"), f.dataType, decimals).alias(f.name) for f in df.schema.fields])
     df.write.mode("overwrite").json(path)
 
 
+def write_report(df: DataFrame, path: str) -> None:
+    """The one row of df as one nested JSON object, nulls written out."""
+    df.limit(1).coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def write_params(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)

@@ -42,6 +42,14 @@ def constants(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def require_complete(grid: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
+    """rows, if they have every key of the grid; else an error that names some of the gaps."""
+    gaps = grid.join(rows.select(*keys).distinct(), list(keys), "left_anti").limit(5).collect()
+    if gaps:
+        raise ValueError(f"no rows for {', '.join(str(tuple(g)) for g in gaps)}")
+    return rows
+
+
 def geomspace(spark: SparkSession, low: float, high: float, n: int) -> DataFrame:
     """(i, x): n points from low to high with equal ratios."""
     return spark.range(n).select(F.col("id").alias("i"), (low * F.pow(F.lit(high / low), F.col("id") / (n - 1))).alias("x"))
@@ -50,7 +58,7 @@ def geomspace(spark: SparkSession, low: float, high: float, n: int) -> DataFrame
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of each (method_id, split, train_size, seed), from line items and their customers' segments."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_discount", "l_tax", "l_linestatus", "l_shipdate")
-    line = line.where(F.year("l_shipdate").between(1995, 2001))
+    line = line.where("l_shipdate >= timestamp_ntz'1995-01-01' AND l_shipdate < timestamp_ntz'2002-01-01'")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     e = F.col("l_discount") - F.col("l_tax")
@@ -65,7 +73,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(*keys).agg(
         F.avg(F.abs("e")).alias("mae"),
         F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"),
-        (1 - F.sum(F.col("e") * F.col("e")) / (F.var_pop("l_tax") * F.count(F.lit(1)))).alias("r2"),
+        (1 - F.try_divide(F.sum(F.col("e") * F.col("e")), F.var_pop("l_tax") * F.count(F.lit(1)))).alias("r2"),
     ).withColumn("status", F.lit("ok"))
 
 

@@ -1,0 +1,290 @@
+"""Published results that the operators must repeat, and the operators on them."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from metricloom.operators import curves, ranking, stats
+
+# Published results, in their own order and precision.
+SIZES = [500, 1000, 2000, 3000, 5000, 7000, 8000, 10000]
+#: Mean error of each split and method by size.
+MEANS = {
+    ("random", "rdkit_rf"): [0.15200183364105452, 0.13338805551271718, 0.11528439446698602, 0.10673486257767655, 0.09609354151511262, 0.08952373406391824, 0.08758883981626105, 0.0836853583861434],
+    ("random", "rdkit_xgb"): [0.13556351661682126, 0.12023096233606334, 0.10777136534452433, 0.10175941884517666, 0.09607544690370555, 0.09362826496362679, 0.0926731586456298, 0.09168694615364073],
+    ("random", "rdkit_mlp"): [0.13419221639633175, 0.1126955017447471, 0.09912439882755274, 0.0877971768379211, 0.08022635281085963, 0.07476319670677181, 0.07268549799919126, 0.06895465552806852],
+    ("random", "morgan_rf"): [0.19522836694643333, 0.17213460373086353, 0.15139040153683245, 0.14019934384192503, 0.12782165685444266, 0.11859151982939486, 0.11456542798682041, 0.10968617905967767],
+    ("random", "morgan_xgb"): [0.18995192050933835, 0.17527997791767116, 0.1650814980268478, 0.16024363338947292, 0.15569673180580135, 0.1532897680997848, 0.15274437069892882, 0.15252502858638758],
+    ("random", "morgan_mlp"): [0.21059949994087215, 0.19067494273185726, 0.16874169111251827, 0.1533321261405944, 0.13603911399841306, 0.12345253527164454, 0.11944156587123869, 0.11289743632078167],
+    ("random", "gine"): [0.15883380472660064, 0.1344857037067413, 0.11321240961551664, 0.09434134066104885, 0.08106172233819958, 0.07062035053968424, 0.06639497280120846, 0.0605665750801563],
+    ("scaffold", "rdkit_rf"): [0.1830148100245687, 0.1615099719013418, 0.14635082872691413, 0.1403850202989898, 0.13515070716890593, 0.13020461466616345, 0.12839965048086305, 0.12385639627448682],
+    ("scaffold", "rdkit_xgb"): [0.16818921566009518, 0.15225753188133234, 0.14178436547517773, 0.13383149504661557, 0.1285376742482185, 0.12668479532003396, 0.12558985203504558, 0.12312281727790828],
+    ("scaffold", "rdkit_mlp"): [0.1651808142662048, 0.14431811869144434, 0.13349152654409405, 0.12625052481889723, 0.10906133651733396, 0.10976369082927699, 0.1097248390316963, 0.10476193577051156],
+    ("scaffold", "morgan_rf"): [0.22028075749215184, 0.20446020098087025, 0.1951530973359991, 0.18693910932771168, 0.17874405335916027, 0.17797613681834573, 0.1722434096419768, 0.17010587148233808],
+    ("scaffold", "morgan_xgb"): [0.2128480821847915, 0.20183078050613398, 0.19515334069728846, 0.18874286413192748, 0.18526068627834316, 0.18196168243885036, 0.18306979537010187, 0.18210351765155788],
+    ("scaffold", "morgan_mlp"): [0.25446015000343325, 0.23695431351661683, 0.21240034401416774, 0.19944948256015774, 0.18439151644706722, 0.1724458038806915, 0.16765437126159663, 0.15937223136425016],
+    ("scaffold", "gine"): [0.1851651310920715, 0.17555632591247555, 0.1324619591236114, 0.1249950587749481, 0.11082541197538372, 0.09585175812244409, 0.09832286834716794, 0.09282046705484386],
+}
+#: Ranks by size.
+RANKS = {
+    ("random", "rdkit_rf"): [3, 3, 4, 4, 4, 3, 3, 3],
+    ("random", "rdkit_xgb"): [2, 2, 2, 3, 3, 4, 4, 4],
+    ("random", "rdkit_mlp"): [1, 1, 1, 1, 1, 2, 2, 2],
+    ("random", "morgan_rf"): [6, 5, 5, 5, 5, 5, 5, 5],
+    ("random", "morgan_xgb"): [5, 6, 6, 7, 7, 7, 7, 7],
+    ("random", "morgan_mlp"): [7, 7, 7, 6, 6, 6, 6, 6],
+    ("random", "gine"): [4, 4, 3, 2, 2, 1, 1, 1],
+    ("scaffold", "rdkit_rf"): [3, 3, 4, 4, 4, 4, 4, 4],
+    ("scaffold", "rdkit_xgb"): [2, 2, 3, 3, 3, 3, 3, 3],
+    ("scaffold", "rdkit_mlp"): [1, 1, 2, 2, 1, 2, 2, 2],
+    ("scaffold", "morgan_rf"): [6, 6, 5, 5, 5, 6, 6, 6],
+    ("scaffold", "morgan_xgb"): [5, 5, 6, 6, 7, 7, 7, 7],
+    ("scaffold", "morgan_mlp"): [7, 7, 7, 7, 6, 5, 5, 5],
+    ("scaffold", "gine"): [4, 4, 1, 1, 2, 1, 1, 1],
+}
+#: Mean error on scaffold less that on random splits, by size.
+GAPS = {
+    "rdkit_rf": [0.03101297638351419, 0.02812191638862463, 0.03106643425992811, 0.03365015772131326, 0.0390571656537933, 0.040680880602245215, 0.040810810664602, 0.04017103788834342],
+    "rdkit_xgb": [0.03262569904327392, 0.032026569545269, 0.03401300013065339, 0.03207207620143891, 0.03246222734451294, 0.03305653035640717, 0.032916693389415774, 0.031435871124267545],
+    "rdkit_mlp": [0.03098859786987304, 0.03162261694669724, 0.03436712771654131, 0.03845334798097613, 0.028834983706474332, 0.03500049412250518, 0.037039341032505044, 0.035807280242443035],
+    "morgan_rf": [0.025052390545718506, 0.03232559725000672, 0.04376269579916664, 0.04673976548578665, 0.05092239650471761, 0.05938461698895087, 0.05767798165515638, 0.060419692422660404],
+    "morgan_xgb": [0.022896161675453164, 0.02655080258846282, 0.030071842670440663, 0.028499230742454557, 0.029563954472541815, 0.028671914339065546, 0.03032542467117305, 0.0295784890651703],
+    "morgan_mlp": [0.043860650062561096, 0.04627937078475958, 0.04365865290164947, 0.04611735641956333, 0.04835240244865416, 0.04899326860904696, 0.04821280539035794, 0.04647479504346849],
+    "gine": [0.026331326365470864, 0.041070622205734264, 0.01924954950809475, 0.030653718113899248, 0.029763689637184135, 0.02523140758275985, 0.031927895545959484, 0.03225389197468755],
+}
+#: p of each neighbouring pair of ranks (1-2, 2-3, ...), negative where the seeds disagree in sign.
+NEIGHBOURS = {
+    ("random", 500): [-0.7646309332142839, 0.0009309139838506702, -0.23375508849942397, 0.004348868578331096, 0.12126636690400645, 0.0013087424077004716],
+    ("random", 1000): [-0.027737234052724005, 0.0035893119936953833, -0.8406358833679701, 0.00036839344293412233, -0.09380244341842384, 0.00020241859065056],
+    ("random", 2000): [-0.13873349167866106, -0.341293772558776, -0.6804291899138748, 2.335482767739984e-06, 1.858441976004402e-05, 0.00793989881151326],
+    ("random", 3000): [-0.33528284243845696, -0.25541650187294296, 0.005758979563293851, 2.85240603602156e-07, 0.0004917320088309151, 0.000901370739858884],
+    ("random", 5000): [-0.7997601377891939, 0.006956178760597692, -0.9802243734150362, 1.297145823174533e-06, 0.002177219978021521, 0.0002168156719015224],
+    ("random", 7000): [0.006225235314999743, 0.00014258495163212316, 0.00044899658678184307, 2.108377623614385e-06, 0.045243844347826113, 8.503233241878497e-05],
+    ("random", 8000): [0.0006128100994440136, 2.0913580619241465e-05, 0.0011322858054696485, 3.462347808986909e-05, 0.00014910462855595872, 7.61991763598429e-06],
+    ("random", 10000): [0.0003058458429090469, 5.159141019502476e-05, 8.856534458784173e-05, 9.880678101949349e-05, 0.010365127433561064, 3.063690862201761e-06],
+    ("scaffold", 500): [-0.4332706596231491, 0.0037592813328136223, -0.6656300509673583, 0.0023182790991427495, 9.162912351505279e-05, 0.02708721534653349],
+    ("scaffold", 1000): [-0.09388612155803126, 0.002125595651715583, -0.11651740847329393, 0.002271703856888023, -0.5276962560198896, 0.03507486473226506],
+    ("scaffold", 2000): [-0.9047466455285882, -0.26226230508059956, -0.30877643829262963, 0.0015714026625501326, -0.9999659955393491, 0.06262142828725556],
+    ("scaffold", 3000): [-0.84662156230805, -0.20367807177183453, -0.039166374537561145, 0.0009867099205165375, -0.7721730901428777, -0.17519918194850584],
+    ("scaffold", 5000): [-0.8436364472781543, -0.10433444467428371, 0.021648465998577376, 0.001144573229677699, -0.25716740604522353, -0.8532703016285659],
+    ("scaffold", 7000): [-0.2089651346460537, -0.10922587339886353, 0.0492575849881484, 5.690031908302958e-05, -0.4793250171402102, -0.7453609492835505],
+    ("scaffold", 8000): [-0.2781954393857471, -0.11902431323488111, 0.029110109195565257, 5.262125899911045e-05, -0.44795397419439736, -0.29919359202655826],
+    ("scaffold", 10000): [-0.2398964174242052, -0.07415975312435703, -0.6903662561697264, 0.0001016371230217475, -0.11894753847493228, -0.24856895686087938],
+}
+#: The methods not resolved from the best, the best first.
+TOP = {
+    ("random", 500): ["rdkit_mlp", "rdkit_xgb", "rdkit_rf"],
+    ("random", 1000): ["rdkit_mlp", "rdkit_xgb"],
+    ("random", 2000): ["rdkit_mlp", "rdkit_xgb", "gine"],
+    ("random", 3000): ["rdkit_mlp", "gine"],
+    ("random", 5000): ["rdkit_mlp", "gine"],
+    ("random", 7000): ["gine"],
+    ("random", 8000): ["gine"],
+    ("random", 10000): ["gine"],
+    ("scaffold", 500): ["rdkit_mlp", "rdkit_xgb"],
+    ("scaffold", 1000): ["rdkit_mlp", "rdkit_xgb"],
+    ("scaffold", 2000): ["gine", "rdkit_mlp", "rdkit_xgb"],
+    ("scaffold", 3000): ["gine", "rdkit_mlp"],
+    ("scaffold", 5000): ["rdkit_mlp", "gine"],
+    ("scaffold", 7000): ["gine", "rdkit_mlp"],
+    ("scaffold", 8000): ["gine", "rdkit_mlp"],
+    ("scaffold", 10000): ["gine", "rdkit_mlp"],
+}
+#: a, b, c of the fits, and the fit at the last size.
+FITS = {
+    ("random", "rdkit_rf"): [0.5287563856991495, 0.20014754037734306, 1.506592248557018e-10, 0.0836884384868979],
+    ("random", "rdkit_xgb"): [1.0373828360071036, 0.45852580205458243, 0.07583148732093503, 0.0910312164968885],
+    ("random", "rdkit_mlp"): [0.6430214278962, 0.2783105792699731, 0.019812335837382476, 0.06935543021729543],
+    ("random", "morgan_rf"): [0.6401718603202834, 0.19040713897249734, 3.701306865918497e-05, 0.11086974141294359],
+    ("random", "morgan_xgb"): [1.4028417746066908, 0.5442763710479064, 0.14241510474545227, 0.1517455679787072],
+    ("random", "morgan_mlp"): [0.7732170641728181, 0.20511612275608934, 1.77896424580161e-08, 0.116906054871336],
+    ("random", "gine"): [1.1160382017834756, 0.3094239723843349, 2.4156515654934233e-19, 0.06456292104930807],
+    ("scaffold", "rdkit_rf"): [1.2223851634919496, 0.44486571494637905, 0.10560410589904595, 0.12591575617535872],
+    ("scaffold", "rdkit_xgb"): [0.8676460595683333, 0.4231673302878071, 0.10570808855683878, 0.12331459855260118],
+    ("scaffold", "rdkit_mlp"): [0.5437564236674396, 0.252499846390169, 0.0514619251099933, 0.10459990192365134],
+    ("scaffold", "morgan_rf"): [0.3616676811984472, 0.18169401768635182, 0.10283795679171291, 0.17068542262359104],
+    ("scaffold", "morgan_xgb"): [0.5339555939887657, 0.39544432647755096, 0.16721943119459587, 0.18120653618638766],
+    ("scaffold", "morgan_mlp"): [0.6727118788028369, 0.15340475068019374, 8.026351859283742e-18, 0.16376085376100005],
+    ("scaffold", "gine"): [0.8742244770689037, 0.24380390743952965, 1.3076711321354178e-11, 0.09255658711190119],
+}
+#: Where the curves of two methods cross within the sizes.
+CROSSINGS = {
+    ("random", "gine", "rdkit_mlp"): 5068.9461545114,
+    ("random", "gine", "rdkit_xgb"): 1853.478805933,
+    ("random", "gine", "rdkit_rf"): 930.4132732779,
+    ("random", "rdkit_mlp", "rdkit_xgb"): None,
+    ("scaffold", "gine", "rdkit_mlp"): 3166.6851858485,
+    ("scaffold", "gine", "rdkit_xgb"): 1663.9444838032,
+    ("scaffold", "gine", "rdkit_rf"): 1005.0456709595,
+    ("scaffold", "rdkit_mlp", "rdkit_xgb"): None,
+}
+#: Experimental value, label and leave-one-out prediction of the matched pairs.
+MATCHED = [
+    (0.8340000000000001, 0.47, 0.8242880319529913),
+    (0.9120000000000001, 0.643, 0.9599758880518878),
+    (1.794, 1.379, 1.514895944258193),
+    (1.425, 1.003, 1.23462838157),
+    (0.7495, 0.201, 0.6094725462286927),
+    (0.8245, 0.589, 0.9187660448769823),
+    (0.6700000000000002, 0.404, 0.7756723251846638),
+    (0.821, 0.724, 1.0255759181057844),
+    (0.144, 1.154, 1.403546117510075),
+    (2.044, 0.817, 1.077629096513478),
+    (0.9112, 0.388, 0.7567491990908706),
+    (1.49, 1.346, 1.5075640966146264),
+    (1.52, 1.283, 1.454194979436077),
+    (0.8320000000000001, 0.517, 0.8616545383704741),
+    (0.538, 0.453, 0.8173360141523636),
+    (1.108, 0.572, 0.9002609479843037),
+    (1.5492000000000001, 0.876, 1.1325204889275566),
+    (0.444, 0.633, 0.9599075298086911),
+    (1.3465, 1.118, 1.3284157803838141),
+    (2.214, 1.367, 1.4783527002283365),
+    (1.4492, 0.817, 1.0883042895112245),
+    (0.144, -0.145, 0.3643433735385838),
+    (1.1500000000000001, 0.935, 1.1873588908503476),
+    (0.859, 0.533, 0.8738201399129979),
+    (1.29, 0.979, 1.2190902700963466),
+    (1.42, 1.349, 1.5143781951103497),
+    (0.8540000000000001, 0.38, 0.7517891108313906),
+    (0.544, 0.11, 0.5442049050706571),
+    (1.02, 0.214, 0.6093258612926206),
+    (1.824, 0.911, 1.1539359291331188),
+    (1.1600000000000001, 1.096, 1.3169204339220335),
+    (1.2, 0.89, 1.150519561078101),
+    (0.7850000000000001, 0.62, 0.9439288340293903),
+    (1.0541625000000001, 0.767, 1.0557637986540929),
+    (0.8620000000000001, 0.441, 0.800539132214946),
+    (0.5740000000000001, 0.536, 0.8815831524975706),
+    (0.754, 0.195, 0.6043300376644392),
+    (0.344, 0.557, 0.9022455766809598),
+    (1.22, 1.167, 1.373007780918145),
+    (0.7590666666666666, 0.453, 0.8124169756186193),
+    (0.8900000000000001, 1.123, 1.3486081522066367),
+    (1.1500000000000001, 0.828, 1.1023790406093688),
+    (0.794, 0.597, 0.9256162553106471),
+    (0.39399999999999996, -0.085, 0.392234096684481),
+    (0.724, 0.566, 0.9023970462536979),
+    (0.6439999999999999, 0.542, 0.8849761229226798),
+    (0.13399999999999998, 0.003, 0.4827547262941268),
+    (1.2550000000000001, 1.041, 1.269479384360188),
+    (1.244, 1.368, 1.541746689916541),
+    (1.43, 1.397, 1.5542856650542296),
+    (1.389, 1.403, 1.5622649834927729),
+    (0.855, 0.575, 0.9071576815356039),
+    (1.45, 0.81, 1.0828035302436518),
+    (1.454, 0.459, 0.8019148216937309),
+    (0.5539999999999998, 0.442, 0.8083621976616084),
+    (1.6265, 1.369, 1.517848282609482),
+    (0.724, 0.234, 0.6375656173210221),
+    (0.544, 0.341, 0.7292873181140784),
+    (0.704, 0.2, 0.6105389589082435),
+    (0.8173333333333332, 0.18, 0.5891404487431022),
+    (0.6892, 0.331, 0.7170731116590454),
+    (0.984, 0.505, 0.8491004905931356),
+]
+
+#: Agreement of the matched pairs.
+AGREEMENT = {"pearson_r": 0.709283311909845, "r2": 0.5030828165537984, "slope": 0.7786032413188122, "intercept": 0.45854842931111756}
+RAW = [62, 0.36261875, 0.4471081893253014, -0.305102620967742]
+IN_SAMPLE = [62, 0.21208250879313023, 0.3142224235782187, -5.622742415037083e-16]
+LOO = [62, 0.2190115557278242, 0.32429323767165164, 0.00031266032361078913]
+LOO_INTERVAL = [0.16355675582950394, 0.28275563838496914]
+
+
+@pytest.fixture(scope="module")
+def summ(spark):
+    rows = [(s, n, m, v) for (s, m), means in MEANS.items() for n, v in zip(SIZES, means, strict=True)]
+    return spark.createDataFrame(rows, "split string, train_size int, method_id string, mean_mae double").cache()
+
+
+@pytest.fixture(scope="module")
+def resolved(spark):
+    """Published p and agreement beside the mean difference, for the pairs that have them."""
+    rows = []
+    for (s, n), ps in NEIGHBOURS.items():
+        k = SIZES.index(n)
+        order = sorted((m for x, m in MEANS if x == s), key=lambda m: RANKS[s, m][k])
+        rows += [(s, n, a, b, MEANS[s, a][k] - MEANS[s, b][k], abs(p), p > 0) for a, b, p in zip(order, order[1:], ps, strict=False)]
+    return ranking.resolved_pairs(spark.createDataFrame(rows, "split string, train_size int, m1 string, m2 string, mean_diff double, p double, agree boolean"))
+
+
+def test_all_ranks_and_best_methods(summ):
+    got = ranking.ranked(summ).collect()
+    assert len(got) == 112
+    for r in got:
+        assert r.rnk == RANKS[r.split, r.method_id][SIZES.index(r.train_size)]
+    best = {(r.split, r.train_size): r.method_id for r in got if r.rnk == 1}
+    assert best == {k: v[0] for k, v in TOP.items()}
+    matrix = ranking.ranked(summ).groupBy("split", "method_id").pivot("train_size", SIZES).agg(F.max("rnk")).collect()
+    assert {(r.split, r.method_id): [r[str(n)] for n in SIZES] for r in matrix} == RANKS
+
+
+def test_all_gaps(summ):
+    p = summ.groupBy("method_id", "train_size").pivot("split", ["random", "scaffold"]).agg(F.max("mean_mae"))
+    got = p.select("method_id", "train_size", (F.col("scaffold") - F.col("random")).alias("gap")).collect()
+    assert len(got) == 56
+    for r in got:
+        assert r.gap == pytest.approx(GAPS[r.method_id][SIZES.index(r.train_size)], abs=1e-12)
+
+
+def test_neighbours_and_summary_counts(summ, resolved):
+    near = ranking.adjacent(ranking.ranked(summ)).join(resolved.withColumnsRenamed({"m1": "better", "m2": "worse"}), ["split", "train_size", "better", "worse"])
+    rows = near.collect()
+    assert len(rows) == 96 and sum(r.resolved for r in rows) == 51
+    for r in rows:
+        k = int(r.rank_pair.split("-")[0])
+        p = NEIGHBOURS[r.split, r.train_size][k - 1]
+        assert (r.p, r.agree, r.resolved) == (abs(p), p > 0, abs(p) < 0.05 and p > 0)
+        at = SIZES.index(r.train_size)
+        assert abs(r.mean_diff) == pytest.approx(MEANS[r.split, r.worse][at] - MEANS[r.split, r.better][at], abs=1e-12)
+    assert sum(abs(r.mean_diff) < 0.049 for r in rows) == 96
+
+
+def test_top_groups_from_their_pairs(spark, summ):
+    rows = []
+    for (s, n), top in TOP.items():
+        rows += [(s, n, top[0], m, -0.1, 0.5 if m in top else 0.01, True) for x, m in MEANS if x == s and m != top[0]]
+    tests = spark.createDataFrame(rows, "split string, train_size int, m1 string, m2 string, mean_diff double, p double, agree boolean")
+    got = {(r.split, r.train_size): r.top_group for r in ranking.top_groups(ranking.ranked(summ), ranking.resolved_pairs(tests)).collect()}
+    assert got == TOP
+    sizes = [len(x) for x in got.values()]
+    assert (len(sizes), sizes.count(1), sum(sizes) / len(sizes)) == (16, 3, 2.0)
+
+
+def test_all_fits(spark, summ):
+    points = summ.select("split", "method_id", F.col("train_size").cast("double").alias("n"), F.col("mean_mae").alias("y"))
+    got = {(r.split, r.method_id): r for r in curves.fitted(points, "split", "method_id", parts=4).collect()}
+    assert len(got) == 14
+    for k, (a, b, c, last) in FITS.items():
+        r = got[k]
+        assert r.a * 10_000**-r.b + r.c == pytest.approx(last, abs=1e-6)
+        assert r.b == pytest.approx(b, abs=1e-4), k
+
+
+def test_all_crossings(spark):
+    fits = spark.createDataFrame([(*k, *v[:3]) for k, v in FITS.items()], "split string, method_id string, a double, b double, c double")
+    pairs = list(dict.fromkeys((a, b) for _, a, b in CROSSINGS))
+    got = curves.crossover(curves.paired_fits(fits, pairs, "split"), "split", "m1", "m2").collect()
+    assert {(r.split, r.m1, r.m2): r.crossover for r in got} == {k: None if v is None else pytest.approx(v, rel=1e-8) for k, v in CROSSINGS.items()}
+
+
+def test_matched_pairs(spark):
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(MATCHED)], "k int, y double, x double, want double")
+    out = stats.leave_one_out(d, "y", "x").cache()
+    assert out.agg(F.max(F.abs(F.col("loo") - F.col("want")))).first()[0] < 1e-9
+    line = d.agg(F.corr("x", "y").alias("pearson_r"), *stats.line_fit("y", "x")).first()
+    got = line.asDict() | {"r2": line.pearson_r**2}
+    assert got == {k: pytest.approx(v, abs=1e-9) for k, v in AGREEMENT.items()}
+    fit = F.lit(line.slope) * F.col("x") + F.lit(line.intercept)
+    for pred, want in ((F.col("x"), RAW), (fit, IN_SAMPLE), (F.col("loo"), LOO)):
+        assert list(out.agg(*stats.error_metrics(F.col("y"), pred)).first()) == pytest.approx(want, abs=1e-9)
+
+
+def test_interval_of_the_error(spark):
+    """Draws come from md5, not from the published generator, so the interval agrees within its own sampling error."""
+    e = spark.createDataFrame([(i, abs(p - y)) for i, (y, _, p) in enumerate(MATCHED)], "row long, e double")
+    means = stats.hash_draws(e, 20_000).join(e, F.col("pick") == F.col("row")).groupBy("draw").agg(F.avg("e").alias("m"))
+    got = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))).first()[0]
+    assert got == pytest.approx(LOO_INTERVAL, abs=3e-3)

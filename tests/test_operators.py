@@ -8,7 +8,7 @@ from metricloom.functions.text import key_parts, list_length, normaliser
 from metricloom.operators import clean, curves, ranking, splits, stats
 from metricloom.operators.ordering import dense_id, sum_before
 from metricloom.sources import sinks
-from metricloom.sources.tables import constants, optional_column, require_columns, scan_csv, scan_json
+from metricloom.sources.tables import constants, optional_column, require_columns, require_complete, scan_csv, scan_json
 from metricloom.streaming.events import windowed_counts
 
 
@@ -112,6 +112,37 @@ def test_paired_test_against_numeric_integration(spark):
     assert not p_of([1, -1, 2, 3, 4]).agree
 
 
+@pytest.mark.parametrize("d", [[0.1, 0.2, 0.35], [0.1, 0.3], [0.5, -0.1, 0.2, 0.4], [0.3, 0.1, 0.2, -0.05, 0.4, 0.2, 0.1], [0.01 * i for i in range(1, 13)]])
+def test_paired_test_of_any_number_of_seeds(spark, d):
+    p = spark.createDataFrame([(float(v),) for v in d], "d double").agg(*stats.paired_test("d")).first().p
+    x, v = np.array(d), len(d) - 1
+    t = abs(x.mean() / (x.std(ddof=1) / np.sqrt(len(d))))
+    angle = np.linspace(np.arctan(t / np.sqrt(v)), np.pi / 2, 2_000_001)  # in u = sqrt(v) tan(angle) the density is cos ** (v - 1)
+    whole = np.trapezoid(np.cos(np.linspace(0, np.pi / 2, 2_000_001)) ** (v - 1), dx=np.pi / 4e6)
+    assert p == pytest.approx(np.trapezoid(np.cos(angle) ** (v - 1), angle) / whole, abs=1e-9)
+
+
+def test_paired_test_of_one_seed_has_no_p(spark):
+    r = spark.createDataFrame([(0.5,)], "d double").agg(*stats.paired_test("d")).first()
+    assert r.p is None and r.agree and r.mean_diff == 0.5
+
+
+@pytest.mark.parametrize("xs, want", [([1.0], [None]), ([1.0, 2.0], [None, None]), ([3.0, 3.0, 3.0], [None] * 3), ([1.0, 1.0, 4.0], [7.0, 4.0, None])])
+def test_leave_one_out_without_a_line(spark, xs, want):
+    rows = [(i, x, y) for i, (x, y) in enumerate(zip(xs, (4.0, 7.0, 1.0), strict=False))]
+    got = stats.leave_one_out(spark.createDataFrame(rows, "i int, x double, y double"), "y", "x").orderBy("i").collect()
+    assert [r.loo for r in got] == [None if w is None else pytest.approx(w) for w in want]
+    assert stats.leave_one_out(spark.createDataFrame([], "i int, x double, y double"), "y", "x").count() == 0
+
+
+def test_gaps_in_a_grid_are_an_error(spark):
+    grid = constants(spark, [("a", 1), ("a", 2)], "s string, n int")
+    rows = constants(spark, [("a", 1, 0.5), ("a", 1, 0.6)], "s string, n int, v double")
+    with pytest.raises(ValueError, match="'a', 2"):
+        require_complete(grid, rows, "s", "n")
+    assert require_complete(grid.where("n = 1"), rows, "s", "n").count() == 2
+
+
 def test_fit_finds_known_curves_and_clamps(spark):
     n = [500, 1000, 2000, 3000, 5000, 7000, 8000, 10000]
     rows = [("k", x, 0.9 * x**-0.4 + 0.05) for x in n] + [("flat", x, 0.2) for x in n] + [("zero", x, 0.5 * x**-0.2) for x in n]
@@ -139,7 +170,9 @@ def test_bootstrap_crossovers_against_a_loop(spark):
             a2, b2 = (1.2, 0.8) if draw < crossing else (2.0, 0.3)
             for m, y in (("base", 1.0 * n**-0.4 + 0.05), ("m", a2 * n**-b2 + 0.05)):
                 rows += [(split, m, draw, x, v) for x, v in zip(n.tolist(), (y + rng.normal(0, 1e-3, 7)).tolist(), strict=True)]
-    got = {r.split: r for r in curves.bootstrap_crossovers(spark.createDataFrame(rows, "split string, method_id string, draw int, n double, y double"), "base", 1, 7, parts=4).collect()}
+    points = spark.createDataFrame(rows, "split string, method_id string, draw int, n double, y double")
+    fits = curves.fitted(points, "split", "method_id", "draw", parts=4)
+    got = {r.split: r for r in curves.bootstrap_crossovers(fits, [("base", "m")], 1, 7, parts=4).collect()}
 
     def fit(y):
         low, high = 0.01, 2.0
@@ -201,6 +234,26 @@ def test_scans_and_sinks(spark, tmp_path):
     assert df.select(optional_column(df, "gone").alias("g")).first().g is None
 
 
+def test_doubles_at_any_depth_are_rounded(spark, tmp_path):
+    df = spark.sql("SELECT named_struct('a', 1 / 3D, 'b', array(2 / 3D, NULL)) AS s, map('k', 1 / 3D) AS m, CAST(NULL AS struct<a: double>) AS z, 1 / 3D AS d")
+    sinks.write_json(df, str(tmp_path / "j"), decimals=10)
+    assert spark.read.json(str(tmp_path / "j")).first().asDict(True) == {"s": {"a": 0.3333333333, "b": [0.6666666667, None]}, "m": {"k": 0.3333333333}, "d": 0.3333333333}
+    sinks.write_report(df, str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r")).first().z is None
+    sinks.write_params(df.select("d"), str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p")).first().d == 1 / 3
+
+
+def test_split_files_by_split_seed_and_size(spark, tmp_path):
+    df = spark.range(100).withColumnRenamed("id", "k")
+    s = splits.random_split(df, "k", [1, 2])
+    files = splits.nested_prefixes(s, [5, 50]).withColumn("split", F.lit("random"))
+    sinks.write_partitioned(files.select("split", "seed", "target_train_size", "k", "split_role"), str(tmp_path / "s"), "split", "seed", "target_train_size")
+    for seed in (1, 2):
+        for n in (5, 50):
+            assert spark.read.csv(str(tmp_path / "s" / "split=random" / f"seed={seed}" / f"target_train_size={n}"), header=True).count() == n
+
+
 def test_windows_on_a_stream_equal_those_of_the_table(spark, tmp_path):
     rows = [(i, f"2024-01-01 {i // 60:02d}:{i % 60:02d}:00", "ab"[i % 2], float(i)) for i in range(300)]
     df = spark.createDataFrame(rows, "event_id long, t string, event_type string, value double").withColumn("ts", F.col("t").cast("timestamp_ntz")).drop("t")
