@@ -21,13 +21,20 @@ from metricloom.llm.common import fold, map_texts, thinned
 
 ORDERS = (3, 4, 5)
 BUCKETS = 16  # bits
+REPEATED = 1  # the bucket of a word that repeats the one before
 
 
 def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of (text number, bucket), ascending by text: the words, then each order of n-grams."""
+    """Pairs of (text number, bucket), ascending by text: the words, the pairs of words, then each order of n-grams."""
     codes, _, ends = encode(texts, lower=False)
     starts, stops, hashes = words(codes)
-    out = [(owners(starts, ends), (mix(hashes + np.uint64(99)) >> np.uint64(64 - BUCKETS)).astype(np.int32))]
+    word_of = owners(starts, ends)
+    out = [(word_of, (mix(hashes + np.uint64(99)) >> np.uint64(64 - BUCKETS)).astype(np.int32))]
+    # pairs of neighbouring words; a word that repeats the one before is one n-gram whatever the word
+    pair = mix(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]) >> np.uint64(64 - BUCKETS)
+    pair[hashes[:-1] == hashes[1:]] = REPEATED
+    near = word_of[:-1] == word_of[1:]
+    out.append((word_of[1:][near], pair[near].astype(np.int32)))
     sizes = np.diff(np.concatenate(([0], ends + (len(codes) - ends[-1])))) if len(ends) else ends
     row = np.repeat(np.arange(len(ends), dtype=np.int32), sizes)
     h = np.zeros(len(codes), np.uint64)
