@@ -4,10 +4,14 @@ Two models of characters, one of toxic and one of ordinary text, give the
 last of four characters its probability after the first three.  Each is
 interpolated Kneser-Ney: what a class has not seen falls back to shared
 lower orders, built from continuation counts over both classes, so rare
-expressions weigh the same on both sides and cancel out.  A document's
-statistic is the difference of the two log-likelihoods divided by its length;
-a logistic curve, fitted on labelled rows whose counts were left out, turns it
-into a score.  The models that score have the counts of those rows as well.
+expressions weigh the same on both sides and cancel out.  What is compared is
+the difference of the two log-likelihoods divided by the length: of the whole
+text, and of its windows of WINDOW characters, of which the most toxic ones and
+the share of toxic ones count, for a few words of abuse drown in a long text's
+mean.  A logistic curve turns these statistics into a score.  It is fitted on
+all labelled rows outside the held-out fold, each with statistics from models
+that lack the row's own part of them (FOLDS parts); the models that score have
+the counts of all parts.
 
 Counts come from every labelled row outside the held-out fold, by shuffles
 of 4-gram counts that grow with the labelled text.  Only the evaluated
@@ -28,9 +32,14 @@ from metricloom.llm.common import checkpointed, fold, map_texts, slices
 
 ORDER = 4
 CHAR = 12  # bits of a folded character
+FOLD_BIT = ORDER * CHAR  # where a key tells its fold while it is counted
 SLOTS = 21  # bits of the array of n-grams, contexts have one less
 DISCOUNT = 0.9
 FLUSH = 1 << 20
+FOLDS = 3
+WINDOW, STEP = 8, 4  # characters
+HIGH = 3.0  # the log-likelihood difference of a toxic window
+TOPS = (1, 4, 10)  # windows whose mean is a statistic
 #: Labels up to this number are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
 
@@ -64,7 +73,7 @@ def slot(key: np.ndarray, bits: int) -> np.ndarray:
 
 
 def count_ngrams(labelled: DataFrame) -> DataFrame:
-    """(key, ct, co): how often each 4-gram stands in toxic and ordinary rows of (text, label)."""
+    """(fold, key, ct, co): how often each 4-gram stands in toxic and ordinary rows of each fold of (text, label, fold)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -79,8 +88,9 @@ def count_ngrams(labelled: DataFrame) -> DataFrame:
 
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                label = np.array(part.column("label").to_pylist(), np.int64)
+                label, part_of = (np.array(part.column(c).to_pylist(), np.int64) for c in ("label", "fold"))
                 key, row = ngrams(texts)
+                key |= part_of[row] << FOLD_BIT
                 toxic = label[row] == 1
                 unique, at = np.unique(key, return_inverse=True)
                 ct = np.bincount(at[toxic], minlength=len(unique))
@@ -94,8 +104,15 @@ def count_ngrams(labelled: DataFrame) -> DataFrame:
             held = [merged()]
             yield out()
 
-    parts = labelled.select("text", "label").mapInArrow(run, "key long, ct long, co long")
-    return parts.groupBy("key").agg(F.sum("ct").alias("ct"), F.sum("co").alias("co"))
+    parts = labelled.select("text", "label", "fold").mapInArrow(run, "key long, ct long, co long")
+    sums = parts.groupBy("key").agg(F.sum("ct").alias("ct"), F.sum("co").alias("co"))
+    return sums.select(F.shiftright("key", FOLD_BIT).alias("fold"), F.col("key").bitwiseAND((1 << FOLD_BIT) - 1).alias("key"), "ct", "co")
+
+
+def without(counts: DataFrame, fold_: int | None = None) -> DataFrame:
+    """(key, ct, co) over all folds but one."""
+    kept = counts if fold_ is None else counts.where(F.col("fold") != fold_)
+    return kept.groupBy("key").agg(F.sum("ct").alias("ct"), F.sum("co").alias("co"))
 
 
 def _mask(n: int) -> int:
@@ -149,41 +166,63 @@ def hashed(rows: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def statistic(tables: tuple[np.ndarray, np.ndarray], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The length-normalised difference of the log-likelihoods, and the length in characters."""
+def statistics(tables: tuple[np.ndarray, np.ndarray], texts: list[str]) -> np.ndarray:
+    """A row of STATISTICS for each text: the length-normalised difference of the log-likelihoods of the whole text, of its most toxic windows, the share of toxic windows, and the length."""
     key, row = ngrams(texts)
     x = tables[0][slot(key, SLOTS)]
     missing = np.flatnonzero(np.isnan(x))
     if len(missing):
         x[missing] = np.nan_to_num(tables[1][slot(key[missing] >> CHAR, SLOTS - 1)])
     n = np.bincount(row, minlength=len(texts))
-    return np.bincount(row, x, len(texts)) / np.maximum(n, 1), n
+    out = np.zeros((len(texts), STATISTICS))
+    out[:, 0] = np.bincount(row, x, len(texts)) / np.maximum(n, 1)
+    out[:, -1] = n
+    first = np.cumsum(n) - n
+    many = np.where(n > 0, np.maximum(n - WINDOW, 0) // STEP + 1, 0)  # a shorter text is one window
+    of = np.repeat(np.arange(len(texts)), many)
+    begin = first[of] + STEP * (np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many))
+    sums = np.concatenate(([0.0], np.cumsum(x, dtype=np.float64)))
+    value = sums[np.minimum(begin + WINDOW, (first + n)[of])] - sums[begin]
+    order = np.lexsort((-value, of))
+    rank = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+    for i, top in enumerate(TOPS, 1):
+        out[:, i] = np.bincount(of[rank < top], value[order][rank < top], len(texts)) / np.maximum(np.minimum(many, top), 1)
+    out[:, len(TOPS) + 1] = np.bincount(of, value > HIGH, len(texts)) / np.maximum(many, 1)
+    return out
 
 
-def _inputs(x: np.ndarray, n: np.ndarray) -> np.ndarray:
-    x = np.clip(x, -0.5, 0.5) * 100
-    return np.column_stack([np.ones(len(x)), x, np.minimum(x, 0), np.log1p(n) - 7, x * (np.log1p(n) - 7)])
+STATISTICS = len(TOPS) + 3
+
+
+def _inputs(x: np.ndarray) -> np.ndarray:
+    mean = np.clip(x[:, 0], -0.5, 0.5) * 100
+    return np.column_stack([np.ones(len(x)), mean, np.minimum(mean, 0), np.clip(x[:, 1:-2], -20, 20) / 4, np.minimum(x[:, -2], 0.5) * 20, np.log1p(x[:, -1]) - 7])
 
 
 def logistic(rows: DataFrame, ridge: float = 1.0, steps: int = 50) -> np.ndarray | None:
-    """The curve's weights from all rows of (x, n, label), by Newton steps; None without both labels.
+    """The curve's weights from all rows of (x, label), by Newton steps; None without both labels.
+
+    The two labels weigh the same in sum: toxic rows are rare, and 0.5 should
+    be where a row is as likely under either model of the statistics.
 
     Each step is one pass in which a task sends a gradient and a curvature.
     """
     seen = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("toxic")).first()
     if not seen["n"] or not 0 < seen["toxic"] < seen["n"]:
         return None
-    size = 5
+    heavy = np.array([seen["n"] / (2 * (seen["n"] - seen["toxic"])), seen["n"] / (2 * seen["toxic"])])
+    size = STATISTICS + 2
     w = np.zeros(size)
     for _ in range(steps):
 
         def sums(batches: Iterator[pa.RecordBatch], w: np.ndarray = w) -> Iterator[pa.RecordBatch]:
             total = np.zeros(size * (size + 1))
             for b in batches:
-                d, n, y = (b.column(k).to_numpy(zero_copy_only=False) for k in ("x", "n", "label"))
-                x = _inputs(d, n)
+                y = b.column("label").to_numpy(zero_copy_only=False)
+                x = _inputs(b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, STATISTICS))
                 p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-                total += np.concatenate([x.T @ (p - y), ((x * (p * (1 - p))[:, None]).T @ x).ravel()])
+                v = heavy[y.astype(int)]
+                total += np.concatenate([x.T @ (v * (p - y)), ((x * (v * p * (1 - p))[:, None]).T @ x).ravel()])
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["sums"])
 
         total = np.sum([r["sums"] for r in rows.mapInArrow(sums, "sums array<double>").collect()], axis=0)
@@ -195,8 +234,8 @@ def logistic(rows: DataFrame, ridge: float = 1.0, steps: int = 50) -> np.ndarray
 
 
 def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, label) of the labelled rows outside the held-out fold, plus whether a row calibrates."""
-    known = labels.where((fold("doc_id", 3) != 1) & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").alias("label"), (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("calibrates"))
+    """(text, label) of the labelled rows outside the held-out fold, plus the fold that each calibrates in."""
+    known = labels.where((fold("doc_id", 3) != 1) & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").alias("label"), F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).alias("fold"))
     small = known.count() <= BROADCAST_LABELS
     return docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(known) if small else known, "doc_id")
 
@@ -207,33 +246,36 @@ def arrays(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def calibration(rows: DataFrame, tables: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(x, n, label): statistic and length of each row of (text, label)."""
+    """(x, label): statistics of each row of (text, label)."""
     sent = rows.sparkSession.sparkContext.broadcast(tables)
 
     def work():
         known = sent.value
 
         def each(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
-            x, size = statistic(known, texts)
-            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(size.astype(np.int64)), batch.column("label")], ["x", "n", "label"])
+            x = statistics(known, texts)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * STATISTICS), pa.array(x.ravel()))
+            return pa.RecordBatch.from_arrays([flat, batch.column("label")], ["x", "label"])
 
         return each
 
-    return map_texts(rows.select("text", F.col("label").cast("int").alias("label")), work, "x double, n long, label int")
+    return map_texts(rows.select("text", F.col("label").cast("int").alias("label")), work, "x array<double>, label int")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
-    """The curve from a fifth of the labelled rows, with counts of the others; then the counts of all of them."""
+    """The curve from all labelled rows, each part of them with counts of the others; then the counts of all of them."""
     rows = with_labels(docs, labels)
-    others = checkpointed(count_ngrams(rows.where(~F.col("calibrates"))))
-    weights = logistic(checkpointed(calibration(rows.where("calibrates"), arrays(others))))
-    counts = others.unionByName(count_ngrams(rows.where("calibrates"))).groupBy("key").agg(F.sum("ct").alias("ct"), F.sum("co").alias("co"))
-    return {"tables": arrays(checkpointed(counts)), "weights": np.array([-3.0, 1.0, 0, 0, 0]) if weights is None else weights}
+    counts = checkpointed(count_ngrams(rows))
+    points = None
+    for k in range(FOLDS):
+        seen = calibration(rows.where(F.col("fold") == k), arrays(without(counts, k)))
+        points = seen if points is None else points.unionByName(seen)
+    weights = logistic(checkpointed(points))
+    return {"tables": arrays(without(counts)), "weights": np.array([-3.0, 1.0] + [0.0] * STATISTICS) if weights is None else weights}
 
 
 def score(model: dict, texts: list[str]) -> np.ndarray:
-    x, n = statistic(model["tables"], texts)
-    return 1 / (1 + np.exp(-np.clip(_inputs(x, n) @ model["weights"], -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(_inputs(statistics(model["tables"], texts)) @ model["weights"], -30, 30)))
 
 
 def rate(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:

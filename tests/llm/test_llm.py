@@ -61,29 +61,88 @@ def test_toxicity_separates_and_counts_are_exact(spark, odd):
     assert s[0] > 0.7 > s[1]
     out = toxicity.rate(odd, model).collect()
     assert len(out) == 8 and all(0 <= r.score <= 1 for r in out)
-    got = {r.key: (r.ct, r.co) for r in toxicity.count_ngrams(spark.createDataFrame([("ab", 1), ("ab", 0), ("b", 0)], "text string, label int")).collect()}
+    got = {(r.fold, r.key): (r.ct, r.co) for r in toxicity.count_ngrams(spark.createDataFrame([("ab", 1, 0), ("ab", 0, 0), ("b", 0, 1)], "text string, label int, fold int")).collect()}
     # a text's characters and the space that ends it
-    assert sum(a for a, _ in got.values()) == 3 and sum(b for _, b in got.values()) == 3 + 2
+    assert sum(a for a, _ in got.values()) == 3 and sum(b for _, b in got.values()) == 3 + 2 and {f for f, _ in got} == {0, 1}
 
 
 def test_toxicity_counts_and_curve_use_all_labelled_rows(spark):
     ids = spark.range(900).withColumnRenamed("id", "doc_id")
-    fifth = {r.doc_id for r in ids.where("pmod(xxhash64(doc_id), 5) = 0").collect()}
-    rows = [(i, made(i, 50) + (" vile scoundrel" * 4 if i % 3 == 0 else "") + (" qzjx" if i % 3 == 0 and i in fifth else "")) for i in range(900)]
+    part = {r.doc_id: r.f for r in ids.withColumn("f", F.expr(f"pmod(xxhash64(doc_id), {toxicity.FOLDS})")).collect()}
+    rows = [(i, made(i, 50) + (" vile scoundrel" * 4 if i % 3 == 0 else "") + (" qzjx" if i % 3 == 0 and part[i] == 1 else "")) for i in range(900)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
     key, _ = toxicity.ngrams(["qzjx"])
-    assert (model["tables"][0][toxicity.slot(key[3:4], toxicity.SLOTS)] > 0.5).all()
+    place = toxicity.slot(key[3:4], toxicity.SLOTS)
+    assert (model["tables"][0][place] > 0.5).all()
 
     known = toxicity.with_labels(docs, labels)
-    points = toxicity.calibration(known.where("calibrates"), toxicity.arrays(toxicity.count_ngrams(known.where("NOT calibrates")))).toPandas()
-    assert len(points) == sum(i in fifth and zlib.crc32(str(i).encode()) % 3 != 1 for i, _ in rows)
-    x, y, w = toxicity._inputs(points.x.values, points.n.values), points.label.values, np.zeros(5)
+    counts = toxicity.count_ngrams(known)
+    tables = [toxicity.arrays(toxicity.without(counts, k)) for k in range(toxicity.FOLDS)]
+    # a part's own words are not in the models that rate it
+    assert np.isnan(tables[1][0][place]).all() and not np.isnan(tables[0][0][place]).any()
+    x, y = [], []
+    for k, t in enumerate(tables):
+        for r in known.where(f"fold = {k}").collect():
+            x.append(toxicity.statistics(t, [r.text])[0])
+            y.append(r.label)
+    assert len(y) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i, _ in rows)
+    x, y, w = toxicity._inputs(np.array(x)), np.array(y), np.zeros(toxicity.STATISTICS + 2)
+    v = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))  # both labels weigh the same
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(5), x.T @ (p - y) + w)
-    assert model["weights"] == pytest.approx(w, abs=1e-6)
+        w -= np.linalg.solve((x * (v * p * (1 - p))[:, None]).T @ x + np.eye(len(w)), x.T @ (v * (p - y)) + w)
+    assert model["weights"] == pytest.approx(w, abs=1e-5)
+
+
+def kneser_ney(rows, text):
+    """For each character of the text (number of n-gram, log difference), by dictionaries and loops."""
+    n, d = toxicity.ORDER, toxicity.DISCOUNT
+
+    def grams(t):
+        s = " " * (n - 1) + re.sub(r"[\W_]+", " ", " " + t.lower()).lstrip() + ("" if re.search(r"[\W_]$", t) else " ")
+        return [s[i : i + n] for i in range(len(s) - n + 1)]
+
+    counts = [collections.Counter(g for t, y in rows if y == k for g in grams(t)) for k in (0, 1)]
+    three = collections.Counter(g[1:] for g in {*counts[0], *counts[1]})
+    two = collections.Counter(g[1:] for g in three)
+
+    def smoothed(c, g, lower):
+        total, types = sum(v for k, v in c.items() if k[:-1] == g[:-1]), sum(k[:-1] == g[:-1] for k in c)
+        return (max(c[g] - d, 0) + d * types * lower) / total if total else lower
+
+    def difference(g):
+        if g not in counts[0] and g not in counts[1]:
+            return None
+        p = smoothed(three, g[1:], smoothed(two, g[2:], 1 / 256))
+        return np.log(smoothed(counts[1], g, p) / smoothed(counts[0], g, p))
+
+    return [difference(g) for g in grams(text)]
+
+
+def test_toxicity_against_kneser_ney_by_loops(spark):
+    rows = [(f"{made(i, 4)} {'vile' if i % 2 else 'kind'}", i % 2) for i in range(12)]
+    counts = toxicity.count_ngrams(spark.createDataFrame([(t, y, i % 2) for i, (t, y) in enumerate(rows)], "text string, label int, fold int"))
+    tables = toxicity.arrays(toxicity.without(counts))
+    text = f"{rows[3][0]} zz {rows[4][0]}"
+    want = kneser_ney(rows, text)
+    key, _ = toxicity.ngrams([text])
+    got = tables[0][toxicity.slot(key, toxicity.SLOTS)]
+    assert len(got) == len(want) and sum(w is not None for w in want) > 8
+    for g, w in zip(got, want, strict=True):
+        assert np.isnan(g) if w is None else g == pytest.approx(w, abs=1e-5)
+
+
+def test_toxicity_windows_by_loops():
+    rng = np.random.default_rng(1)
+    tables = (rng.normal(size=1 << toxicity.SLOTS).astype(np.float32), np.zeros(1 << (toxicity.SLOTS - 1), np.float32))
+    texts = ["", "a", "short", made(1, 30), "x" * 8, "y z " * 50]
+    for text, got in zip(texts, toxicity.statistics(tables, texts), strict=True):
+        x = tables[0][toxicity.slot(toxicity.ngrams([text])[0], toxicity.SLOTS)].astype(float)
+        windows = sorted((x[i : i + 8].sum() for i in range(0, max(len(x) - 8, 0) + 1, 4) if len(x)), reverse=True)
+        want = [x.mean() if len(x) else 0, *[np.mean(windows[:k]) if windows else 0 for k in (1, 4, 10)], np.mean([w > 3 for w in windows]) if windows else 0, len(x)]
+        assert got == pytest.approx(want, abs=1e-4)
 
 
 def test_packing_is_exact_and_gapless(spark, odd):
