@@ -9,7 +9,7 @@ dropped and are not in the index; the fingerprint tells them apart.
 
 Documents probe the arrays.  An index up to ``broadcast_bytes`` is sent to
 every task; a larger one stays distributed: line hashes travel to their shard
-(salted, so that a common line does not meet in one task), stream past that
+(salted, so that neither a common line nor a repeated text meets in one task), stream past that
 shard's arrays, and only the dropped hashes of each text travel back.
 """
 
@@ -30,6 +30,8 @@ from metricloom.llm.common import checkpointed, fresh, map_texts, slices, wider,
 BLANK = " \t\n\x0b\x0c\r"
 SHARD_KEYS = 1 << 15
 SALTS = 64
+TEXT_SALTS = 8  # tasks that share the rows of one text that repeats
+RANK_BLOCK = 128  # slots
 FLUSH = 1 << 18
 
 
@@ -50,7 +52,13 @@ class Lookup:
     def __init__(self, levels: list[np.ndarray], fingerprints: np.ndarray, counts: np.ndarray):
         self.levels, self.fingerprints, self.counts = levels, fingerprints, counts
         self.before = np.cumsum([0, *[int(x.sum()) for x in levels]])
-        self.ranks = [np.cumsum(x) - x for x in levels]
+        # the rank of a slot: that of its block, and within the block one byte
+        self.ranks, self.within = [], []
+        for x in levels:
+            blocks = np.pad(x, (0, -len(x) % RANK_BLOCK)).reshape(-1, RANK_BLOCK)
+            sums = np.cumsum(blocks, axis=1, dtype=np.uint8)
+            self.ranks.append(np.cumsum(np.append(0, sums[:, -1].astype(np.int64)))[:-1])
+            self.within.append((sums - blocks).reshape(-1))
 
     @staticmethod
     def places(keys: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -77,7 +85,7 @@ class Lookup:
         for i, alone in enumerate(self.levels):
             at = self.places(keys[left], i, len(alone))
             hit = alone[at]
-            out[left[hit]] = self.before[i] + self.ranks[i][at[hit]]
+            out[left[hit]] = self.before[i] + self.ranks[i][at[hit] // RANK_BLOCK] + self.within[i][at[hit]]
             left = left[~hit]
         return out
 
@@ -190,12 +198,13 @@ def _far_drops(docs: DataFrame, index: DataFrame, shards: int, min_docs: int, te
 
     def explode(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
         rows = []
-        for body in texts:
+        for body in dict.fromkeys(texts):
             t = hash_of(body.encode("utf-8", "surrogatepass"))
             rows += [(*t, *hash_of(k)) for k in {key_of(x) for x in body.split("\n")} if k]
         a = np.array(rows, np.int64).reshape(-1, 4)
         shard = shard_of(np.ascontiguousarray(a[:, 2]).view(np.uint64), shards)
-        salt = (mix(a[:, 0].astype(np.uint64)) % np.uint64(SALTS)).astype(np.int32)
+        # by the text and its place in the task: neither a common line nor a text that repeats meets in one task
+        salt = (mix(a[:, 0].astype(np.uint64) + np.arange(len(a), dtype=np.uint64)) % np.uint64(SALTS)).astype(np.int32)
         return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(salt), *[pa.array(a[:, i].copy()) for i in range(4)]], ["shard", "salt", "t1", "t2", "h", "f"])
 
     probes = map_texts(docs.select(text), lambda: explode, "shard int, salt int, t1 long, t2 long, h long, f long", text)
@@ -218,7 +227,8 @@ def _far_drops(docs: DataFrame, index: DataFrame, shards: int, min_docs: int, te
                         yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (t1, t2, h, f)], ["t1", "t2", "h", "f"])
 
     found = both.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "probe").mapInArrow(run, "t1 long, t2 long, h long, f long")
-    return found.groupBy("t1", "t2").agg(F.collect_set(F.struct("h", "f")).alias("drops"))
+    # a text that repeats is found by many tasks: each line once, before the lists are gathered
+    return found.distinct().groupBy("t1", "t2").agg(F.collect_list(F.struct("h", "f")).alias("drops"))
 
 
 def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: str = "text", broadcast_bytes: int = 64 << 20, prefix: str = "l_") -> DataFrame:
@@ -245,30 +255,34 @@ def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: st
 
         return map_texts(docs, work, schema, text)
 
-    drops = _far_drops(docs, index, shards, min_docs, text)
+    p = fresh(docs, "x_")
+    t1, t2, salt, gone = (p + c for c in ("t1", "t2", "salt", "drops"))
+    drops = _far_drops(docs, index, shards, min_docs, text).withColumnsRenamed({"t1": t1, "t2": t2, "drops": gone})
+    drops = drops.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(TEXT_SALTS - 1))))
 
     def text_hash(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
-        t1, t2 = np.array([hash_of(x.encode("utf-8", "surrogatepass")) for x in texts], np.int64).reshape(-1, 2).T
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(t1.copy()), pa.array(t2.copy())], [*batch.schema.names, "t1", "t2"])
+        h = np.array([hash_of(x.encode("utf-8", "surrogatepass")) for x in texts], np.int64).reshape(-1, 2)
+        deal = (np.arange(len(texts)) + h[:, 1]) % TEXT_SALTS
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(deal.astype(np.int32))], [*batch.schema.names, t1, t2, salt])
 
-    hashed = map_texts(docs, lambda: text_hash, wider(docs.schema, t1="long", t2="long"), text)
+    hashed = map_texts(docs, lambda: text_hash, wider(docs.schema, **{t1: "long", t2: "long", salt: "int"}), text)
     names = docs.columns
-    joined = hashed.join(drops, ["t1", "t2"], "left")
+    joined = hashed.join(drops, [t1, t2, salt], "left")
 
     def apply():
         def each(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
-            lists = batch.column("drops").to_pylist()
+            lists = batch.column(gone).to_pylist()
             out = []
             for i, body in enumerate(texts):
-                gone = {(d["h"], d["f"]) for d in lists[i] or ()}
-                out.append(sift([body], lambda h, f, gone=gone: np.array([x in gone for x in zip(h.view(np.int64).tolist(), f.tolist(), strict=True)], bool)))
+                drop = {(d["h"], d["f"]) for d in lists[i] or ()}
+                out.append(sift([body], lambda h, f, drop=drop: np.array([x in drop for x in zip(h.view(np.int64).tolist(), f.tolist(), strict=True)], bool)))
             total, dropped, kept = ([x[k][0] for x in out] for k in range(3))
             rows = with_column(batch.select(names), text, pa.array(kept, pa.string()))
             return pa.RecordBatch.from_arrays([*rows.columns, pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], [*rows.schema.names, f"{prefix}n_lines", f"{prefix}n_dropped"])
 
         return each
 
-    return map_texts(joined.select(*names, "drops"), apply, schema, text)
+    return map_texts(joined.select(*names, gone), apply, schema, text)
 
 
 def digests(docs: DataFrame, **how: int) -> DataFrame:

@@ -361,6 +361,10 @@ def test_lines_against_loops_both_ways(spark, odd):
             lines = (texts[r.doc_id] if r.doc_id < 500 else "").split("\n")
             kept = [x for x in lines if seen[key(x)] < 10]
             assert (r.n_lines, r.n_dropped, r.kept_sha256) == (len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())
+    rows = [(i, texts[i % 120] if i % 10 else "the line\nhot text", i, "x", 0) for i in range(400)]
+    clash = spark.createDataFrame(rows, "doc_id long, text string, t1 long, drops string, t2 int").repartition(5)
+    near, far = (sorted(map(tuple, line_dedup.drop_lines(clash, broadcast_bytes=n).collect())) for n in (64 << 20, 0))
+    assert near == far and len(near) == 400
     assert line_dedup.stage(odd).columns == odd.columns and line_dedup.stage(odd).count() == 8
     assert line_dedup.digests(odd.limit(0)).count() == 0
 
