@@ -46,8 +46,8 @@ def statistics(docs: DataFrame, text: str = "text", prefix: str = "q_") -> DataF
     body = F.coalesce(F.col(text), F.lit(""))
     p = prefix
 
-    def left(pattern: str) -> Column:
-        return F.length(F.regexp_replace(body, pattern, ""))
+    def signs(these: str) -> Column:
+        return F.col(f"{p}length") - F.length(F.translate(body, these, ""))
 
     words = F.expr(f"filter(split(coalesce(`{text}`, ''), '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w != '')")
     lines = F.split(body, "\n", -1)
@@ -59,14 +59,14 @@ def statistics(docs: DataFrame, text: str = "text", prefix: str = "q_") -> DataF
     numbers = {
         "n_words": F.size(ws),
         "word_chars": F.length(F.array_join(ws, "")),
-        "n_symbols": F.col(f"{p}length") - left(r"[#*$%&|<>]+"),
+        "n_symbols": signs("#*$%&|<>"),
         "n_dup_lines": F.size(fulls) - F.size(F.array_distinct(fulls)),
         "n_repeat_words": F.expr(repeats),
         "n_distinct": F.size(F.array_distinct(ws)),
         "n_lines": F.size(fulls),
-        "n_upper": F.col(f"{p}length") - left(r"\p{Lu}+"),
-        "n_marks": F.col(f"{p}length") - left(r"[!?]+"),
-        "n_digits": F.col(f"{p}length") - left(r"[0-9]+"),
+        "n_upper": F.col(f"{p}length") - F.length(F.regexp_replace(body, r"\p{Lu}+", "")),
+        "n_marks": signs("!?"),
+        "n_digits": signs("0123456789"),
     }
     # Behind a generator, a later filter on a statistic is not pushed below the
     # split, where it would split the text again for each element it looks at.
