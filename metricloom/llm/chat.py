@@ -114,6 +114,7 @@ def messages(rows: Iterator[dict]) -> Iterator[tuple[int, str, str]]:
 
 
 def _dealt(events: DataFrame) -> DataFrame:
+    """Conversations by task, in order.  One conversation is one task, whose sort spills; a digest needs its turns one behind the other."""
     return events.select("conv_id", "message", "seq", "kind", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "message", "seq", "kind", "role", "text")
 
 
@@ -181,19 +182,18 @@ def digests(events: DataFrame) -> DataFrame:
     return _dealt(events).mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-def as_events(conversations: DataFrame) -> DataFrame:
-    """One event for each row of (conv_id, turn, role, text); rows of one turn are messages of their own.
+def as_events(conversations: DataFrame, delta_chars: int = 4096) -> DataFrame:
+    """The log of rows (conv_id, turn, role, text): each text as a message and the deltas that stream the rest of it.
 
-    Null turns are one turn before all others.
+    Rows of one turn are messages of their own, in the order of role and
+    text.  Null turns stand before all others, null texts are empty.
     """
-    repeated = conversations.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    base = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long").alias("message"), F.lit(0).cast("long").alias("seq"), F.lit("message").alias("kind"), "role", "text")
-    return base if repeated.isEmpty() else _spread(base)
-
-
-def _spread(events: DataFrame) -> DataFrame:
-    """Gives rows that share a turn numbers of their own: turns are counted in steps that leave room for them."""
-    n, first = events.groupBy("conv_id", "message").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.min("message")).first()
-    w = Window.partitionBy("conv_id", "message").orderBy("role", "text")
-    turn = F.coalesce("message", F.lit(0 if first is None else first - 1).cast("long"))
-    return events.withColumn("message", turn * int(n) + F.row_number().over(w) - 1)
+    base = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long").alias("message"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    repeated = base.groupBy("conv_id", "message").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not repeated.isEmpty():
+        # places instead of turns, so that rows of one turn are told apart
+        base = base.withColumn("message", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("message"), "role", "text")).cast("long"))
+    parts = F.greatest(F.ceil(F.length("text") / delta_chars), F.lit(1)).cast("int")
+    events = base.withColumn("seq", F.explode(F.sequence(F.lit(0), parts - 1)))
+    kind = F.when(F.col("seq") == 0, "message").otherwise("delta")
+    return events.select("conv_id", "message", F.col("seq").cast("long").alias("seq"), kind.alias("kind"), "role", F.expr(f"substring(text, seq * {delta_chars} + 1, {delta_chars})").alias("text"))

@@ -69,6 +69,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 _KEY = r"translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE: dict[str, str] = {
+    "op8_chat_format": r"""
+WITH rows AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), marked AS (
+  SELECT *, role = 'assistant' AS counts, 2 * length(role) + 5 + CASE WHEN role = 'assistant' THEN 4 ELSE 0 END AS around,
+         length(regexp_replace(text, '([<\[]\\*)([/|_\p{L}\p{N}])', '\1\\\2', 'g')) + CASE WHEN regexp_matches(text, '[<\[]\\*$') THEN 1 ELSE 0 END AS escaped
+  FROM rows
+)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE counts), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE counts), '')) AS loss_sha256,
+       CAST(3 + sum(around + escaped) AS BIGINT) AS formatted_chars
+FROM marked GROUP BY conv_id""",
     "op10_line_dedup": rf"""
 WITH lines AS (
   SELECT doc_id, i, line, {_KEY} AS key

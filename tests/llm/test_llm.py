@@ -296,6 +296,18 @@ def test_chat_rows_of_one_turn_and_null_turns_are_all_kept(spark):
     assert said(rows[5:7]) == {2: two}
 
 
+def test_chat_long_texts_travel_as_deltas(spark):
+    texts = [made(1, 50), "", None, "[" * 9000 + "</s>", "é" * 4096, "\U0001f600" * 5000]
+    rows = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(texts)] + [(2, 2**62, "user", "a"), (2, 2**62, "user", "b")]
+    events = chat.as_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), delta_chars=1000)
+    assert events.where("kind = 'delta'").count() == 9 + 4 + 4 and events.agg(F.max(F.length("text"))).first()[0] == 1000
+    out = {r.conv_id: r for r in chat.digests(events).collect()}
+    said = "".join(f"{r}\n{t or ''}\n" for c, _, r, t in rows if c == 1)
+    assert (out[1].n_turns, out[1].turns_sha256) == (6, hashlib.sha256(said.encode()).hexdigest()) and out[2].n_turns == 2
+    learned = "".join(t or "" for c, _, r, t in rows if r == "assistant")
+    assert (out[1].loss_chars, out[1].loss_sha256) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
+
+
 def plain_reference(t):
     def luhn(d):
         return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
