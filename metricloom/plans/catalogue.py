@@ -423,6 +423,19 @@ def generalization_gap(spark, d):
     return p.select("method_id", "train_size", *r6(random_mae=F.col("random"), scaffold_mae=F.col("scaffold"), gap=F.col("scaffold") - F.col("random")))
 
 
+#: A label and a family for each method.
+METHODS = [("AUTOMOBILE", "Automobile", "goods"), ("BUILDING", "Building", "works"), ("FURNITURE", "Furniture", "goods"), ("HOUSEHOLD", "Household", "goods"), ("MACHINERY", "Machinery", "works")]
+
+
+@query(f"WITH {SUMM} SELECT s.method_id, any_value(label) AS method_label, any_value(family) AS family, train_size, " + ", ".join(f"round(max({k}_mae) FILTER (WHERE split = '{x}'), 6) AS {k}_mae_{x}" for k in ("mean", "std") for x in ("random", "scaffold")) + ", round(max(mean_mae) FILTER (WHERE split = 'scaffold') - max(mean_mae) FILTER (WHERE split = 'random'), 6) AS gap FROM summ s LEFT JOIN (VALUES " + ", ".join(map(str, METHODS)) + ") v(method_id, label, family) ON s.method_id = v.method_id GROUP BY s.method_id, train_size")
+def gap_table(spark, d):
+    """The gap between the splits with means and deviations of both, methods labelled by a lookup (its size is written in the code)."""
+    p = ranking.summary(runs(spark, d)).groupBy("method_id", "train_size").pivot("split", ["random", "scaffold"]).agg(F.max("mean_mae").alias("mean_mae"), F.max("std_mae").alias("std_mae"))
+    p = p.join(F.broadcast(constants(spark, METHODS, "method_id string, method_label string, family string")), "method_id", "left")
+    means = {f"{k}_mae_{x}": F.col(f"{x}_{k}_mae") for k in ("mean", "std") for x in ("random", "scaffold")}
+    return p.select("method_id", "method_label", "family", "train_size", *r6(**means, gap=F.col("scaffold_mean_mae") - F.col("random_mean_mae")))
+
+
 @query(f"WITH {TESTS} SELECT DISTINCT split, train_size, m1, m2 FROM sp")
 def method_pairs_theta(spark, d):
     return ranking.seed_pairs(runs(spark, d)).select("split", "train_size", "m1", "m2").distinct()
@@ -604,6 +617,25 @@ def importance_topk(spark, d):
     return top.withColumn("rnk", F.row_number().over(Window.orderBy(F.desc("mean_gain"), "dim"))).select("dim", F.round("mean_gain", 5).alias("mean_gain"), F.round("std_gain", 5).alias("std_gain"), "n_records", "rnk")
 
 
+@query("""WITH e AS (SELECT label % 10 AS rec, generate_subscripts(embedding, 1) AS dim, unnest(embedding) AS v FROM embeddings WHERE label IS NOT NULL),
+ s AS (SELECT CASE WHEN rec % 2 = 0 THEN 'random' ELSE 'scaffold' END AS split, dim, rec, avg(abs(v)) AS g FROM e GROUP BY 1, 2, 3),
+ m AS (SELECT split, dim, avg(g) AS mean_gain, stddev_samp(g) AS std_gain, count(*) AS n_records FROM s GROUP BY 1, 2 UNION ALL SELECT 'combined', dim, avg(g), stddev_samp(g), count(*) FROM s GROUP BY 2),
+ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY split ORDER BY round(mean_gain, 9) DESC, dim) AS INTEGER) AS rnk FROM m)
+ SELECT split, CAST(dim AS INTEGER) AS dim, CASE WHEN dim <= 8 THEN 'first dimensions' WHEN dim % 2 = 0 THEN 'even dimensions' ELSE 'other dimension' END AS category, round(mean_gain, 5) AS mean_gain, round(std_gain, 5) AS std_gain, n_records,
+  CASE WHEN split <> 'combined' THEN rnk END AS rank_within_split, CASE WHEN split = 'combined' THEN rnk END AS combined_rank FROM r""")
+def importance_ranks(spark, d):
+    """Importance by split and over both in one aggregation, with a category, the rank within a split and the combined rank."""
+    e = table(spark, d, "embeddings").where("label IS NOT NULL").select((F.col("label") % 10).alias("rec"), F.posexplode("embedding").alias("pos", "v"))
+    split = F.when(F.col("rec") % 2 == 0, "random").otherwise("scaffold")
+    s = e.groupBy(split.alias("split"), (F.col("pos") + 1).alias("dim"), "rec").agg(F.avg(F.abs(F.col("v").cast("double"))).alias("g"))
+    m = s.groupingSets([[F.col("split"), F.col("dim")], [F.col("dim")]], "split", "dim").agg(F.avg("g").alias("mean_gain"), F.stddev_samp("g").alias("std_gain"), F.count(F.lit(1)).alias("n_records"))
+    # a partition holds one row for each dimension of the vectors
+    r = m.withColumn("split", F.coalesce("split", F.lit("combined"))).withColumn("rnk", F.row_number().over(Window.partitionBy("split").orderBy(F.desc(F.round("mean_gain", 9)), "dim")))
+    category = F.when(F.col("dim") <= 8, "first dimensions").when(F.col("dim") % 2 == 0, "even dimensions").otherwise("other dimension")
+    ranks = [F.when(F.col("split") != "combined", F.col("rnk")).alias("rank_within_split"), F.when(F.col("split") == "combined", F.col("rnk")).alias("combined_rank")]
+    return r.select("split", "dim", category.alias("category"), F.round("mean_gain", 5).alias("mean_gain"), F.round("std_gain", 5).alias("std_gain"), "n_records", *ranks)
+
+
 @query(f"""WITH {PAIRS}, loo AS ({LOO.format(t="pairs").replace("round(", "").replace(", 4)", "")}), l AS (SELECT pairs.*, loo.loo FROM pairs JOIN loo USING (k)), line AS (SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM pairs),
  r AS (SELECT round(avg(abs(y - x)), 6) AS mae, round(sqrt(avg((y - x) ** 2)), 6) AS rmse, round(avg(y - x), 6) AS ms, count(y - x) AS n, round(avg(abs(loo - y)), 6) AS lmae, round(sqrt(avg((loo - y) ** 2)), 6) AS lrmse, round(avg(loo - y), 6) AS lms, count(loo - y) AS ln FROM l)
  SELECT CAST(json_object('raw', json_object('n', n, 'mae', mae, 'rmse', rmse, 'mean_signed', ms), 'line', json_object('slope', round(slope, 6), 'intercept', round(intercept, 6), 'spread', NULL), 'loo', json_object('n', ln, 'mae', lmae, 'rmse', lrmse, 'mean_signed', lms), 'constants', json_object('shift', 0.044::DOUBLE)) AS VARCHAR) AS report FROM r, line""")
