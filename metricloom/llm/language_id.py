@@ -68,18 +68,20 @@ def fit(texts: list[str], langs: list[str], vocabulary: int = 4096, landmarks: i
     names = sorted(set(langs))
     if not names:
         return {"names": [], "column_of": np.zeros((1 << SLOTS) + 1, np.int32), "marks": np.zeros((0, 1), np.float32), "weights": np.zeros((1, 0), np.float32)}
-    found = np.zeros((len(names), 1 << SLOTS), np.int32)
-    for text, lang in zip(texts, langs, strict=True):
-        codes, _, ends = encode([text])
-        slots = np.concatenate(spectrum(codes, ends))
-        found[names.index(lang), np.unique(slots[slots >= 0])] += 1
-    share = found / np.maximum(np.bincount([names.index(x) for x in langs], minlength=len(names)), 1)[:, None]
-    order = np.argsort(-share, axis=1, kind="stable")[:, :vocabulary]
+    tops = []  # one language at a time: memory does not grow with the number of labels times the slots
+    for name in names:
+        found = np.zeros(1 << SLOTS, np.int32)
+        for text in (t for t, lang in zip(texts, langs, strict=True) if lang == name):
+            codes, _, ends = encode([text])
+            slots = np.concatenate(spectrum(codes, ends))
+            found[np.unique(slots[slots >= 0])] += 1
+        top = np.argsort(-found, kind="stable")[:vocabulary]
+        tops.append(top[found[top] > 0])
     kept: dict[int, int] = {}
     for rank in range(vocabulary):  # the languages take turns
-        for k in range(len(names)):
-            if len(kept) < vocabulary and share[k, order[k, rank]] > 0:
-                kept.setdefault(int(order[k, rank]), len(kept))
+        for top in tops:
+            if len(kept) < vocabulary and rank < len(top):
+                kept.setdefault(int(top[rank]), len(kept))
     width = max(1, len(kept))
     column_of = np.full((1 << SLOTS) + 1, width, np.int32)  # the last entry serves slot -1
     column_of[list(kept)] = list(kept.values())
@@ -121,10 +123,10 @@ def train(docs: DataFrame, max_train: int = 2400, **sizes: int) -> dict:
     if not counts:
         return fit([], [], **sizes)
     each = max(1, max_train // len(counts))
-    rate = F.lit(0)
+    rate = F.when(F.lit(False), 0)
     for lang, n in counts.items():
-        rate = F.when(F.col("lang") == lang, int(1_000_003 * min(1, each / n))).otherwise(rate)
-    rows = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < rate).select("doc_id", "lang", "text").collect()
+        rate = rate.when(F.col("lang") == lang, int(1_000_003 * min(1, each / n)))
+    rows = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < rate.otherwise(0)).select("doc_id", "lang", "text").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows], **sizes)
 
