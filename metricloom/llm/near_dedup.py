@@ -180,7 +180,7 @@ class Weights:
         return float(least / (a[1].sum() + b[1].sum() - least))
 
 
-def _dealt_join(rows: DataFrame, few: DataFrame, keys: list[str], deal: str, how: str = "inner") -> DataFrame:
+def dealt_join(rows: DataFrame, few: DataFrame, keys: list[str], deal: str, how: str = "inner") -> DataFrame:
     """rows joined to few, which has one row for each key: few is repeated SALTS times, and a hot key's rows are dealt over that many tasks."""
     few = few.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = rows.withColumn("salt_", F.pmod(F.xxhash64(deal, F.lit(7)), F.lit(SALTS)).cast("int"))
@@ -190,7 +190,7 @@ def _dealt_join(rows: DataFrame, few: DataFrame, keys: list[str], deal: str, how
 def _led(members: DataFrame) -> DataFrame:
     """Buckets of two texts or more: a row (a, b, total, band, value, n) for each member a, with the leader b."""
     lead = members.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.max_by("t", "centre").alias("b")).where("n > 1")
-    return _dealt_join(members, lead, ["band", "value"], "t").select(F.col("t").alias("a"), "b", "total", "band", "value", "n")
+    return dealt_join(members, lead, ["band", "value"], "t").select(F.col("t").alias("a"), "b", "total", "band", "value", "n")
 
 
 class _Block:
@@ -224,16 +224,16 @@ def _within(led: DataFrame, roots: DataFrame, texts: DataFrame, idf, threshold:
     bucket = ["band", "value"]
     known = led.join(roots, F.col("a") == F.col("node"), "left").select("a", "total", *bucket, F.coalesce("root", "a").alias("own"), (F.col("a") == F.col("b")).alias("leads"))
     mixed = known.groupBy(*bucket).agg(F.min("own").alias("low"), F.max("own").alias("high"), F.max(F.when(F.col("leads"), F.col("own"))).alias("first")).where("low <> high").select(*bucket, "first")
-    rows = checkpointed(_dealt_join(known, mixed, bucket, "a").withColumn("size", F.floor(F.log("total") / (1e-3 - np.log(threshold))).cast("int")))
+    rows = checkpointed(dealt_join(known, mixed, bucket, "a").withColumn("size", F.floor(F.log("total") / (1e-3 - np.log(threshold))).cast("int")))
     if rows.isEmpty():
         return rows.select("a", F.col("own").alias("b")).limit(0)
     left = rows.where("own <> first")
     right = rows.withColumn("size", F.explode(F.array(*[F.col("size") + i for i in (-1, 0, 1)])))
     m = left.groupBy(*bucket, "size").agg(F.count(F.lit(1)).alias("m"))
-    right = _dealt_join(right, m, [*bucket, "size"], "a")
+    right = dealt_join(right, m, [*bucket, "size"], "a")
     n = right.groupBy(*bucket, "size").agg(F.count(F.lit(1)).alias("n"))
-    left = _dealt_join(_dealt_join(left, m, [*bucket, "size"], "a"), n, [*bucket, "size"], "a")
-    right = _dealt_join(right, n, [*bucket, "size"], "a")
+    left = dealt_join(dealt_join(left, m, [*bucket, "size"], "a"), n, [*bucket, "size"], "a")
+    right = dealt_join(right, n, [*bucket, "size"], "a")
 
     def blocks(c: str):
         return F.ceil(F.col(c) / BLOCK_TEXTS).cast("int")
@@ -332,10 +332,10 @@ def _same_id(docs: DataFrame, body: DataFrame, reps: DataFrame, key: str) -> Dat
     often = checkpointed(often)
     if often.isEmpty():
         return None
-    rows = _dealt_join(body.select("id", "h1", "h2"), often, ["id"], "h1").distinct()
+    rows = dealt_join(body.select("id", "h1", "h2"), often, ["id"], "h1").distinct()
     named = checkpointed(rows.join(reps.select("h1", "h2", "t"), ["h1", "h2"]).select("id", "t"))
     least = named.groupBy("id").agg(F.min("t").alias("least"))
-    return _dealt_join(named, least, ["id"], "t").where("t <> least").select(F.col("t").alias("a"), F.col("least").alias("b"))
+    return dealt_join(named, least, ["id"], "t").where("t <> least").select(F.col("t").alias("a"), F.col("least").alias("b"))
 
 
 def classes(docs: DataFrame, threshold: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -393,14 +393,14 @@ def classes(docs: DataFrame, threshold: float = 0.8, text: str = "text", key: st
     # a class is named by its least id, or a negative number where it has none
     own = F.coalesce("id", -1 - F.abs(F.col("h1") % (1 << 62)))
     called = named.groupBy("root").agg(F.coalesce(F.min("id"), F.min(own)).alias("name"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "name")
-    named = _dealt_join(named, called, ["root"], "t", "left").select("h1", "h2", F.coalesce("name", own).alias("class_id"), "copies")
+    named = dealt_join(named, called, ["root"], "t", "left").select("h1", "h2", F.coalesce("name", own).alias("class_id"), "copies")
     return docs.select(F.col(key), *h).join(named, ["h1", "h2"]).select(key, "class_id", "copies")
 
 
 def _rooted(named: DataFrame, roots: DataFrame) -> DataFrame:
     """named with each root replaced by the root that it got."""
     roots = roots.select(F.col("node").alias("root"), F.col("root").alias("to_"))
-    return _dealt_join(named, roots, ["root"], "t", "left").withColumn("root", F.coalesce("to_", "root")).drop("to_")
+    return dealt_join(named, roots, ["root"], "t", "left").withColumn("root", F.coalesce("to_", "root")).drop("to_")
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
