@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from metricloom.operators import streams
+
 
 def error_metrics(truth: Column, pred: Column) -> list[Column]:
     e = pred - truth
@@ -59,3 +61,17 @@ def hash_draws(df: DataFrame, draws: int) -> DataFrame:
     grid = df.sparkSession.range(draws * n).select(F.expr(f"id div {max(n, 1)}").alias("draw"), (F.col("id") % max(n, 1)).alias("slot"))
     pick = F.conv(F.substring(F.md5(F.concat_ws("|", "draw", "slot")), 1, 8), 16, 10).cast("long") % max(n, 1)
     return grid.withColumn("pick", pick)
+
+
+def stream_means(df: DataFrame, row: str, value: str, seed: int, means: int) -> DataFrame:
+    """(draw, m): the mean of as many picks as df has rows, with replacement, from the serial stream of a seed.
+
+    Rows are numbered from 0 by ``row``.  An empty table has no draws; null
+    values do not count, and a draw of nothing else has a null mean.
+    """
+    n = df.count()
+    if not n:
+        return df.select(F.lit(0).cast("long").alias("draw"), F.col(value).cast("double").alias("m")).limit(0)
+    picks = streams.draws(df.sparkSession, seed, n, n * means)
+    rows = df.select(F.col(row).alias("row_"), F.col(value).alias("value_"))
+    return picks.join(rows, F.col("pick") == F.col("row_")).groupBy(F.expr(f"pos div {n}").alias("draw")).agg(F.avg("value_").alias("m"))

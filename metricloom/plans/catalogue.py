@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from metricloom.functions.text import key_parts, list_length, normaliser, sentinel, target_key
 from metricloom.operators import clean, curves, ranking, splits, stats
 from metricloom.operators.ordering import checkpointed, dense_id
+from metricloom.operators.quantiles import exact_quantiles
 from metricloom.sources.tables import constants, geomspace, optional_column, pairs, runs, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -333,7 +334,10 @@ def loo_uncollapsed(spark, d):
 
 @query("SELECT event_type, round(avg(value), 6) AS mean, round(median(value), 6) AS med, round(avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END), 6) AS over_half FROM events GROUP BY 1")
 def replicate_stats(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(*[F.round(c, 6).alias(k) for k, c in (("mean", F.avg("value")), ("med", F.median("value")), ("over_half", F.avg((F.col("value") > 50).cast("double"))))])
+    events = table(spark, d, "events")
+    per = events.groupBy("event_type").agg(*[F.round(c, 6).alias(k) for k, c in (("mean", F.avg("value")), ("over_half", F.avg((F.col("value") > 50).cast("double"))))])
+    med = exact_quantiles(events, "value", [0.5], "event_type").select(F.col("event_type").alias("of"), F.round(F.col("q")[0], 6).alias("med"))
+    return per.join(med, F.col("event_type").eqNullSafe(F.col("of"))).drop("of")
 
 
 @query("SELECT lang, count(*) AS n, count(*) FILTER (WHERE text IS NULL) AS n_null, count(*) FILTER (WHERE n_chars > doc_id) AS longer FROM documents GROUP BY 1")
@@ -358,7 +362,7 @@ def bootstrap_mean(spark, d):
 
 @query(f"WITH {DRAWS} SELECT round(quantile_cont(m, 0.025), 4) AS lo, round(quantile_cont(m, 0.975), 4) AS hi FROM means")
 def bootstrap_quantiles(spark, d):
-    q = _boot(spark, d).where("NOT isnan(m)").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    q = exact_quantiles(checkpointed(_boot(spark, d)), "m", [0.025, 0.975])
     return q.select(F.round(F.col("q")[0], 4).alias("lo"), F.round(F.col("q")[1], 4).alias("hi"))
 
 
