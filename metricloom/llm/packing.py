@@ -35,6 +35,8 @@ FAN_IN = 8
 GROUP = 1 << 17
 #: Characters whose classes both tokenizer libraries know alike; other texts take the slower library.
 _PLAIN = re.compile("[^\x00-ɏ‐-‧]")
+#: A run of blanks at which the faster library's pattern, which goes back step by step, would overflow its stack.
+_BLANKS = re.compile(r"(?<!\s)\s{100000}")
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 #: Pieces at their place in a bin of a group.
@@ -46,8 +48,8 @@ def tokenizer(path: str):
 
     The vocabulary file is a byte-level BPE of the ``tokenizers`` library.
     The same merges run faster in ``tiktoken``, which gives equal ids for
-    texts of common characters; texts with others, or with a special token's
-    string, go through ``tokenizers`` itself.
+    texts of common characters; texts with others, with a special token's
+    string or with a very long run of blanks go through ``tokenizers`` itself.
     """
     import json
 
@@ -66,7 +68,7 @@ def tokenizer(path: str):
     fast = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def ids(text: str) -> list[int]:
-        if _PLAIN.search(text) or any(x in text for x in special):
+        if _PLAIN.search(text) or any(x in text for x in special) or _BLANKS.search(text):
             return exact.encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
