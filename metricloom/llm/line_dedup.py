@@ -49,8 +49,10 @@ def hash_of(key: bytes) -> tuple[int, int]:
 class Lookup:
     """A minimal perfect hash over 64-bit keys, with fingerprints and counts at each place."""
 
-    def __init__(self, levels: list[np.ndarray], fingerprints: np.ndarray, counts: np.ndarray):
+    def __init__(self, levels: list[np.ndarray], fingerprints: np.ndarray, counts: np.ndarray, extra: np.ndarray | None = None):
+        """extra: rows (key, fingerprint, count) of keys that share their 64 bits with one that has a place."""
         self.levels, self.fingerprints, self.counts = levels, fingerprints, counts
+        self.extra = np.zeros((0, 3), np.int64) if extra is None else extra
         self.before = np.cumsum([0, *[int(x.sum()) for x in levels]])
         # the rank of a slot: that of its block, and within the block one byte
         self.ranks, self.within = [], []
@@ -66,6 +68,10 @@ class Lookup:
 
     @classmethod
     def build(cls, keys: np.ndarray, fingerprints: np.ndarray, counts: np.ndarray) -> Lookup:
+        keys, first, of = np.unique(keys, return_index=True, return_inverse=True)
+        more = first[of] != np.arange(len(of))
+        extra = np.stack([keys[of[more]].view(np.int64), fingerprints[more], counts[more]], axis=1)
+        fingerprints, counts = fingerprints[first], counts[first]
         levels, left = [], keys
         while len(left):
             size = 2 * len(left) + 1
@@ -73,7 +79,7 @@ class Lookup:
             alone = np.bincount(at, minlength=size) == 1
             levels.append(alone)
             left = left[~alone[at]]
-        out = cls(levels, np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64))
+        out = cls(levels, np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), extra)
         at = out.find(keys)
         out.fingerprints[at], out.counts[at] = fingerprints, counts
         return out
@@ -96,18 +102,20 @@ class Lookup:
         out = np.zeros(len(keys), np.int64)
         same = self.fingerprints[at[ok]] == fingerprints[ok]
         out[ok] = np.where(same, self.counts[at[ok]], 0)
+        for h, f, n in self.extra:
+            out[(keys.view(np.int64) == h) & (fingerprints == f)] = n
         return out
 
     def pack(self) -> dict:
-        return {"sizes": [len(x) for x in self.levels], "bits": [np.packbits(x).tobytes() for x in self.levels], "fingerprints": self.fingerprints.tobytes(), "counts": np.minimum(self.counts, 2**32 - 1).astype("<u4").tobytes()}
+        return {"sizes": [len(x) for x in self.levels], "bits": [np.packbits(x).tobytes() for x in self.levels], "fingerprints": self.fingerprints.tobytes(), "counts": np.minimum(self.counts, 2**32 - 1).astype("<u4").tobytes(), "extra": self.extra.tobytes()}
 
     @classmethod
     def unpack(cls, row: dict) -> Lookup:
         levels = [np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for n, b in zip(row["sizes"], row["bits"], strict=True)]
-        return cls(levels, np.frombuffer(row["fingerprints"], np.int64), np.frombuffer(row["counts"], "<u4").astype(np.int64))
+        return cls(levels, np.frombuffer(row["fingerprints"], np.int64), np.frombuffer(row["counts"], "<u4").astype(np.int64), np.frombuffer(row["extra"], np.int64).reshape(-1, 3))
 
 
-INDEX = "shard int, sizes array<long>, bits array<binary>, fingerprints binary, counts binary"
+INDEX = "shard int, sizes array<long>, bits array<binary>, fingerprints binary, counts binary, extra binary"
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -152,8 +160,6 @@ def build_index(docs: DataFrame, text: str = "text", min_docs: int = 10, min_cha
         packed = Lookup.build(keys, rows["f"].to_numpy(), rows["n"].to_numpy()).pack()
         return pd.DataFrame([{"shard": int(shard_of(keys[:1], shards)[0])} | packed])
 
-    # two keys with one h would share a place; h is half of a 128-bit hash, and the larger count stays
-    common = common.groupBy("h").agg(F.max_by("f", "n").alias("f"), F.max("n").alias("n"))
     return common.groupBy(F.pmod("h", F.lit(shards)).alias("shard")).applyInPandas(build, INDEX), shards, n
 
 
@@ -219,7 +225,7 @@ def _far_drops(docs: DataFrame, index: DataFrame, shards: int, min_docs: int, te
             cuts = np.flatnonzero(np.concatenate(([True], (~probe[1:]) | (shard_col[1:] != shard_col[:-1]) | (~probe[:-1]))))
             for a, b in zip(cuts, [*cuts[1:], len(probe)], strict=True):
                 if not probe[a]:
-                    shard, lookup = shard_col[a], Lookup.unpack(batch.slice(a, 1).select(["sizes", "bits", "fingerprints", "counts"]).to_pylist()[0])
+                    shard, lookup = shard_col[a], Lookup.unpack(batch.slice(a, 1).select(["sizes", "bits", "fingerprints", "counts", "extra"]).to_pylist()[0])
                 elif shard_col[a] == shard and lookup is not None:
                     t1, t2, h, f = (batch.column(c).slice(a, b - a).to_numpy() for c in ("t1", "t2", "h", "f"))
                     hit = lookup.count(np.ascontiguousarray(h).view(np.uint64), f) >= min_docs
