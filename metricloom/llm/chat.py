@@ -7,7 +7,8 @@ task folds each message from its events as they stream by, keeping one message
 at a time, and renders it as soon as it is complete.
 
 The template is ``<s>``, then for each turn ``[ROLE]`` text ``[/ROLE]`` with
-``</s>`` behind an assistant's.  Inside texts each control string is escaped by
+``</s>`` behind an assistant's.  A role of other characters than a-z, 0-9 and
+_ stands behind the tag, ``[TAG:LENGTH]``, and is escaped like a text.  Inside texts each control string is escaped by
 a backslash behind its first character, and a backslash there by another one,
 which ``unescape`` undoes exactly.
 """
@@ -52,24 +53,24 @@ def fold(kinds: Iterator[tuple[str, str]] | list[tuple[str, str]]) -> str:
 
 def render(role: str, text: str) -> list[tuple[str, bool]]:
     """Pieces of the template for a turn: the characters, and whether the loss counts them."""
-    tag = re.sub(r"[^A-Z0-9_]", "_", role.upper()) or "_"
-    name = "" if tag.lower() == role else f"{escape(role)}\\\n"  # a role that the tag does not tell is written out
+    tag = re.sub(r"[^A-Za-z0-9_]", "_", role).upper() or "_"
+    name = escape(role)
+    # a role that the tag does not tell is written out behind it, its length in the tag
+    head = f"[{tag}]" if tag.lower() == role else f"[{tag}:{len(name)}]{name}"
     body = escape(text)
     # a bracket at the very end of a text would join the closing tag's characters
-    tail = "\\" if re.search(r"[<\[]\\*$", body) else ""
-    return [(f"[{tag}]{name}", False), (body, role == "assistant"), (f"{tail}[/{tag}]" + "</s>" * (role == "assistant"), False)]
+    tail = "\\" if re.search(r"[<\[]\\*\Z", body) else ""
+    return [(head, False), (body, role == "assistant"), (f"{tail}[/{tag}]" + "</s>" * (role == "assistant"), False)]
 
 
 def parse(pieces: list[tuple[str, bool]]) -> tuple[str, str]:
     """Role and text of a rendered turn, read back from its characters."""
     whole = "".join(x for x, _ in pieces)
-    m = re.fullmatch(r"\[([A-Z0-9_]+)\](.*)\[/\1\](?:</s>)?", whole, re.S)
-    tag, body = m[1], m[2]
-    role = tag.lower()
-    named = re.match(r"(.*?)\\\n", body, re.S) if pieces[0][0] != f"[{tag}]" else None
-    if named:
-        role, body = unescape(named[1]), body[named.end() :]
-    if re.search(r"[<\[]\\+$", body):
+    m = re.fullmatch(r"\[([A-Z0-9_]+)(?::(\d+))?\](.*)\[/\1\](?:</s>)?", whole, re.S)
+    role, body = m[1].lower(), m[3]
+    if m[2]:
+        role, body = unescape(body[: int(m[2])]), body[int(m[2]) :]
+    if re.search(r"[<\[]\\+\Z", body):
         body = body[:-1]
     return role, unescape(body)
 
@@ -182,18 +183,30 @@ def digests(events: DataFrame) -> DataFrame:
     return _dealt(events).mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-def as_events(conversations: DataFrame, delta_chars: int = 4096) -> DataFrame:
-    """The log of rows (conv_id, turn, role, text): each text as a message and the deltas that stream the rest of it.
+def as_events(conversations: DataFrame, delta_chars: int = 4096, drafts: int = 0) -> DataFrame:
+    """The log of rows (conv_id, turn, role, text) as an application would have written it, which folds to their texts.
 
-    Rows of one turn are messages of their own, in the order of role and
-    text.  Null turns stand before all others, null texts are empty.
+    A text is a message and the deltas that stream the rest of it.  One in
+    ``drafts`` texts, by a hash, has a history before (none for 0): its first half was
+    streamed, then an assistant regenerated it from nothing, or another role
+    edited it into the text's beginning and streamed on.  Rows of one turn are
+    messages of their own, in the order of role and text.  Null turns stand
+    before all others, null roles and texts are empty.
     """
-    base = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long").alias("message"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    base = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long").alias("message"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")])
     repeated = base.groupBy("conv_id", "message").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if not repeated.isEmpty():
         # places instead of turns, so that rows of one turn are told apart
         base = base.withColumn("message", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("message"), "role", "text")).cast("long"))
     parts = F.greatest(F.ceil(F.length("text") / delta_chars), F.lit(1)).cast("int")
-    events = base.withColumn("seq", F.explode(F.sequence(F.lit(0), parts - 1)))
-    kind = F.when(F.col("seq") == 0, "message").otherwise("delta")
-    return events.select("conv_id", "message", F.col("seq").cast("long").alias("seq"), kind.alias("kind"), "role", F.expr(f"substring(text, seq * {delta_chars} + 1, {delta_chars})").alias("text"))
+    drafted = F.pmod(F.xxhash64("conv_id", "message", "text"), F.lit(drafts)) == 0 if drafts else F.lit(False)
+    base = base.withColumns({"parts": parts, "draft": F.when(drafted, F.ceil(parts / 2)).otherwise(0).cast("int")})
+    # a regeneration is an event without text, an edit has the first part
+    cleared = (F.col("role") == "assistant") & (F.col("draft") > 0)
+    events = base.withColumn("cleared", cleared).withColumn("seq", F.explode(F.sequence(F.lit(0), F.col("draft") + F.col("parts") + F.col("cleared").cast("int") - 1)))
+    turn = F.col("seq") == F.col("draft")
+    kind = F.when(turn & F.col("cleared"), "regenerate").when(turn & (F.col("draft") > 0), "edit").when(F.col("seq") == 0, "message").otherwise("delta")
+    part = F.when(F.col("seq") < F.col("draft"), F.col("seq")).otherwise(F.col("seq") - F.col("draft") - F.col("cleared").cast("int"))
+    events = events.withColumns({"kind": kind, "part": part})
+    text = F.when(F.col("kind") == "regenerate", "").otherwise(F.expr(f"substring(text, part * {delta_chars} + 1, {delta_chars})"))
+    return events.select("conv_id", "message", F.col("seq").cast("long").alias("seq"), "kind", "role", text.alias("text"))

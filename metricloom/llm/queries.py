@@ -52,7 +52,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     same = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", same), (-1, 1, "assistant", same)], "conv_id long, turn long, role string, text string")
-    return chat.digests(chat.as_events(rows.unionByName(more)))
+    return chat.digests(chat.as_events(rows.unionByName(more), delta_chars=256, drafts=4))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,31 +83,33 @@ _KEY = r"translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '
 ORACLE: dict[str, str] = {
     "op8_chat_format": r"""
 WITH rows AS (
-  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), measured AS (
+  SELECT *, length(regexp_replace(role, '([<\[]\\*)([/|_\p{L}\p{N}])', '\1\\\2', 'g')) AS name FROM rows
 ), marked AS (
-  SELECT *, role = 'assistant' AS counts, 2 * length(role) + 5 + CASE WHEN role = 'assistant' THEN 4 ELSE 0 END AS around,
+  SELECT *, role = 'assistant' AS counts, 2 * greatest(length(role), 1) + 5 + CASE WHEN role = 'assistant' THEN 4 ELSE 0 END + CASE WHEN regexp_full_match(role, '[a-z0-9_]+') THEN 0 ELSE 1 + length(CAST(name AS VARCHAR)) + name END AS around,
          length(regexp_replace(text, '([<\[]\\*)([/|_\p{L}\p{N}])', '\1\\\2', 'g')) + CASE WHEN regexp_matches(text, '[<\[]\\*$') THEN 1 ELSE 0 END AS escaped
-  FROM rows
+  FROM measured
 )
 SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (WHERE counts), 0) AS BIGINT) AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE counts), '')) AS loss_sha256,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE counts), '')) AS loss_sha256,
        CAST(3 + sum(around + escaped) AS BIGINT) AS formatted_chars
 FROM marked GROUP BY conv_id""",
     "op10_line_dedup": rf"""
 WITH lines AS (
-  SELECT doc_id, i, line, {_KEY} AS key
-  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
+  SELECT row, doc_id, i, line, {_KEY} AS key
+  FROM (SELECT row, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM (SELECT *, row_number() OVER () AS row FROM documents))
 ), common AS (
-  SELECT key FROM lines WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+  SELECT key FROM lines WHERE key <> '' GROUP BY key HAVING count(DISTINCT row) >= 10
 ), marked AS (
-  SELECT l.doc_id, l.i, l.line, c.key IS NOT NULL AS gone FROM lines l LEFT JOIN common c ON l.key = c.key
+  SELECT l.row, l.doc_id, l.i, l.line, c.key IS NOT NULL AS gone FROM lines l LEFT JOIN common c ON l.key = c.key
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id""",
+FROM marked GROUP BY row, doc_id""",
     "op11_fill_middle": r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
