@@ -60,3 +60,17 @@ def group_split(sizes: DataFrame, key: str, seed: int, cap: int) -> DataFrame:
     target = round((rest.agg(F.sum("size")).first()[0] or 0) / 3)
     rest = sum_before(rest.select(key, "size", "g_"), "size", "g_", key, name="seen_")
     return train.unionByName(rest.select(key, "size", F.when(F.col("seen_") < target, "val").otherwise("test").alias("split_role")))
+
+
+def group_pool(members: DataFrame, roles: DataFrame, key: str, member: str, seed: int) -> DataFrame:
+    """(member, split_role, pos): every row of ``members`` with its group's role and its place, from 1, in the shuffled rows of that role.
+
+    Places come from one sorted order of all rows (role, md5 of seed and
+    member, member), so no task holds a role or a group.  Rows of null groups
+    have no role and go.
+    """
+    # a role's rows follow each other in the order, so a place within it is the number less that of the role's first row
+    rows = members.select(key, member).join(roles.select(key, "split_role"), key).withColumn("h_", shuffled(F.lit(seed), F.col(member)))
+    rows = dense_id(rows.select(member, "split_role", "h_"), "split_role", "h_", member, name="id_")
+    first = rows.groupBy("split_role").agg(F.min("id_").alias("first_"))
+    return rows.join(F.broadcast(first), "split_role").select(member, "split_role", (F.col("id_") - F.col("first_") + 1).alias("pos"))  # a row for each role

@@ -16,7 +16,7 @@ from metricloom.functions.text import key_parts, list_length, normaliser, sentin
 from metricloom.operators import clean, curves, ranking, splits, stats
 from metricloom.operators.ordering import checkpointed, dense_id
 from metricloom.operators.quantiles import exact_quantiles
-from metricloom.sources.tables import constants, geomspace, optional_column, pairs, runs, table
+from metricloom.sources.tables import constants, geomspace, json_paths, optional_column, pairs, runs, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,6 +85,12 @@ def nested_field_access(spark, d):
     return table(spark, d, "events").select(F.from_json("props", "k long").alias("p")).groupBy((F.col("p.k") % 10).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT t.fullkey AS path, CASE WHEN t.type IN ('UBIGINT', 'BIGINT') THEN 'BIGINT' ELSE t.type END AS type, count(*) AS n FROM events, json_tree(props) t GROUP BY 1, 2")
+def props_paths(spark, d):
+    """Paths of the events' properties with types and counts, no key known ahead."""
+    return json_paths(table(spark, d, "events"), "props")
+
+
 @query("""WITH made AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'not a list' WHEN 1 THEN '[]' WHEN 2 THEN '[' || n_chars || '.5, 2.0]' END AS t FROM documents)
  SELECT doc_id, CASE WHEN json_valid(t) AND json_type(t) = 'ARRAY' THEN CAST(json_array_length(t) AS INTEGER) ELSE 1 END AS n FROM made""")
 def json_array_len(spark, d):
@@ -242,6 +248,21 @@ def split_scaffold(spark, d):
     return table(spark, d, "part").join(_group_split(spark, d), "p_name").select("p_partkey", "split_role")
 
 
+@query(f"WITH {GROUP_SPLIT}, pool AS (SELECT p_partkey, row_number() OVER (ORDER BY md5('11|' || p_partkey), p_partkey) AS pos FROM part JOIN gs USING (p_name) WHERE split_role = 'train') SELECT p_partkey, pos, z AS target_train_size FROM pool JOIN (VALUES (10), (50), (100), (500), (1000), (2000), (5000), (10000)) v(z) ON pos <= z")
+def nested_group_prefixes(spark, d):
+    """Members of the training groups, shuffled, once for each of eight sizes whose prefix holds them."""
+    pool = splits.group_pool(table(spark, d, "part"), _group_split(spark, d), "p_name", "p_partkey", 11)
+    return splits.nested_prefixes(pool, [10, 50, 100, 500, 1000, 2000, 5000, 10_000]).select("p_partkey", "pos", "target_train_size")
+
+
+@query(f"WITH {SPLIT}, {GROUP_SPLIT} SELECT 'random' AS split, seed, split_role, count(*) AS n FROM sp GROUP BY 2, 3 UNION ALL SELECT 'scaffold', 11, split_role, CAST(sum(size) AS BIGINT) FROM gs GROUP BY 3")
+def split_diagnostics(spark, d):
+    """Rows of each role, of the random and of the group split."""
+    one = split_random(spark, d).groupBy("seed", "split_role").agg(F.count(F.lit(1)).alias("n")).select(F.lit("random").alias("split"), "seed", "split_role", "n")
+    two = _group_split(spark, d).groupBy("split_role").agg(F.sum("size").alias("n")).select(F.lit("scaffold").alias("split"), F.lit(11).alias("seed"), "split_role", "n")
+    return one.unionByName(two)
+
+
 @query(f"WITH {SPLIT} SELECT 'roles' AS panel, seed, split_role, count(*) AS n, NULL AS scaffold FROM sp GROUP BY 2, 3 UNION ALL SELECT * FROM (SELECT 'scaffolds', NULL, NULL, count(*) AS c, p_name FROM part GROUP BY p_name ORDER BY c DESC, p_name LIMIT 30)")
 def panel_union(spark, d):
     roles = split_random(spark, d).groupBy("seed", "split_role").agg(F.count(F.lit(1)).alias("n")).withColumn("panel", F.lit("roles"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import functools
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from metricloom.operators.ordering import checkpointed
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,13 +47,59 @@ def constants(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def require_complete(grid: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
-    """rows, if they have every key of the grid; else an error that names some of the gaps."""
+    """rows, if they have every key of the grid; else an error at once that names some of the gaps, by a job of its own."""
     gaps = grid.join(rows.select(*keys).distinct(), list(keys), "left_anti").limit(5).collect()
     if gaps:
         raise ValueError(f"no rows for {', '.join(str(tuple(g)) for g in gaps)}")
     return rows
 
 
+def complete(grid: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
+    """rows, if they have every key of the grid; else the job that reads them fails with an error that names a gap.
+
+    The check is part of the plan: rows are read once.  Null keys are equal
+    to null ones; rows that repeat and rows outside the grid stay.
+    """
+    names = {k: f"{k}_of_grid" for k in keys}
+    want = grid.select(*[F.col(k).alias(n) for k, n in names.items()]).distinct()
+    on = functools.reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+    both = rows.withColumn("there_", F.lit(True)).join(want, on, "full")
+    gap = F.concat(F.lit("no rows for ("), F.concat_ws(", ", *[F.coalesce(F.col(n).cast("string"), F.lit("null")) for n in names.values()]), F.lit(")"))
+    return both.where(F.when(F.col("there_").isNull(), F.raise_error(gap).cast("boolean")).otherwise(True)).select(*rows.columns)
+
+
+def watched(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """df, and counts of its rows, nulls and NaN by column (``rows``, ``null_x``, ``nan_x``), known when an action has read it: no job of their own."""
+    seen = Observation(name)
+    counts = [F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"null_{c}") for c in df.columns]]
+    counts += [F.count_if(F.isnan(f"`{f.name}`")).alias(f"nan_{f.name}") for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
+    return df.observe(seen, *counts), seen
+
+
+def json_paths(df: DataFrame, column: str) -> DataFrame:
+    """(path, type, n): how often each path of a column of JSON texts holds a value of each type.
+
+    The keys need not be known ahead: texts are parsed to variants and opened
+    level by level, as deep as they go.  Elements of an array share the path
+    ``[*]``.  Types are OBJECT, ARRAY, BIGINT, DECIMAL, DOUBLE, STRING,
+    BOOLEAN and VOID (a JSON null); a text that is not JSON counts as INVALID
+    at ``$``; null texts do not count.
+    """
+    level = df.where(F.col(column).isNotNull()).select(F.lit("$").alias("path"), F.try_parse_json(column).alias("v"))
+    out = None
+    while True:
+        kind = F.coalesce(F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0), F.lit("INVALID"))
+        level = checkpointed(level.withColumn("type", kind)) if out is not None else level.withColumn("type", kind)
+        counts = checkpointed(level.groupBy("path", "type").agg(F.count(F.lit(1)).alias("n")))
+        out = counts if out is None else out.unionByName(counts)
+        if counts.where("type IN ('OBJECT', 'ARRAY')").isEmpty():
+            return out
+        inner = level.where("type IN ('OBJECT', 'ARRAY')")
+        opened = inner.lateralJoin(inner.sparkSession.tvf.variant_explode(F.col("v").outer()).select(F.col("key").alias("key_"), F.col("value").alias("value_")))
+        step = F.when(F.col("type") == "ARRAY", F.lit("[*]")).otherwise(F.concat(F.lit("."), F.col("key_")))
+        level = opened.select(F.concat("path", step).alias("path"), F.col("value_").alias("v"))
+
+
 def geomspace(spark: SparkSession, low: float, high: float, n: int) -> DataFrame:
     """(i, x): n points from low to high with equal ratios."""
     return spark.range(n).select(F.col("id").alias("i"), (low * F.pow(F.lit(high / low), F.col("id") / (n - 1))).alias("x"))
