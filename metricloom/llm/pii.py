@@ -12,6 +12,7 @@ patterns find in the normal form maps back to source characters.
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
 
 import pyarrow as pa
@@ -38,13 +39,16 @@ LOOKALIKES = {
     "α": "a", "ο": "o", "ν": "v", "ρ": "p", "ι": "i", "κ": "k", "τ": "t", "υ": "u", "χ": "x", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     "․": ".", "。": ".", "‐": "-", "‑": "-", "–": "-", "−": "-", "﹫": "@",
 }
+# Mathematical, circled, raised and lowered letters and digits, by their compatibility forms.
+LOOKALIKES |= {c: k for c in map(chr, [*range(0x1D400, 0x1D800), *range(0x2460, 0x2469), *range(0x24B6, 0x24EA), *range(0x2070, 0x208A)]) if len(k := unicodedata.normalize("NFKC", c)) == 1 and k.isascii() and k.isalnum()}
 LOOKALIKES |= {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)}  # full width
 LOOKALIKES |= {chr(z + d): str(d) for z in (0x660, 0x6F0, 0x966, 0x9E6, 0xE50) for d in range(10)}  # decimal digits of other scripts
 HIDDEN = "​‌‍⁠﻿­"
 DIGITS = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 SPELLED = 4  # digit words in a row, at least
 
-_ODD = re.compile("[" + re.escape("".join(LOOKALIKES)) + HIDDEN + "]")
+# a set of single characters beyond U+FFFF is slow, a range is not
+_ODD = re.compile("[" + re.escape("".join(c for c in LOOKALIKES if c < "\U00010000")) + HIDDEN + "\U0001D400-\U0001D7FF]")
 _WORD = "(?:" + "|".join(DIGITS) + ")"
 _NUMBER = re.compile(rf"(?i)(?:\bplus[\s-]+|\+\s*)?\b{_WORD}(?:[\s,-]+(?:{_WORD}|[0-9]+)){{{SPELLED - 1},}}\b")
 _TOKEN = re.compile(rf"(?i)\bplus\b|{_WORD}|[0-9]+|\+")
@@ -56,10 +60,30 @@ _PART = rf"(?:(?<![0-9])[0-9]+|\b{_WORD}(?:[\s,-]+{_WORD}){{0,2}}\b)"
 _QUAD = re.compile(rf"(?i){_PART}(?:(?:\s+dot\s+|\.){_PART}){{3}}")
 _QUAD_TOKEN = re.compile(rf"(?i)({_WORD})[\s,-]+(?={_WORD})|({_WORD})|\s+dot\s+")
 #: Looked for from the bracket on; blanks around it are added by hand, for a pattern that starts with them is tried at each one.
-_BRACKET = {"at": re.compile(r"(?i)[\[({<]\s*at\s*[\])}>]"), "dot": re.compile(r"(?i)[\[({<]\s*dot\s*[\])}>]")}
+_BRACKET = {"at": re.compile(r"(?i)[\[({<]\s*(?:at|@)\s*[\])}>]"), "dot": re.compile(r"(?i)[\[({<]\s*(?:dot|\.)\s*[\])}>]")}
 #: Bare words count only as name at name dot name, with more dots behind.
 _BARE = re.compile(r"(?i)(?<=[a-z0-9_])(\s+at\s+|@)[a-z0-9-]+((?:\s+dot\s+[a-z0-9-]+)+)\b")
 _BARE_DOT = re.compile(r"(?i)\s+dot\s+")
+#: The same words between hyphens or underscores.
+_JOINED = re.compile(r"(?i)(?<=[a-z0-9])([\s_-]+at[\s_-]+)[a-z0-9]+((?:[\s_-]+dot[\s_-]+(?!dot)[a-z0-9]{2,})+)(?![a-z0-9])")
+_JOINED_DOT = re.compile(r"(?i)[\s_-]+dot[\s_-]+")
+#: An AT in capitals between a name that is not and a domain.
+_CAPITAL = re.compile(r"(?<=[a-z0-9])\s+AT\s+(?=[a-z0-9-]+(?:\.[a-z0-9-]+)+)")
+#: Signs written as entities, in percent code, or a comma before a common ending (fixed values).
+_CODED = re.compile(r"(?i)(?<=[a-z0-9])(?:(&#0*64;|&#x0*40;|&commat;|%40)|(&#0*46;|&#x0*2e;|&period;|%2e))(?=[a-z0-9])")
+_COMMA = re.compile(r"(?i)(?<=@)([a-z0-9-]+),(?=(?:com|org|net|edu|gov|info|io|co|de|fr|es|it|uk|eu)\b)")
+#: Blanks around the dots of four numbers, and around the sign and the dots of an address from its sign on.
+_SPACED_IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?: {1,2}\. {1,2}[0-9]{1,3}){3}(?![0-9])")
+_SPACED_MAIL = re.compile(r"(?i) {0,2}@ {0,2}[0-9-]{0,64}[a-z][a-z0-9-]*(?: {0,2}\. {0,2}[a-z0-9-]+){0,9} {0,2}\. {0,2}[a-z]{2,}")
+_SPACED_NAME = re.compile(r"(?i)(?<![a-z0-9])[a-z0-9](?: [a-z0-9._-]){1,40}$")
+#: Card numbers with other signs between their groups, and letters among digits.
+_PARTED = re.compile(r"(?<![0-9])[0-9]{4}([._/])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9])")
+_LETTERS = re.compile(r"(?<![A-Za-z0-9])[0-9lIO](?:[ .-]?[0-9lIO]){6,22}(?![A-Za-z0-9])")
+_LETTER = {"l": "1", "I": "1", "O": "0"}
+#: Phone numbers: plus as a word before digits, digits before words, a slash between groups.
+_PLUS = re.compile(r"(?i)\bplus[ -]{1,2}(?=[0-9][ ().0-9-]{6,24}[0-9])")
+_MIXED = re.compile(rf"(?i)(?:\bplus[\s-]+|\+\s?)[0-9]+(?:[\s,-]+(?:{_WORD}|[0-9]+)){{{SPELLED - 1},}}\b")
+_SLASHED = re.compile(r"\+[0-9][ ().0-9-]{1,20}/[ ().0-9-]{1,20}[0-9]")
 #: In lower case: what could be a dot or a number in disguise without any ``at``.
 _HINT = re.compile(rf"[\[({{<]\s*dot\s*[\])}}>]|\.{_WORD}|{_WORD}\.[0-9a-z]")
 
@@ -167,12 +191,14 @@ class Normal:
 
 
 def lookalikes(n: Normal) -> None:
-    n.rewrite([(m.start(), m.end(), LOOKALIKES.get(m[0], "")) for m in _ODD.finditer(n.text)])
+    n.rewrite([(m.start(), m.end(), LOOKALIKES.get(m[0], "" if m[0] in HIDDEN else m[0])) for m in _ODD.finditer(n.text)])
 
 
 def spelled(n: Normal, dotted: bool = False) -> None:
     edits = []
-    for m in (_DOTTED if dotted else _NUMBER).finditer(n.text):
+    for m in [x for p in ((_DOTTED,) if dotted else (_NUMBER, _MIXED)) for x in p.finditer(n.text)]:
+        if edits and m.start() < edits[-1][1]:
+            continue  # told already
         for t in (_DOTTED_TOKEN if dotted else _TOKEN).finditer(n.text, *m.span()):
             word = t[0].lower()
             new = "+" if word in ("plus", "+") else "." if word == "dot" else DIGITS.get(word, word)
@@ -214,19 +240,73 @@ def signs(n: Normal) -> None:
     n.rewrite(edits)
 
 
+def loosened(n: Normal) -> None:
+    """Spaced, joined, coded and mixed forms; each rule looks only where its signs are."""
+    low = n.text.lower()
+    if "&" in low or "%" in low:
+        n.rewrite([(m.start(), m.end(), "@" if m[1] else ".") for m in _CODED.finditer(n.text)])
+    if "at" in low and "dot" in low:
+        edits = []
+        for m in _JOINED.finditer(n.text):
+            edits.append((m.start(1), m.end(1), "@"))
+            edits += [(d.start(), d.end(), ".") for d in _JOINED_DOT.finditer(n.text, m.start(2), m.end(2))]
+        n.rewrite(edits)
+    if " AT " in n.text:
+        n.rewrite([(m.start(), m.end(), "@") for m in _CAPITAL.finditer(n.text)])
+    if "@" in n.text:
+        n.rewrite([(m.end(1), m.end(1) + 1, ".") for m in _COMMA.finditer(n.text)])
+        edits = []
+        for m in _SPACED_MAIL.finditer(n.text):
+            low_end = edits[-1][1] if edits else 0
+            name = _SPACED_NAME.search(n.text, max(m.start() - 82, low_end), m.start())
+            blanks = [(name.start() + i, name.start() + i + 1, "") for i, c in enumerate(name[0]) if c == " "] if name else []
+            edits += blanks + [(m.start() + x.start(), m.start() + x.end(), "") for x in re.finditer(" +", m[0])]
+        n.rewrite(edits)
+    if " . " in n.text:
+        n.rewrite([(m.start() + x.start(), m.start() + x.end(), ".") for m in _SPACED_IP.finditer(n.text) for x in re.finditer(r" +\. +", m[0])])
+    if _DIGIT.search(n.text):
+        n.rewrite([(m.start() + x.start(), m.start() + x.end(), "-") for m in _PARTED.finditer(n.text) for x in re.finditer(r"[._/]", m[0])])
+        found = [m for m in _LETTERS.finditer(n.text) if re.search("[lIO]", m[0]) and len(re.findall("[0-9]", m[0])) >= 6]
+        n.rewrite([(m.start() + x.start(), m.start() + x.end(), _LETTER[x[0]]) for m in found for x in re.finditer("[lIO]", m[0])])
+        if "plus" in low:
+            n.rewrite([(m.start(), m.end(), "+") for m in _PLUS.finditer(n.text)])
+    if "+" in n.text and "/" in n.text:
+        n.rewrite([(m.start() + m[0].index("/"), m.start() + m[0].index("/") + 1, "-") for m in _SLASHED.finditer(n.text)])
+
+
+_SIGN_IN_BRACKETS = re.compile(r"[\[({<]\s*[@.]\s*[\])}>]")
+_GROUPS = re.compile(r"[0-9]{4}[._/][0-9]{4}[._/][0-9]{4}")
+_AMONG = re.compile(r"[0-9][ .-]?[lIO][0-9lIO .-]|[lIO][ .-]?[0-9][ .-]?[0-9lIO]")
+_WORDS_BEHIND = re.compile(rf"(?i)\+\s?[0-9]+[ ,-]+{_WORD}")
+
+
+def loose(text: str, low: str) -> bool:
+    """Whether a text has signs of the forms of ``loosened``; plain text is told by a few searches for fixed strings."""
+    return bool(
+        "_at_" in low or "-at-" in low or " AT " in text or "&#" in text or "%40" in text or "%2e" in low or "&commat;" in low or "&period;" in low
+        or "@ " in text or " @" in text or ("@" in text and "," in text and _COMMA.search(text))
+        or (("@" in text or "." in text) and _SIGN_IN_BRACKETS.search(text)) or (" . " in text and _SPACED_IP.search(text))
+        or ("plus" in low and _PLUS.search(text)) or ("+" in text and (_SLASHED.search(text) if "/" in text else False)) or ("+" in text and _WORDS_BEHIND.search(text))
+        or _GROUPS.search(text) or _AMONG.search(text)
+    )
+
+
 def disguised_spans(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans that only a normal form shows, in source characters; none lies within a plain one of its kind."""
     low = text.lower()
     odd = _ODD.search(text) is not None
     words = sum(map(low.count, DIGITS)) >= SPELLED if any(d in low for d in DIGITS) else False
     dots = low.count("dot")
-    if not (odd or words or dots >= 3 or (dots and ("at" in low or "@" in low)) or "at" in low and re.search(r"[\[({<]\s*at\s*[\])}>]", low) or _HINT.search(low)):
+    mixed = loose(text, low)
+    if not (odd or mixed or words or dots >= 3 or (dots and ("at" in low or "@" in low)) or "at" in low and re.search(r"[\[({<]\s*at\s*[\])}>]", low) or _HINT.search(low)):
         return []
     found: set[tuple[str, int, int]] = set()
     for dotted in (False, True) if odd or (words and dots) else (False,):
         n = Normal(text)
         if odd:
             lookalikes(n)
+        if odd or mixed:
+            loosened(n)
         spelled(n, dotted)
         signs(n)
         if n.changed:

@@ -46,3 +46,10 @@ def test_places_against_a_map_of_every_character():
                     assert n.touched(a, b) == (any(x[2] for x in source[a:b]) or source[b - 1][1] - source[a][0] != b - a)
             if not n.text:
                 break
+
+
+@pytest.mark.parametrize("text", ["j @ " * 250_000, "a b c d e f " * 80_000 + "@ x . com", "plus 1 " * 150_000, "4111_" * 200_000, "1 . " * 250_000, "1l " * 300_000, "+1 / " * 200_000, "a_at_b_dot_" * 90_000, "a AT b." * 140_000, "[.]" * 300_000, "𝐣" * 300_000, "+1 one " * 140_000, "x@y,com " * 120_000])
+def test_time_of_further_forms_grows_with_the_text_only(text):
+    began = time.process_time()
+    pii.spans(text)
+    assert time.process_time() - began < 12
