@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from metricloom.operators.stats import paired_test
+
 CELL = ("split", "train_size")
 
 
@@ -49,3 +51,45 @@ def top_groups(rank: DataFrame, resolved: DataFrame) -> DataFrame:
     tied = best.join(resolved.where("NOT resolved"), [*CELL, "m1"], "left").join(rank.select(*CELL, F.col("method_id").alias("m2"), "rnk"), [*CELL, "m2"], "left")
     out = tied.groupBy(*CELL, "m1", "best_mae").agg(F.sort_array(F.collect_list(F.struct("rnk", "m2"))).alias("t"))
     return out.select(*CELL, F.col("m1").alias("rank1"), "best_mae", F.concat(F.array("m1"), F.expr("transform(filter(t, x -> x.m2 IS NOT NULL), x -> x.m2)")).alias("top_group"))
+
+
+def standings(runs: DataFrame) -> DataFrame:
+    """(cell, method_id, mean_mae, rnk, by_seed): the methods of each cell by rank, each with its (seed, mae) pairs.
+
+    Runs are dealt by cell once; means, ranks and what is told of pairs of
+    methods below need no further shuffle.
+    """
+    dealt = runs.where("status = 'ok'").repartition(*CELL)
+    rows = dealt.groupBy(*CELL, "method_id").agg(F.avg("mae").alias("mean_mae"), F.collect_list(F.struct("seed", "mae")).alias("by_seed"))
+    return ranked(rows)
+
+
+def _tested(rows: DataFrame, *keep: str) -> DataFrame:
+    """The paired test of method x against y, arrays (seed, mae), over the seeds that both have; columns of ``keep`` name a row."""
+    seeds = F.map_from_entries("y")
+    pairs = rows.withColumn("x", F.explode_outer("x")).withColumn("d", F.col("x.mae") - seeds[F.col("x.seed")])
+    out = pairs.groupBy(*CELL, *keep).agg(*paired_test("d"))
+    return out.withColumn("resolved", F.coalesce((F.col("p") < 0.05) & F.col("agree"), F.lit(False)))
+
+
+def adjacent_tests(table: DataFrame) -> DataFrame:
+    """(cell, rank_pair, better, worse, mean_diff, p, agree, resolved) of neighbouring ranks of ``standings``."""
+    w = Window.partitionBy(*CELL).orderBy("rnk")
+    nxt = table.select(*CELL, "rnk", F.col("method_id").alias("better"), F.lead("method_id").over(w).alias("worse"), F.col("by_seed").alias("x"), F.lead("by_seed").over(w).alias("y")).where("worse IS NOT NULL")
+    out = _tested(nxt, "rnk", "better", "worse").where("mean_diff IS NOT NULL")
+    return out.withColumn("rank_pair", F.format_string("%d-%d", "rnk", F.col("rnk") + 1)).drop("rnk")
+
+
+def top_of(table: DataFrame) -> DataFrame:
+    """(cell, rank1, best_mae, top_group): the best method of each cell of ``standings`` with all that are not resolved from it, by rank.
+
+    A method without a seed in common with the best is not tested, and not in
+    the group.
+    """
+    w = Window.partitionBy(*CELL).orderBy("rnk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    best = F.first(F.struct("method_id", "mean_mae", "by_seed")).over(w)
+    rows = table.select(*CELL, "rnk", "method_id", F.col("by_seed").alias("x"), best.alias("b")).select(*CELL, "rnk", "method_id", "x", F.col("b.method_id").alias("rank1"), F.col("b.mean_mae").alias("best_mae"), F.col("b.by_seed").alias("y"))
+    tests = _tested(rows, "rnk", "method_id", "rank1", "best_mae")
+    tied = (F.col("rnk") == 1) | (~F.col("resolved") & F.col("mean_diff").isNotNull())
+    out = tests.groupBy(*CELL, "rank1", "best_mae").agg(F.sort_array(F.collect_list(F.when(tied, F.struct("rnk", "method_id")))).alias("t"))
+    return out.select(*CELL, "rank1", "best_mae", F.transform("t", lambda x: x["method_id"]).alias("top_group"))

@@ -477,8 +477,7 @@ def paired_ttest(spark, d):
 
 
 def _adjacent(spark, d):
-    r = ranking.resolved_pairs(_tests(spark, d))
-    return ranking.adjacent(_ranked(spark, d)).join(r.withColumnsRenamed({"m1": "better", "m2": "worse"}), ["split", "train_size", "better", "worse"])
+    return ranking.adjacent_tests(ranking.standings(runs(spark, d)))
 
 
 @query(f"WITH {ADJ} SELECT split, train_size, rank_pair, better, worse, round(abs_diff, 6) AS abs_diff, round(p, 6) AS p, agree, resolved, abs_diff < 0.0005 AS below FROM adj")
@@ -488,7 +487,7 @@ def rank_resolution_adjacent(spark, d):
 
 
 def _top(spark, d):
-    return ranking.top_groups(_ranked(spark, d), ranking.resolved_pairs(_tests(spark, d)))
+    return ranking.top_of(ranking.standings(runs(spark, d)))
 
 
 @query(f"WITH {TOP} SELECT t.split, t.train_size, rank1, CAST(top_size AS INTEGER) AS top_size, round(best_mae, 6) AS best_mae, rank1 || coalesce((SELECT ',' || string_agg(r.method_id, ',' ORDER BY r.rnk) FROM both_ways b JOIN ranked r ON r.split = b.split AND r.train_size = b.train_size AND r.method_id = b.m2 WHERE b.split = t.split AND b.train_size = t.train_size AND b.m1 = t.rank1 AND NOT b.resolved), '') AS members FROM top t")
