@@ -53,24 +53,24 @@ GAPS = {
     "morgan_mlp": [0.043860650062561096, 0.04627937078475958, 0.04365865290164947, 0.04611735641956333, 0.04835240244865416, 0.04899326860904696, 0.04821280539035794, 0.04647479504346849],
     "gine": [0.026331326365470864, 0.041070622205734264, 0.01924954950809475, 0.030653718113899248, 0.029763689637184135, 0.02523140758275985, 0.031927895545959484, 0.03225389197468755],
 }
-#: p of each neighbouring pair of ranks (1-2, 2-3, ...), negative where the seeds disagree in sign.
+#: p of each neighbouring pair of ranks (1-2, 2-3, ...), and whether all seeds agree in sign.
 NEIGHBOURS = {
-    ("random", 500): [-0.7646309332142839, 0.0009309139838506702, -0.23375508849942397, 0.004348868578331096, 0.12126636690400645, 0.0013087424077004716],
-    ("random", 1000): [-0.027737234052724005, 0.0035893119936953833, -0.8406358833679701, 0.00036839344293412233, -0.09380244341842384, 0.00020241859065056],
-    ("random", 2000): [-0.13873349167866106, -0.341293772558776, -0.6804291899138748, 2.335482767739984e-06, 1.858441976004402e-05, 0.00793989881151326],
-    ("random", 3000): [-0.33528284243845696, -0.25541650187294296, 0.005758979563293851, 2.85240603602156e-07, 0.0004917320088309151, 0.000901370739858884],
-    ("random", 5000): [-0.7997601377891939, 0.006956178760597692, -0.9802243734150362, 1.297145823174533e-06, 0.002177219978021521, 0.0002168156719015224],
-    ("random", 7000): [0.006225235314999743, 0.00014258495163212316, 0.00044899658678184307, 2.108377623614385e-06, 0.045243844347826113, 8.503233241878497e-05],
-    ("random", 8000): [0.0006128100994440136, 2.0913580619241465e-05, 0.0011322858054696485, 3.462347808986909e-05, 0.00014910462855595872, 7.61991763598429e-06],
-    ("random", 10000): [0.0003058458429090469, 5.159141019502476e-05, 8.856534458784173e-05, 9.880678101949349e-05, 0.010365127433561064, 3.063690862201761e-06],
-    ("scaffold", 500): [-0.4332706596231491, 0.0037592813328136223, -0.6656300509673583, 0.0023182790991427495, 9.162912351505279e-05, 0.02708721534653349],
-    ("scaffold", 1000): [-0.09388612155803126, 0.002125595651715583, -0.11651740847329393, 0.002271703856888023, -0.5276962560198896, 0.03507486473226506],
-    ("scaffold", 2000): [-0.9047466455285882, -0.26226230508059956, -0.30877643829262963, 0.0015714026625501326, -0.9999659955393491, 0.06262142828725556],
-    ("scaffold", 3000): [-0.84662156230805, -0.20367807177183453, -0.039166374537561145, 0.0009867099205165375, -0.7721730901428777, -0.17519918194850584],
-    ("scaffold", 5000): [-0.8436364472781543, -0.10433444467428371, 0.021648465998577376, 0.001144573229677699, -0.25716740604522353, -0.8532703016285659],
-    ("scaffold", 7000): [-0.2089651346460537, -0.10922587339886353, 0.0492575849881484, 5.690031908302958e-05, -0.4793250171402102, -0.7453609492835505],
-    ("scaffold", 8000): [-0.2781954393857471, -0.11902431323488111, 0.029110109195565257, 5.262125899911045e-05, -0.44795397419439736, -0.29919359202655826],
-    ("scaffold", 10000): [-0.2398964174242052, -0.07415975312435703, -0.6903662561697264, 0.0001016371230217475, -0.11894753847493228, -0.24856895686087938],
+    ("random", 500): [(0.7646309332142839, False), (0.0009309139838506702, True), (0.23375508849942397, False), (0.004348868578331096, True), (0.12126636690400645, True), (0.0013087424077004716, True)],
+    ("random", 1000): [(0.027737234052724005, False), (0.0035893119936953833, True), (0.8406358833679701, False), (0.00036839344293412233, True), (0.09380244341842384, False), (0.00020241859065056, True)],
+    ("random", 2000): [(0.13873349167866106, False), (0.341293772558776, False), (0.6804291899138748, False), (2.335482767739984e-06, True), (1.858441976004402e-05, True), (0.00793989881151326, True)],
+    ("random", 3000): [(0.33528284243845696, False), (0.25541650187294296, False), (0.005758979563293851, True), (2.85240603602156e-07, True), (0.0004917320088309151, True), (0.000901370739858884, True)],
+    ("random", 5000): [(0.7997601377891939, False), (0.006956178760597692, True), (0.9802243734150362, False), (1.297145823174533e-06, True), (0.002177219978021521, True), (0.0002168156719015224, True)],
+    ("random", 7000): [(0.006225235314999743, True), (0.00014258495163212316, True), (0.00044899658678184307, True), (2.108377623614385e-06, True), (0.045243844347826113, True), (8.503233241878497e-05, True)],
+    ("random", 8000): [(0.0006128100994440136, True), (2.0913580619241465e-05, True), (0.0011322858054696485, True), (3.462347808986909e-05, True), (0.00014910462855595872, True), (7.61991763598429e-06, True)],
+    ("random", 10000): [(0.0003058458429090469, True), (5.159141019502476e-05, True), (8.856534458784173e-05, True), (9.880678101949349e-05, True), (0.010365127433561064, True), (3.063690862201761e-06, True)],
+    ("scaffold", 500): [(0.4332706596231491, False), (0.0037592813328136223, True), (0.6656300509673583, False), (0.0023182790991427495, True), (9.162912351505279e-05, True), (0.02708721534653349, True)],
+    ("scaffold", 1000): [(0.09388612155803126, False), (0.002125595651715583, True), (0.11651740847329393, False), (0.002271703856888023, True), (0.5276962560198896, False), (0.03507486473226506, True)],
+    ("scaffold", 2000): [(0.9047466455285882, False), (0.26226230508059956, False), (0.30877643829262963, False), (0.0015714026625501326, True), (0.9999659955393491, False), (0.06262142828725556, True)],
+    ("scaffold", 3000): [(0.84662156230805, False), (0.20367807177183453, False), (0.039166374537561145, False), (0.0009867099205165375, True), (0.7721730901428777, False), (0.17519918194850584, False)],
+    ("scaffold", 5000): [(0.8436364472781543, False), (0.10433444467428371, False), (0.021648465998577376, True), (0.001144573229677699, True), (0.25716740604522353, False), (0.8532703016285659, False)],
+    ("scaffold", 7000): [(0.2089651346460537, False), (0.10922587339886353, False), (0.0492575849881484, True), (5.690031908302958e-05, True), (0.4793250171402102, False), (0.7453609492835505, False)],
+    ("scaffold", 8000): [(0.2781954393857471, False), (0.11902431323488111, False), (0.029110109195565257, True), (5.262125899911045e-05, True), (0.44795397419439736, False), (0.29919359202655826, False)],
+    ("scaffold", 10000): [(0.2398964174242052, False), (0.07415975312435703, False), (0.6903662561697264, False), (0.0001016371230217475, True), (0.11894753847493228, False), (0.24856895686087938, False)],
 }
 #: The methods not resolved from the best, the best first.
 TOP = {
@@ -206,7 +206,7 @@ def resolved(spark):
     for (s, n), ps in NEIGHBOURS.items():
         k = SIZES.index(n)
         order = sorted((m for x, m in MEANS if x == s), key=lambda m: RANKS[s, m][k])
-        rows += [(s, n, a, b, MEANS[s, a][k] - MEANS[s, b][k], abs(p), p > 0) for a, b, p in zip(order, order[1:], ps, strict=False)]
+        rows += [(s, n, a, b, MEANS[s, a][k] - MEANS[s, b][k], p, agree) for a, b, (p, agree) in zip(order, order[1:], ps, strict=False)]
     return ranking.resolved_pairs(spark.createDataFrame(rows, "split string, train_size int, m1 string, m2 string, mean_diff double, p double, agree boolean"))
 
 
@@ -235,8 +235,8 @@ def test_neighbours_and_summary_counts(summ, resolved):
     assert len(rows) == 96 and sum(r.resolved for r in rows) == 51
     for r in rows:
         k = int(r.rank_pair.split("-")[0])
-        p = NEIGHBOURS[r.split, r.train_size][k - 1]
-        assert (r.p, r.agree, r.resolved) == (abs(p), p > 0, abs(p) < 0.05 and p > 0)
+        p, agree = NEIGHBOURS[r.split, r.train_size][k - 1]
+        assert (r.p, r.agree, r.resolved) == (p, agree, p < 0.05 and agree)
         at = SIZES.index(r.train_size)
         assert abs(r.mean_diff) == pytest.approx(MEANS[r.split, r.worse][at] - MEANS[r.split, r.better][at], abs=1e-12)
     assert sum(abs(r.mean_diff) < 0.049 for r in rows) == 96
