@@ -2,9 +2,10 @@
 
 Every (cluster, draw) gets a Poisson(1) weight from a hash of its key and the
 draw, so weights do not depend on partitions or order and any engine can
-repeat them.  A task keeps a sum of weights and of weighted values for each
-group and draw; these are all that is shuffled: groups x draws rows for each
-task, whatever the number of rows.
+repeat them.  Rows are summed by cluster before the shuffle that spreads
+clusters over the tasks.  A task keeps a sum of weights and of weighted values
+for each group and draw, and sends groups x draws of them, whatever the number
+of rows.
 """
 
 from __future__ import annotations
@@ -67,6 +68,9 @@ def poisson_bootstrap(df: DataFrame, value: str, key: str, *groups: str, draws:
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value) & F.col(key).isNotNull()).select(*groups, F.col(key).cast("long").alias("key_"), F.col(value).cast("double").alias("value_"))
     names = [f"g{i}_" for i in range(len(groups))]
     rows = rows.withColumnsRenamed(dict(zip(groups, names, strict=True)))
+    # a cluster is weighted once; its weights cost far more than a row of a shuffle, so clusters are spread over all tasks
+    rows = rows.groupBy(*names, "key_").agg(F.sum("value_").alias("total_"), F.count("value_").alias("count_"))
+    rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key_")
     kinds = [rows.schema[n].dataType for n in names]
     schema = ", ".join([*[f"{n} {k.simpleString()}" for n, k in zip(names, kinds, strict=True)], "w array<double>", "s array<double>"])
     offset = offsets(np.arange(draws))
@@ -82,15 +86,12 @@ def poisson_bootstrap(df: DataFrame, value: str, key: str, *groups: str, draws:
 
         for batch in batches:
             kept[:] = [batch.schema]
-            # a cluster's rows of a batch are weighted once
-            t = pa.Table.from_batches([batch]).group_by([*names, "key_"]).aggregate([("value_", "sum"), ("value_", "count")])
-            if not t.num_rows:
+            if not batch.num_rows:
                 continue
-            of = list(zip(*[t[n].to_pylist() for n in names], strict=True)) if names else [()] * t.num_rows
+            of = list(zip(*[batch[n].to_pylist() for n in names], strict=True)) if names else [()] * batch.num_rows
             places = {g: i for i, g in enumerate(dict.fromkeys(of))}
             group = np.array([places[g] for g in of])
-            total, count = t["value__sum"].to_numpy(), t["value__count"].to_numpy()
-            keys = t["key_"].to_numpy()
+            total, count, keys = (batch[c].to_numpy(zero_copy_only=False) for c in ("total_", "count_", "key_"))
             order = np.argsort(group, kind="stable")
             cuts = np.searchsorted(group[order], np.arange(len(places) + 1))
             step = max(BLOCK // max(draws, 1), 1)
