@@ -49,8 +49,8 @@ def test_excel_cells_of_every_kind(spark, tmp_path):
         '<row r="8"><c r="B8"><v>12</v></c><c r="C8" t="str"><v>1e-3</v></c><c r="D8" t="d"><v>2024-05-06</v></c><c r="AA8" t="str"><v>FALSE</v></c></row>'
         '<row r="9"><c r="C9"><v>0.1</v></c><c r="D9" s="3"><v>3.5</v></c></row>'
     )
-    workbook(tmp_path / "a.xlsx", {"other": "", "oxpot": rows}, strings, [0, 14, "yyyy&quot;m&quot;", '0.0&quot;day&quot;'])
-    for sheet in ("oxpot", 1):
+    workbook(tmp_path / "a.xlsx", {"other": "", "raw": rows}, strings, [0, 14, "yyyy&quot;m&quot;", '0.0&quot;day&quot;'])
+    for sheet in ("raw", 1):
         df = scan_excel(spark, str(tmp_path / "a.xlsx"), "SMILES string, Eox double, when timestamp_ntz, flag boolean", sheet, row_index="at")
         assert [tuple(r) for r in df.collect()] == [
             (0, "two runs & more", 1.25, datetime.datetime(2024, 1, 1, 12), True),
@@ -59,9 +59,9 @@ def test_excel_cells_of_every_kind(spark, tmp_path):
             (5, None, 0.1, None, None),
         ]
     # only what is asked for, as whole numbers where they fit
-    assert [r.Eox for r in scan_excel(spark, str(tmp_path / "a.xlsx"), "Eox int", "oxpot").collect()] == [None, None, None, None]
+    assert [r.Eox for r in scan_excel(spark, str(tmp_path / "a.xlsx"), "Eox int", "raw").collect()] == [None, None, None, None]
     assert scan_excel(spark, str(tmp_path / "a.xlsx"), "x string", "other").count() == 0
-    for schema, sheet, says in (("gone string, SMILES string", "oxpot", "missing columns: gone"), ("SMILES string", "nope", "no sheet 'nope'")):
+    for schema, sheet, says in (("gone string, SMILES string", "raw", "missing columns: gone"), ("SMILES string", "nope", "no sheet 'nope'")):
         with pytest.raises(Exception, match=says):
             scan_excel(spark, str(tmp_path / "a.xlsx"), schema, sheet).collect()
 
