@@ -592,25 +592,62 @@ def _points(spark, d):
     return ranking.summary(runs(spark, d)).select("split", "method_id", (F.col("train_size") - 1994).alias("n"), F.col("mean_mae").alias("y"))
 
 
-@query()
+def _fits_sql(points: str, keys: str, name: str, rounds: int = 6) -> str:
+    """CTEs of the refined fits ``name`` (keys, a, b, c) of a relation (keys, n, y): the grid over b, then finer ones around the best."""
+    best = f"""(SELECT {keys}, unnest(arg_min(struct_pack(a := a, b := b, c := c), (round(yy + a*a*zz + m*c*c - 2*a*zy - 2*c*sy + 2*a*c*sz, 12), b))) FROM (SELECT *, greatest((zy - c * sz) / zz, 0.0) AS a FROM (SELECT *, least(greatest(c0, 0.0), low) AS c FROM
+  (SELECT {keys}, b, regr_intercept(y, pow(n, -b)) AS c0, min(y) AS low, sum(pow(n, -b) * y) AS zy, sum(pow(n, -b)) AS sz, sum(pow(n, -b) * pow(n, -b)) AS zz, sum(y * y) AS yy, sum(y) AS sy, count(*) AS m FROM {points} JOIN %s GROUP BY {keys}, b))) GROUP BY {keys})"""
+    ctes = [f"{name}_0 AS " + best % "(SELECT 0.01 + i * (1.99 / 399) AS b FROM range(400) r(i)) ON true"]
+    width = 1.99 / 399
+    for k in range(1, rounds + 1):
+        near = f"(SELECT DISTINCT {keys}, least(greatest(b + i * {width / 10!r}::DOUBLE, 0.01), 2.0) AS b FROM {name}_{k - 1}, range(-10, 11) r(i)) USING ({keys})"
+        ctes.append(f"{name}_{k} AS " + best % near)
+        width /= 10
+    return ", ".join([*ctes, f"{name} AS (SELECT * FROM {name}_{rounds})"])
+
+
+#: The fits of the mean curves and of all draws.
+FITS = f"""{BOOT}, means AS (SELECT split, method_id, train_size - 1994 AS n, avg(mae) AS y FROM runs GROUP BY 1, 2, 3), drawn AS (SELECT split, method_id, draw, train_size - 1994 AS n, y FROM boot),
+ {_fits_sql("means", "split, method_id", "fit")}, {_fits_sql("drawn", "split, method_id, draw", "draws")}"""
+
+
+def _crossings_sql(fits: str, keys: str) -> str:
+    """(keys, m1, m2, x): the last of 4,000 points from 1 to 7 before the curves of a named pair change places."""
+    named = ", ".join(f"('{one}', '{two}')" for one, two in CROSSING)
+    sign = "sign((p.a * pow({x}, -p.b) + p.c) - (q.a * pow({x}, -q.b) + q.c))"
+    at = {k: sign.format(x=k) for k in ("x", "nx")}
+    return f"""(SELECT {keys}, m1, m2, min(x) FILTER (WHERE s <> t) AS x FROM (SELECT {keys}, m1, m2, x, {at["x"]} AS s, {at["nx"]} AS t FROM (VALUES {named}) v(m1, m2) JOIN {fits} p ON p.method_id = m1 JOIN (SELECT {keys}, method_id AS m2, a, b, c FROM {fits}) q USING ({keys}, m2),
+  (SELECT pow(7.0, i / 3999.0) AS x, pow(7.0, (i + 1) / 3999.0) AS nx FROM range(3999) r(i))) GROUP BY {keys}, m1, m2)"""
+
+
+@query(f"""WITH {FITS}, point AS {_crossings_sql("fit", "split")}, found AS {_crossings_sql("draws", "split, draw")},
+ sp AS (SELECT a.split, a.train_size, a.method_id AS m1, b.method_id AS m2, a.mae - b.mae AS d FROM runs a JOIN runs b ON a.split = b.split AND a.train_size = b.train_size AND a.seed = b.seed AND a.method_id < b.method_id),
+ seen AS (SELECT split, m1, m2, string_agg(train_size || ':' || printf('%.5f', mean), ',' ORDER BY train_size) AS mean_diff_by_size, string_agg(train_size || ':' || better, ',' ORDER BY train_size) AS seeds_better_by_size
+  FROM (SELECT split, m1, m2, train_size, avg(d) AS mean, count(*) FILTER (WHERE d < 0) AS better FROM sp GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+ spread AS (SELECT split, m1, m2, count(x) / count(*) AS found, CASE WHEN count(x) > 20 THEN quantile_cont(x, 0.025) END AS lo, CASE WHEN count(x) > 20 THEN quantile_cont(x, 0.975) END AS hi FROM found GROUP BY 1, 2, 3)
+ SELECT split, m1, m2, round(x, 4) AS crossover, round(found, 6) AS found, round(lo, 4) AS lo, round(hi, 4) AS hi, mean_diff_by_size, seeds_better_by_size FROM point JOIN spread USING (split, m1, m2) LEFT JOIN seen USING (split, m1, m2)""")
 def crossover_bootstrap(spark, d):
     """For each pair: where its curves cross, in how many draws they do, the middle 95 % (null for 20 draws or fewer), mean differences and better seeds by size."""
     draws = curves.fitted(_boot_curves(spark, d), "split", "method_id", "draw")
     point = curves.crossover(curves.paired_fits(curves.fitted(_points(spark, d), "split", "method_id", parts=4), CROSSING, "split"), "split", "m1", "m2", low=1, high=7)
     diffs = ranking.seed_pairs(runs(spark, d)).groupBy("split", "train_size", "m1", "m2").agg(F.avg("d").alias("mean"), F.count_if(F.col("d") < 0).alias("better"))
-    maps = [F.map_from_entries(F.sort_array(F.collect_list(F.struct("train_size", c)))).alias(k) for c, k in (("mean", "mean_diff_by_size"), ("better", "seeds_better_by_size"))]
-    seen = diffs.groupBy("split", "m1", "m2").agg(*maps)
+    by_size = {"mean_diff_by_size": F.format_string("%d:%.5f", "train_size", "mean"), "seeds_better_by_size": F.format_string("%d:%d", "train_size", "better")}
+    seen = diffs.groupBy("split", "m1", "m2").agg(*[F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("train_size", text.alias("t")))), lambda x: x["t"]), ",").alias(k) for k, text in by_size.items()])
     keys = ["split", "m1", "m2"]
-    return point.join(curves.bootstrap_crossovers(draws, CROSSING, low=1, high=7), keys).join(seen, keys, "left")
+    out = point.join(curves.bootstrap_crossovers(draws, CROSSING, low=1, high=7), keys).join(seen, keys, "left")
+    return out.select(*keys, *[F.round(k, 6 if k == "found" else 4).alias(k) for k in ("crossover", "found", "lo", "hi")], *by_size)
 
 
-@query()
+@query(f"""WITH {FITS}, top AS (SELECT split, method_id, max(c) AS top FROM draws GROUP BY 1, 2),
+ spread AS (SELECT split, method_id, quantile_cont(b, 0.025) AS b_lo, quantile_cont(b, 0.975) AS b_hi, quantile_cont(c, 0.025) AS c_lo, quantile_cont(c, 0.975) AS c_hi, avg(CASE WHEN abs(c - top) <= 1e-8 + 1e-5 * abs(top) THEN 1.0 ELSE 0.0 END) AS most FROM draws JOIN top USING (split, method_id) GROUP BY 1, 2)
+ SELECT split, method_id, round(a, 5) AS a, round(b, 5) AS b, round(c, 5) AS c, round(b_lo, 5) AS b_lo, round(b_hi, 5) AS b_hi, round(c_lo, 5) AS c_lo, round(c_hi, 5) AS c_hi, round(most, 5) AS c_at_upper_bound, round(a * pow(7, -b) + c, 5) AS fit, round(y, 5) AS observed
+ FROM fit LEFT JOIN spread USING (split, method_id) LEFT JOIN (SELECT split, method_id, y FROM means WHERE n = 7) USING (split, method_id)""")
 def curve_fit_report(spark, d):
     """Each curve's fit, the middle 95 % of b and c over the draws, the share of draws at the largest c, and fit against observation at the last size."""
     points = _points(spark, d)
     point = curves.fitted(points, "split", "method_id", parts=4)
     draws = curves.fitted(_boot_curves(spark, d), "split", "method_id", "draw")
-    return curves.fit_report(point, draws, points, 7)
+    report = curves.fit_report(point, draws, points, 7)
+    return report.select("split", "method_id", *[F.round(k, 5).alias(k) for k in report.columns[2:]])
 
 
 GRID = """grid AS (SELECT 0.01 + i * (1.99 / 399) AS b FROM range(400) r(i)),
