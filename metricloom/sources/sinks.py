@@ -1,8 +1,8 @@
-"""Sinks: CSV, one folder for each key tuple, JSON records and one nested object, Parquet parameters."""
+"""Sinks: CSV, one folder for each key tuple, JSON records and one nested object, Parquet parameters (with their scan)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,5 +43,12 @@ def write_report(df: DataFrame, path: str) -> None:
     df.limit(1).coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def write_params(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+def write_params(df: DataFrame, path: str, *keys: str) -> None:
+    """Fitted parameters as rows, a folder for each key, so that a reader of one curve reads its files only."""
+    writer = df.repartition(*keys).write if keys else df.write
+    (writer.partitionBy(*keys) if keys else writer).mode("overwrite").parquet(path)
+
+
+def scan_params(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What ``write_params`` wrote, with types as named (keys in folder names have none of their own)."""
+    return spark.read.schema(schema).parquet(path)
