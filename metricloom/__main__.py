@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import DataFrame, SparkSession
 
-from metricloom.plans import catalogue, statistics  # noqa: F401  (statistics registers its queries in the catalogue)
+from metricloom.plans import catalogue, exchange, statistics  # noqa: F401  (the other two register their queries in the catalogue)
 from metricloom.sources.files import write_csv_file, write_json_array
 
 

@@ -7,14 +7,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Texts keep blanks at their ends, doubled quotes are the only escape, and lines end in \n.
+_CSV = {"header": True, "escape": '"', "lineSep": "\n", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def _kept(df: DataFrame, *keys: str) -> DataFrame:
+    """df, but nulls of an only column (beside the keys) as empty texts: a line of nothing is no row to any reader."""
+    only = [c for c in df.columns if c not in keys]
+    return df.withColumn(only[0], F.coalesce(F.col(f"`{only[0]}`").cast("string"), F.lit(""))) if len(only) == 1 else df
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    """Arrays, maps and structs go out as JSON text; there is no byte order mark."""
+    """Arrays, maps and structs go out as JSON text; there is no byte order mark.
+
+    Null is nothing between commas, an empty text two quotes; ``scan_csv``
+    with ``exact`` reads back every text, but for the nulls of an only column,
+    which are written as empty texts.
+    """
     nested = [f.name for f in df.schema.fields if f.dataType.typeName() in ("array", "map", "struct")]
-    df.withColumns({c: F.to_json(c) for c in nested}).write.mode("overwrite").csv(path, header=True, escape='"')
+    _kept(df.withColumns({c: F.to_json(c) for c in nested})).write.mode("overwrite").options(**_CSV).csv(path)
 
 
 def write_partitioned(df: DataFrame, path: str, *keys: str) -> None:
-    df.repartition(*keys).write.mode("overwrite").partitionBy(*keys).csv(path, header=True, escape='"')
+    """A folder for each key tuple: of one file, or of several where the key's shuffle partition is too large for one task."""
+    _kept(df, *keys).hint("rebalance", *keys).write.mode("overwrite").partitionBy(*keys).options(**_CSV).csv(path)
 
 
 def _rounded(c: Column, kind: T.DataType, decimals: int) -> Column:
@@ -45,8 +61,8 @@ def write_report(df: DataFrame, path: str) -> None:
 
 def write_params(df: DataFrame, path: str, *keys: str) -> None:
     """Fitted parameters as rows, a folder for each key, so that a reader of one curve reads its files only."""
-    writer = df.repartition(*keys).write if keys else df.write
-    (writer.partitionBy(*keys) if keys else writer).mode("overwrite").parquet(path)
+    writer = df.hint("rebalance", *keys).write.partitionBy(*keys) if keys else df.write
+    writer.mode("overwrite").parquet(path)
 
 
 def scan_params(spark: SparkSession, path: str, schema: str) -> DataFrame:

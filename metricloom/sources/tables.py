@@ -14,9 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scan_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with a header; a byte order mark, CRLF and doubled quotes are read as meant, NaN as null."""
-    df = spark.read.schema(schema).csv(path, header=True, escape='"', multiLine=True, ignoreLeadingWhiteSpace=False)
+def scan_csv(spark: SparkSession, path: str, schema: str, exact: bool = False) -> DataFrame:
+    """CSV with a header; a byte order mark, CRLF and doubled quotes are read as meant, NaN as null.
+
+    An empty text in quotes is null too, and line breaks in texts become
+    those of the file.  With ``exact`` lines end in \n, as the library's own
+    sinks write them, and every text is read as written, empty ones too.
+    """
+    # a missing text is the null value, so one that no text has keeps empty texts apart from it
+    kept = {"lineSep": "\n", "nullValue": "\0"} if exact else {}
+    df = spark.read.schema(schema).options(**kept).csv(path, header=True, escape='"', multiLine=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return nan_to_null(df)
 
 
