@@ -697,6 +697,15 @@ def importance_ranks(spark, d):
     return r.select("split", "dim", category.alias("category"), F.round("mean_gain", 5).alias("mean_gain"), F.round("std_gain", 5).alias("std_gain"), "n_records", *ranks)
 
 
+@query(f"""SELECT split, dim, category, mean_gain, std_gain, CASE WHEN split <> 'combined' THEN n_records END AS n_seeds, n_records, rank_within_split, combined_rank, mean_gain AS importance_for_plot, std_gain AS std_for_plot,
+ coalesce(rank_within_split, combined_rank) AS rank_for_plot FROM ({ORACLE["importance_ranks"]}) WHERE coalesce(rank_within_split, combined_rank) <= 20""")
+def importance_figure(spark, d):
+    """The first 20 dimensions of each split and of both, with the columns of the published figure's table; a record of a split is a seed."""
+    r = importance_ranks(spark, d).withColumn("rank_for_plot", F.coalesce("rank_within_split", "combined_rank")).where("rank_for_plot <= 20")
+    more = {"n_seeds": F.when(F.col("split") != "combined", F.col("n_records")), "importance_for_plot": F.col("mean_gain"), "std_for_plot": F.col("std_gain")}
+    return r.withColumns(more)
+
+
 @query(f"""WITH {PAIRS}, loo AS ({LOO.format(t="pairs").replace("round(", "").replace(", 4)", "")}), l AS (SELECT pairs.*, loo.loo FROM pairs JOIN loo USING (k)), line AS (SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM pairs),
  r AS (SELECT round(avg(abs(y - x)), 6) AS mae, round(sqrt(avg((y - x) ** 2)), 6) AS rmse, round(avg(y - x), 6) AS ms, count(y - x) AS n, round(avg(abs(loo - y)), 6) AS lmae, round(sqrt(avg((loo - y) ** 2)), 6) AS lrmse, round(avg(loo - y), 6) AS lms, count(loo - y) AS ln FROM l)
  SELECT CAST(json_object('raw', json_object('n', n, 'mae', mae, 'rmse', rmse, 'mean_signed', ms), 'line', json_object('slope', round(slope, 6), 'intercept', round(intercept, 6), 'spread', NULL), 'loo', json_object('n', ln, 'mae', lmae, 'rmse', lrmse, 'mean_signed', lms), 'constants', json_object('shift', 0.044::DOUBLE)) AS VARCHAR) AS report FROM r, line""")
