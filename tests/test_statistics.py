@@ -89,6 +89,27 @@ def test_a_million_distinct_values_in_one_group(spark, monkeypatch):
     assert len(seen) == 1 and seen[0].count() < 5000  # distinct values near the two ranks
 
 
+@pytest.mark.parametrize("few, join", [(100_000, "BroadcastHashJoin"), (0, "ShuffledHashJoin")])
+def test_rows_of_a_hot_group_are_not_sorted(spark, monkeypatch, few, join):
+    """A group's rows pass by a hash of the brackets, not through a sort of one task, also with too many groups to broadcast."""
+    df = spark.range(300_000, numPartitions=8).select(F.when(F.col("id") % 10 > 0, "hot").alias("g"), (F.col("id") * 7919 % 300_000).cast("double").alias("v"))
+    seen = []
+    whole = quantiles._held
+    monkeypatch.setattr(quantiles, "FEW", few)
+    monkeypatch.setattr(quantiles, "_held", lambda *a: seen.append(whole(*a)) or seen[-1])
+    size = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "-1")  # as for a large table
+    try:
+        got = {r.g: r.q for r in exact_quantiles(df, "v", [0.025, 0.5], "g", limit=50).collect()}
+    finally:
+        spark.conf.set(size, before)
+    want = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("v", F.array(F.lit(0.025), F.lit(0.5))).alias("q")).collect()}
+    assert got == {g: pytest.approx(q, rel=1e-12) for g, q in want.items()}
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert join in plan and "SortMergeJoin" not in plan and "Sort [" not in plan
+
+
 def test_narrowing_finds_the_ranks_of_a_wide_bracket(spark):
     df = spark.range(30_000).select(F.pmod(F.col("id") * 7919, F.lit(30_000)).cast("double").alias("v"))
     assert exact_quantiles(df, "v", [0.25, 0.75], accuracy=20, limit=10).first().q == [7499.75, 22499.25]
