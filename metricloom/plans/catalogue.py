@@ -550,7 +550,7 @@ def powerlaw_predict(spark, d):
  k AS (SELECT *, yy + a*a*zz + m*c*c - 2*a*zy - 2*c*sy + 2*a*c*sz AS ssr FROM h)
  SELECT split, method_id, round(min(ssr), 8) AS ssr FROM k GROUP BY 1, 2""")
 def powerlaw_fit_grid(spark, d):
-    return curves.fit_grid(_points(spark, d), "split", "method_id").select("split", "method_id", F.round("ssr", 8).alias("ssr"))
+    return curves.fit_grid(_points(runs(spark, d)), "split", "method_id").select("split", "method_id", F.round("ssr", 8).alias("ssr"))
 
 
 CROSS = """g AS (SELECT i, 500 * pow(20.0, i / 3999.0) AS x FROM range(4000) r(i)),
@@ -566,9 +566,9 @@ def crossover_grid(spark, d):
     return curves.crossover(cv.withColumns({k: F.lit(v) for k, v in lits.items()}), "k").select("k", F.round("crossover", 4).alias("crossover"))
 
 
-def _boot_curves(spark, d, draws: int = 2000):
+def _boot_curves(runs, draws: int = 2000):
     """(split, method_id, draw, n, y): for each size five seeds drawn with replacement, by md5, and averaged."""
-    seeds = runs(spark, d).groupBy("split", "method_id", "train_size").agg(F.transform(F.sort_array(F.collect_list(F.struct("seed", "mae"))), lambda x: x["mae"]).alias("v"))
+    seeds = runs.groupBy("split", "method_id", "train_size").agg(F.transform(F.sort_array(F.collect_list(F.struct("seed", "mae"))), lambda x: x["mae"]).alias("v"))
     drawn = seeds.select("split", "method_id", "train_size", "v", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     pick = "aggregate(sequence(0, size(v) - 1), 0D, (s, i) -> s + v[cast(conv(substring(md5(concat_ws('|', split, method_id, train_size, draw, i)), 1, 8), 16, 10) AS bigint) % size(v)]) / size(v)"
     return drawn.select("split", "method_id", "draw", (F.col("train_size") - 1994).alias("n"), F.expr(pick).alias("y"))
@@ -581,15 +581,15 @@ BOOT = f"""{RUNS}, num AS (SELECT *, row_number() OVER (PARTITION BY split, meth
 
 @query(f"WITH {BOOT} SELECT split, method_id, CAST(draw AS INTEGER) AS draw, train_size - 1994 AS n, round(y, 6) AS y FROM boot")
 def bootstrap_curve(spark, d):
-    return _boot_curves(spark, d).select("split", "method_id", "draw", "n", *r6("y"))
+    return _boot_curves(runs(spark, d)).select("split", "method_id", "draw", "n", *r6("y"))
 
 
 #: Pairs of methods whose curves are compared.
 CROSSING = [("AUTOMOBILE", "BUILDING"), ("AUTOMOBILE", "FURNITURE"), ("AUTOMOBILE", "HOUSEHOLD"), ("BUILDING", "MACHINERY")]
 
 
-def _points(spark, d):
-    return ranking.summary(runs(spark, d)).select("split", "method_id", (F.col("train_size") - 1994).alias("n"), F.col("mean_mae").alias("y"))
+def _points(runs):
+    return ranking.summary(runs).select("split", "method_id", (F.col("train_size") - 1994).alias("n"), F.col("mean_mae").alias("y"))
 
 
 def _fits_sql(points: str, keys: str, name: str, rounds: int = 6) -> str:
@@ -627,9 +627,10 @@ def _crossings_sql(fits: str, keys: str) -> str:
  SELECT split, m1, m2, round(x, 4) AS crossover, round(found, 6) AS found, round(lo, 4) AS lo, round(hi, 4) AS hi, mean_diff_by_size, seeds_better_by_size FROM point JOIN spread USING (split, m1, m2) LEFT JOIN seen USING (split, m1, m2)""")
 def crossover_bootstrap(spark, d):
     """For each pair: where its curves cross, in how many draws they do, the middle 95 % (null for 20 draws or fewer), mean differences and better seeds by size."""
-    draws = curves.fitted(_boot_curves(spark, d), "split", "method_id", "draw")
-    point = curves.crossover(curves.paired_fits(curves.fitted(_points(spark, d), "split", "method_id", parts=4), CROSSING, "split"), "split", "m1", "m2", low=1, high=7)
-    diffs = ranking.seed_pairs(runs(spark, d)).groupBy("split", "train_size", "m1", "m2").agg(F.avg("d").alias("mean"), F.count_if(F.col("d") < 0).alias("better"))
+    errors = checkpointed(runs(spark, d))
+    draws = curves.fitted(_boot_curves(errors), "split", "method_id", "draw")
+    point = curves.crossover(curves.paired_fits(curves.fitted(_points(errors), "split", "method_id", parts=4), CROSSING, "split"), "split", "m1", "m2", low=1, high=7)
+    diffs = ranking.seed_pairs(errors).groupBy("split", "train_size", "m1", "m2").agg(F.avg("d").alias("mean"), F.count_if(F.col("d") < 0).alias("better"))
     by_size = {"mean_diff_by_size": F.format_string("%d:%.5f", "train_size", "mean"), "seeds_better_by_size": F.format_string("%d:%d", "train_size", "better")}
     seen = diffs.groupBy("split", "m1", "m2").agg(*[F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("train_size", text.alias("t")))), lambda x: x["t"]), ",").alias(k) for k, text in by_size.items()])
     keys = ["split", "m1", "m2"]
@@ -643,9 +644,10 @@ def crossover_bootstrap(spark, d):
  FROM fit LEFT JOIN spread USING (split, method_id) LEFT JOIN (SELECT split, method_id, y FROM means WHERE n = 7) USING (split, method_id)""")
 def curve_fit_report(spark, d):
     """Each curve's fit, the middle 95 % of b and c over the draws, the share of draws at the largest c, and fit against observation at the last size."""
-    points = _points(spark, d)
+    errors = checkpointed(runs(spark, d))
+    points = _points(errors)
     point = curves.fitted(points, "split", "method_id", parts=4)
-    draws = curves.fitted(_boot_curves(spark, d), "split", "method_id", "draw")
+    draws = curves.fitted(_boot_curves(errors), "split", "method_id", "draw")
     report = curves.fit_report(point, draws, points, 7)
     return report.select("split", "method_id", *[F.round(k, 5).alias(k) for k in report.columns[2:]])
 
@@ -661,7 +663,7 @@ GRID = """grid AS (SELECT 0.01 + i * (1.99 / 399) AS b FROM range(400) r(i)),
 def isclose_fraction(spark, d):
     """The share of draws whose fitted c is the largest of its curve."""
     keys = ["split", "method_id"]
-    fits = checkpointed(curves.fit_grid(checkpointed(_boot_curves(spark, d)).repartition(64, *keys, "draw"), *keys, "draw"))
+    fits = checkpointed(curves.fit_grid(checkpointed(_boot_curves(runs(spark, d))).repartition(64, *keys, "draw"), *keys, "draw"))
     most = fits.groupBy(*keys).agg(F.max("c").alias("top"))
     close = F.abs(F.col("c") - F.col("top")) <= 1e-8 + 1e-5 * F.abs("top")
     return fits.join(F.broadcast(most), keys).groupBy(*keys).agg(F.round(F.avg(close.cast("double")), 6).alias("share"))

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from metricloom.operators.ordering import shared_folder
+from metricloom.operators.ordering import checkpointed, shared_folder
 from metricloom.plans.catalogue import RUNS, query, r6
 from metricloom.sources import sinks
 from metricloom.sources.tables import complete, runs, scan_csv, table
@@ -53,7 +53,7 @@ def params_round_trip(spark, d):
 @query(f"WITH {RUNS} SELECT split, method_id, train_size, seed, round(mae, 6) AS mae FROM runs")
 def complete_runs(spark, d):
     """The runs, if every method has every split, size and seed that any method has; else the job fails and names a gap."""
-    rows = runs(spark, d)
+    rows = checkpointed(runs(spark, d))
     # methods, and keys of their runs: a few hundred of each at any scale
     grid = rows.select("method_id").distinct().crossJoin(rows.select("split", "train_size", "seed").distinct())
     return complete(grid, rows, "method_id", "split", "train_size", "seed").select("split", "method_id", "train_size", "seed", *r6("mae"))

@@ -113,20 +113,26 @@ def geomspace(spark: SparkSession, low: float, high: float, n: int) -> DataFrame
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors of each (method_id, split, train_size, seed), from line items and their customers' segments."""
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_discount", "l_tax", "l_linestatus", "l_shipdate")
-    line = line.where("l_shipdate >= timestamp_ntz'1995-01-01' AND l_shipdate < timestamp_ntz'2002-01-01'")
+    """Errors of each (method_id, split, train_size, seed), from line items and their customers' segments: a few hundred rows at any scale.
+
+    Line items are dealt once, cut to what the keys and errors need; orders
+    find their segments before.  What reads the rows more than once should
+    keep them in a checkpoint.
+    """
+    line = table(spark, sf_dir, "lineitem").where("l_shipdate >= timestamp_ntz'1995-01-01' AND l_shipdate < timestamp_ntz'2002-01-01'")
+    line = line.select(
+        "l_orderkey",
+        F.coalesce(F.col("l_linestatus") == "F", F.lit(False)).alias("random_"),
+        F.year("l_shipdate").alias("train_size"),
+        (11 * (1 + F.col("l_suppkey") % 5)).cast("int").alias("seed"),
+        (F.col("l_discount") - F.col("l_tax")).alias("e"),
+        "l_tax",
+    )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    e = F.col("l_discount") - F.col("l_tax")
-    keys = {
-        "method_id": F.col("c_mktsegment"),
-        "split": F.when(F.col("l_linestatus") == "F", "random").otherwise("scaffold"),
-        "train_size": F.year("l_shipdate"),
-        "seed": (11 * (1 + F.col("l_suppkey") % 5)).cast("int"),
-    }
-    rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey"))
-    rows = rows.select(*[c.alias(k) for k, c in keys.items()], e.alias("e"), "l_tax")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("method_id"))
+    segments = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "method_id")
+    rows = line.join(segments, F.col("l_orderkey") == F.col("o_orderkey"))
+    keys = ["method_id", F.when(F.col("random_"), "random").otherwise("scaffold").alias("split"), "train_size", "seed"]
     return rows.groupBy(*keys).agg(
         F.avg(F.abs("e")).alias("mae"),
         F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"),

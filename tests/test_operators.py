@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from metricloom.functions.text import key_parts, list_length, normaliser
 from metricloom.operators import clean, curves, ranking, splits, stats
 from metricloom.operators.ordering import dense_id, sum_before
-from metricloom.sources import sinks
+from metricloom.plans import catalogue
+from metricloom.sources import sinks, tables
 from metricloom.sources.tables import constants, optional_column, require_columns, require_complete, scan_csv, scan_json
 from metricloom.streaming.events import windowed_counts
 
@@ -263,3 +264,25 @@ def test_windows_on_a_stream_equal_those_of_the_table(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("seen").collect())) == sorted(map(tuple, windowed_counts(df).collect()))
+
+
+def test_the_curves_read_line_items_once_and_deal_them_once(spark, monkeypatch):
+    """Fits and draws come from one relation of runs; customers join the orders, not the line items."""
+    read, d = [], "/root/testdata/sf0.001"
+    whole = tables.table
+    monkeypatch.setattr(tables, "table", lambda s, at, name: read.append(name) or whole(s, at, name))
+    fits = {k: F.lit(x) for k, x in zip("abc", (1.0, 0.5, 0.1), strict=True)}
+    monkeypatch.setattr(curves, "fitted", lambda points, *keys, parts=1: points.select(*keys).distinct().withColumns(fits))
+    for query in (catalogue.crossover_bootstrap, catalogue.curve_fit_report):
+        read.clear()
+        query(spark, d)
+        assert read.count("lineitem") == 1
+    size = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "-1")  # as for large tables
+    try:
+        plan = tables.runs(spark, d)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(size, before)
+    dealt = plan.split("hashpartitioning(o_custkey")
+    assert len(dealt) == 2 and "l_" not in dealt[1].split("hashpartitioning(")[0]
