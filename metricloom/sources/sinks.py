@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +14,22 @@ from pyspark.sql import types as T
 _CSV = {"header": True, "escape": '"', "lineSep": "\n", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
+#: Files of keys that a task keeps open at a time; a writer of CSV holds little, one of Parquet a block of columns.
+OPEN = {"csv": 64, "parquet": 8}
+
+
+@contextmanager
+def _open_files(spark: SparkSession, kind: str) -> Iterator[None]:
+    """Rows go to the file of their key as they come; only those of keys beyond the open files are sorted by a task."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, OPEN[kind])
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _kept(df: DataFrame, *keys: str) -> DataFrame:
     """df, but nulls of an only column (beside the keys) as empty texts: a line of nothing is no row to any reader."""
     only = [c for c in df.columns if c not in keys]
@@ -30,7 +49,8 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def write_partitioned(df: DataFrame, path: str, *keys: str) -> None:
     """A folder for each key tuple: of one file, or of several where the key's shuffle partition is too large for one task."""
-    _kept(df, *keys).hint("rebalance", *keys).write.mode("overwrite").partitionBy(*keys).options(**_CSV).csv(path)
+    with _open_files(df.sparkSession, "csv"):
+        _kept(df, *keys).hint("rebalance", *keys).write.mode("overwrite").partitionBy(*keys).options(**_CSV).csv(path)
 
 
 def _rounded(c: Column, kind: T.DataType, decimals: int) -> Column:
@@ -62,7 +82,8 @@ def write_report(df: DataFrame, path: str) -> None:
 def write_params(df: DataFrame, path: str, *keys: str) -> None:
     """Fitted parameters as rows, a folder for each key, so that a reader of one curve reads its files only."""
     writer = df.hint("rebalance", *keys).write.partitionBy(*keys) if keys else df.write
-    writer.mode("overwrite").parquet(path)
+    with _open_files(df.sparkSession, "parquet"):
+        writer.mode("overwrite").parquet(path)
 
 
 def scan_params(spark: SparkSession, path: str, schema: str) -> DataFrame:

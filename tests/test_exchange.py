@@ -51,6 +51,28 @@ def test_a_key_with_many_rows_is_written_by_several_tasks(spark, tmp_path):
     assert back.exceptAll(df.select(*back.columns)).isEmpty() and back.count() == 400_000
 
 
+def test_rows_of_a_large_key_are_not_sorted_by_its_task(spark, tmp_path):
+    """What a task holds does not grow with the rows of its keys; keys beyond the open files are written too."""
+    sc, name = spark.sparkContext, "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    big = spark.range(300_000, numPartitions=8).selectExpr("CASE WHEN id % 3 > 0 THEN 'hot' ELSE 'b' END AS k", "id")
+    for write, at in ((sinks.write_partitioned, "c"), (sinks.write_params, "p")):
+        sc.setJobGroup(at, at)
+        try:
+            write(big, str(tmp_path / at), "k")
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup(at)]
+        assert jobs and all(sc._jsc.sc().statusStore().lastStageAttempt(s).peakExecutionMemory() == 0 for j in jobs for s in j.stageIds)
+    keys = spark.range(3000).selectExpr("string(id % 300) AS k", "id")
+    sinks.write_partitioned(keys, str(tmp_path / "many"), "k")
+    sinks.write_params(keys, str(tmp_path / "many_p"), "k")
+    for back in (scan_csv(spark, str(tmp_path / "many"), "k string, id long", exact=True), sinks.scan_params(spark, str(tmp_path / "many_p"), "k string, id long")):
+        assert sorted(map(tuple, back.select("k", "id").collect())) == sorted((str(i % 300), i) for i in range(3000))
+    assert spark.conf.get(name) == before
+
+
 def _tables(spark, folder, con, **relations):
     for name, df in relations.items():
         df.write.parquet(f"{folder}/{name}.parquet")
