@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from metricloom.operators import quantiles, stats, streams
+from metricloom.operators import quantiles, resampling, stats, streams
 from metricloom.operators.aggregates import Mean, Range, TrimmedMean, aggregate
 from metricloom.operators.quantiles import exact_quantiles
 from metricloom.operators.resampling import LEVELS, PRIME, offsets, poisson_bootstrap, weights
@@ -139,6 +139,40 @@ def test_poisson_bootstrap_equals_a_loop(spark):
     assert poisson_bootstrap(df, "v", "k", draws=3).count() == 3 and poisson_bootstrap(df.limit(0), "v", "k", draws=3).count() == 0
 
 
+def test_poisson_weights_equal_the_hash_in_whole_numbers():
+    """Also at the ends of 64 bits and of the modulus, for keys and draws whose hash is 0, and beside each level."""
+    offset = offsets(np.arange(300))
+    keys = [0, 1, -1, PRIME - 2, PRIME - 1, PRIME, -PRIME, (1 << 63) - 1, -(1 << 63), *np.random.default_rng(4).integers(-(1 << 63), (1 << 63) - 1, 500).tolist()]
+    for seed in (0, 1, 20260925):
+        own = [pow((k % PRIME + seed) % PRIME, 5, PRIME) for k in keys]
+        want = [[sum(pow(x + int(o), 5, PRIME) >= v for v in LEVELS) for o in offset] for x in own]
+        assert weights(np.array(keys), offset, seed).tolist() == want
+    # offsets that bring a key's hash to a level, just below it, and to both ends
+    root = pow(5, -1, PRIME - 1)
+    aim = [0, 1, PRIME - 1, *LEVELS, *[v - 1 for v in LEVELS]]
+    own = pow(7, 5, PRIME)
+    shift = np.array([(pow(x, root, PRIME) - own) % PRIME for x in aim])
+    assert weights(np.array([7]), shift, 0).tolist() == [[sum(x >= v for v in LEVELS) for x in aim]]
+
+
+def test_groups_of_a_key_share_its_weights(spark, monkeypatch):
+    """Weights are made once for a key, not once for each of its groups; the groups are sent on in parts."""
+    calls = spark.sparkContext.accumulator(0)
+    whole = resampling.weights
+
+    def counted(keys, *more):
+        calls.add(len(keys))
+        return whole(keys, *more)
+
+    monkeypatch.setattr(resampling, "weights", counted)
+    monkeypatch.setattr(resampling, "HELD", 3)
+    df = spark.range(4000).select((F.col("id") % 400).alias("k"), F.expr("id div 400").alias("g"), F.lit(1.0).alias("v")).repartition(5)
+    got = resampling.poisson_bootstrap(df, "v", "k", "g", draws=20).collect()
+    want = whole(np.arange(400), offsets(np.arange(20)), 1).sum(0)
+    assert {(r.g, r.draw): r.weight for r in got} == {(g, d): want[d] for g in range(10) for d in range(20)}
+    assert calls.value == 400
+
+
 def test_poisson_weights_are_spread_as_they_should():
     w = weights(np.arange(4000), offsets(np.arange(500)), 1)
     assert w.mean() == pytest.approx(1, abs=0.01) and w.var() == pytest.approx(1, abs=0.01)
